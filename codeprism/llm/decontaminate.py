@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import bounded, require
 
 #: A seed looks at the tokens under 1 and ignores those under 0.
-MASKS = ("1111", "10111", "110011")
+MASKS = ("1111", "10111")
 #: A window of so many tokens (the whole item, if shorter) is compared; this part of it must be equal.
 WINDOW = 20
 SIMILARITY = 0.8
@@ -18,27 +18,23 @@ SIMILARITY = 0.8
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits; junk and punctuation around words don't count. Null: none."""
-    plain = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-    return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
 def _hashes(text: Column) -> Column:
     return F.transform(tokens(text), lambda t: F.xxhash64(t))
 
 
-def _seeds(h: str, at: Column, masks: Sequence[str]) -> Column:
-    """One hash for each mask laid on the tokens from `at`; null where the mask reaches beyond the text."""
-    array = F.col(h)
-    out = []
-    for i, mask in enumerate(masks):
-        under = [F.get(array, at + F.lit(j)) for j, c in enumerate(mask) if c == "1"]
-        out.append(F.when(at + F.lit(len(mask)) <= F.size(array), F.xxhash64(F.lit(i), *under)))
-    return F.array(*out)
+def _seeded(df: DataFrame, h: str, at: str, keep: Sequence[str], masks: Sequence[str]) -> DataFrame:
+    """A row for each position of h and each mask laid on the tokens from there: keep, h, at, seed.
 
-
-def _positions(df: DataFrame, h: str, alias: str, keep: Sequence[str]) -> DataFrame:
-    some = df.where(F.size(h) > 0)
-    return some.select(*keep, h, F.explode(F.sequence(F.lit(0), F.size(h) - 1)).alias(alias))
+    Position 0 of an empty text has no seed; a filter on h would hash each text twice.
+    """
+    rows = df.select(*keep, h, F.explode(F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0)))).alias(at))
+    # columns first: small methods, that the JVM compiles
+    rows = rows.select(*keep, h, at, *[F.get(h, F.col(at) + j).alias(f"_{j}") for j in range(max(map(len, masks)))])
+    seeds = [F.when(F.col(f"_{len(m) - 1}").isNotNull(), F.xxhash64(F.lit(i), *[F.col(f"_{j}") for j, c in enumerate(m) if c == "1"])) for i, m in enumerate(masks)]
+    return rows.select(*keep, h, at, F.explode(F.array(*seeds)).alias("seed")).where("seed is not null")
 
 
 def find_overlaps(docs: DataFrame, bench: DataFrame, masks: Sequence[str] = MASKS, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
@@ -56,17 +52,22 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, masks: Sequence[str] = MASK
     require(docs, ["doc_id", "text"])
     require(bench, ["item_id", "text"])
     items = bench.select("item_id", _hashes(F.col("text")).alias("b"))
-    item_seeds = _positions(items, "b", "q", ["item_id"])
-    item_seeds = item_seeds.select("item_id", "b", "q", F.explode(_seeds("b", F.col("q"), masks)).alias("seed")).where("seed is not null")
-    at = _positions(docs.select("doc_id", _hashes(F.col("text")).alias("h")), "h", "p", ["doc_id"])
-    at = at.select("doc_id", "h", "p", F.explode(_seeds("h", F.col("p"), masks)).alias("seed")).where("seed is not null")
-    hits = at.join(bounded(item_seeds), "seed").select("doc_id", "h", "item_id", "b", (F.col("p") - F.col("q")).alias("d"))
-    # item tokens that equal the token beside them; a negative place is outside the text
-    equal = F.filter(F.sequence(F.lit(0), F.size("b") - 1), lambda i: (i + F.col("d") >= 0) & F.coalesce(F.get(F.col("h"), F.greatest(i + F.col("d"), F.lit(0))) == F.get(F.col("b"), i), F.lit(False)))
-    hits = hits.select("doc_id", "item_id", "d", F.size("b").alias("n_item"), equal.alias("eq"))
+    item_seeds = _seeded(items, "b", "q", ["item_id"], masks)
+    at = _seeded(docs.select("doc_id", _hashes(F.col("text")).alias("h")), "h", "p", ["doc_id"], masks)
+    # of the text only what lies beside the item goes on: a row of the join must not carry a whole text
+    d = F.col("p") - F.col("q")
+    part = F.slice("h", F.greatest(d, F.lit(0)) + 1, F.size("b") - F.greatest(-d, F.lit(0)))
+    # of the text only what lies beside the item goes on: a row of the join must not carry a whole text
+    d = F.col("p") - F.col("q")
+    part = F.slice("h", F.greatest(d, F.lit(0)) + 1, F.size("b") - F.greatest(-d, F.lit(0)))
+    hits = at.join(bounded(item_seeds), "seed").select("doc_id", "item_id", "b", d.alias("d"), part.alias("part"))
+    # many hits, one place; merged in the task that made them. Texts that share an id stay apart
+    places = hits.groupBy("doc_id", "item_id", "d", F.xxhash64("part", "b").alias("_v")).agg(F.first("part").alias("part"), F.first("b").alias("b"))
+    skip = F.greatest(-F.col("d"), F.lit(0))
+    equal = F.filter(F.sequence(skip, skip + F.size("part") - 1), lambda i: F.get(F.col("part"), i - skip) == F.get(F.col("b"), i))
     w = F.least(F.col("n_item"), F.lit(window))
     need = F.ceil(w * F.lit(similarity))
-    pairs = hits.where(F.size("eq") >= need).dropDuplicates(["doc_id", "item_id", "d", "n_item", "eq"])
+    pairs = places.select("doc_id", "item_id", F.size("b").alias("n_item"), equal.alias("eq")).where(F.size("eq") >= need)
     best = F.array_max(F.transform("eq", lambda s: F.size(F.filter(F.col("eq"), lambda x: (x >= s) & (x < s + w)))))
     pairs = pairs.select("doc_id", "item_id", "n_item", w.alias("window"), best.alias("matched")).where(F.col("matched") >= need)
     out = pairs.groupBy("doc_id", "item_id").agg(F.max(F.struct((F.col("matched") / F.col("window")).alias("similarity"), "matched", "window", "n_item")).alias("m"))
