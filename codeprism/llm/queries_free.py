@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .hyperminhash import near_duplicates
 from .toxicity import score_documents
 
 
@@ -11,5 +12,9 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity}
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op7_minhash": op7_minhash}
 SQL: dict[str, str] = {}
