@@ -7,7 +7,12 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, SPACE, materialise, require, work_dir
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk. Many small stores must not each reserve megabytes for their logs; checkpoints hold changes, not copies.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -53,14 +58,15 @@ def dedup_state(spark: SparkSession, path: str, key: str = "doc_id", text: str =
 
     # an empty piece, so that a stream without files has a readable state
     spark.createDataFrame([], state.schema).write.parquet(f"{out}/state/batch=-1")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    had = spark.conf.get(name)
-    spark.conf.set(name, ROCKSDB)
+    had = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         query = state.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(name, had)
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     pieces = spark.read.schema(f"{_ddl(state)}, batch int").parquet(f"{out}/state")
     if max_bytes:  # the latest state of a digest is the one that has counted most
         pieces = pieces.groupBy("digest").agg(F.max(F.struct("group_size", "first")).alias("s")).select("digest", "s.first", "s.group_size")
