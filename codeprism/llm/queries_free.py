@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .hyperminhash import near_duplicates
+from .suffix import remove_passages
 from .toxicity import score_documents
+from .warc import archive_pages
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,5 +19,24 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op7_minhash": op7_minhash}
-SQL: dict[str, str] = {}
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: Base 32 of a hexadecimal digest: five hexadecimal digits are four characters.
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS keep FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, ((i // 4) * 5 + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to FROM g
+"""
+
+
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op5_warc": op5_warc, "op7_minhash": op7_minhash, "op8_suffix_dedup": op8_suffix_dedup}
+SQL = {"op5_warc": OP5_SQL}
