@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import BYTE, U, mix, pieces, string_bytes
@@ -15,7 +16,7 @@ from .common import bounded, materialise, require, utf8
 
 LENGTH = 50
 #: Bytes of the grams that route windows; of a window's grams, the one with the smallest hash is its route.
-GRAM = 24
+GRAM = 30
 #: Size of the filter of routes that several texts have: 2^28 bits are 32 MB, whatever the corpus.
 FILTER_BITS = 28
 PARTS = 256
@@ -154,10 +155,15 @@ def _route_filter(texts: DataFrame, length: int) -> np.ndarray:
                 m = np.sort(np.concatenate(got))
                 cut = np.searchsorted(m >> U(64 - top), np.arange(PARTS + 1).astype(np.uint64))
                 full = np.flatnonzero(cut[1:] > cut[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([m[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())], names=["part", "routes"])
+                # the part is the top byte; five more are enough for a filter
+                short = np.ascontiguousarray(m.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:7])
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([short[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())], names=["part", "routes"])
 
     def find(table: pa.Table) -> pa.Table:
-        m = np.sort(np.frombuffer(b"".join(table["routes"].to_pylist()), np.uint64))
+        short = np.frombuffer(b"".join(table["routes"].to_pylist()), np.uint8).reshape(-1, 5)
+        wide = np.zeros((len(short), 8), np.uint8)
+        wide[:, 2:7] = short
+        m = np.sort(wide.view("<u8").ravel())
         twice = m[1:][m[1:] == m[:-1]]
         bits = np.zeros(1 << (FILTER_BITS - top), bool)
         bits[((twice >> U(64 - FILTER_BITS)) & U((1 << (FILTER_BITS - top)) - 1)).astype(np.int64)] = True
@@ -270,14 +276,14 @@ def repeated_passages(texts: DataFrame, length: int = LENGTH) -> DataFrame:
             for part, items in by.items():
                 items.sort(key=lambda t: t[:2])
                 head = np.array([(x, y, len(s)) for x, y, _, s in items], np.uint64)
-                rows.append((part, head.tobytes(), np.array([o for *_, o, _ in items], np.int64).tobytes(), b"".join(s for *_, s in items)))
+                rows.append((part, head.tobytes(), np.array([o for *_, o, _ in items], np.int64).tobytes(), zstandard.compress(b"".join(s for *_, s in items), 1)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["part", "head", "owner", "bytes"])
 
     def order(table: pa.Table) -> pa.Table:
         known: dict[tuple[int, int], list] = {}
         for head, owner, raw in zip(table["head"].to_pylist(), table["owner"].to_pylist(), table["bytes"].to_pylist()):
-            at = 0
+            at, raw = 0, zstandard.decompress(raw)
             for (x, y, n), o in zip(np.frombuffer(head, np.uint64).reshape(-1, 3).tolist(), np.frombuffer(owner, np.int64).tolist()):
                 had = known.get((x, y))
                 if had is None:
@@ -336,23 +342,25 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     copies = materialise(copies.select("version", "check", "first"), "suffix-copies")
     marked = texts.join(bounded(copies), ["version", "check"], "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
     lost = repeated_passages(marked.where("not copy").select("id", "version", "text"), length)
-    lost = lost.groupBy("id", "version").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    lost = materialise(lost, "suffix-lost")
+    # runs of windows to spans of bytes, in one fold over each text's sorted runs
+    runs = F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("windows") + length - 1).alias("end"))))
+    lost = lost.groupBy("id", "version").agg(runs.alias("runs"))
+    nothing = F.array().cast("array<struct<start:int,end:int>>")
+
+    def fold(acc: Column, r: Column) -> Column:
+        meets = r["start"] <= acc["last"]["end"]
+        return F.struct(F.when(meets, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"]))).alias("done"), F.when(meets, F.struct(acc["last"]["start"].alias("start"), F.greatest(acc["last"]["end"], r["end"]).alias("end"))).otherwise(r).alias("last"))
+
+    first = F.struct(nothing.alias("done"), F.element_at("runs", 1).alias("last"))
+    spans = F.aggregate("runs", first, fold, lambda acc: F.concat(acc["done"], F.array(acc["last"])))
+    lost = materialise(lost.select("id", "version", spans.alias("spans")), "suffix-lost")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-            for text, copy, runs in zip(b.column("text").to_pylist(), b.column("copy").to_pylist(), b.column("runs").to_pylist()):
+            for text, copy, found in zip(b.column("text").to_pylist(), b.column("copy").to_pylist(), b.column("spans").to_pylist()):
                 n = len(text)
-                spans: list[list[int]] = []
-                if copy and n >= length:
-                    spans = [[0, n]]
-                for r in sorted((runs or []), key=lambda r: r["start"]):
-                    a, z = r["start"], r["start"] + r["windows"] + length - 1
-                    if spans and a <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], z)
-                    else:
-                        spans.append([a, z])
+                spans = [(0, n)] if copy and n >= length else [(r["start"], r["end"]) for r in found or []]
                 left, at = [], 0
                 for a, z in spans:
                     left.append(text[at:a])
@@ -364,5 +372,5 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out["kept"].append(b"".join(left))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(out[c], pa.int64()) for c in ("n_bytes", "n_removed", "n_spans")), pa.array(out["kept"], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    rows = marked.join(bounded(lost), ["id", "version"], "left").select("doc_id", "text", "copy", "runs")
+    rows = marked.join(lost, ["id", "version"], "left").select("doc_id", "text", "copy", "spans")
     return rows.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
