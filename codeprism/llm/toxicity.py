@@ -64,7 +64,7 @@ class Machine:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
     def add(self, of: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
-        out = np.bincount(of, self.w[place], n)
+        out = np.bincount(of, self.w[place], n).astype(float)  # without terms, bincount gives whole numbers
         for k in range(self.v.shape[1]):
             x = self.v[place, k]
             out += (np.bincount(of, x, n) ** 2 - np.bincount(of, x * x, n)) / 2
