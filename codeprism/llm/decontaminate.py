@@ -57,9 +57,6 @@ def find_overlaps(docs: DataFrame, bench: DataFrame, masks: Sequence[str] = MASK
     # of the text only what lies beside the item goes on: a row of the join must not carry a whole text
     d = F.col("p") - F.col("q")
     part = F.slice("h", F.greatest(d, F.lit(0)) + 1, F.size("b") - F.greatest(-d, F.lit(0)))
-    # of the text only what lies beside the item goes on: a row of the join must not carry a whole text
-    d = F.col("p") - F.col("q")
-    part = F.slice("h", F.greatest(d, F.lit(0)) + 1, F.size("b") - F.greatest(-d, F.lit(0)))
     hits = at.join(bounded(item_seeds), "seed").select("doc_id", "item_id", "b", d.alias("d"), part.alias("part"))
     # many hits, one place; merged in the task that made them. Texts that share an id stay apart
     places = hits.groupBy("doc_id", "item_id", "d", F.xxhash64("part", "b").alias("_v")).agg(F.first("part").alias("part"), F.first("b").alias("b"))
