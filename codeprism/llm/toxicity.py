@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytes_np import BYTE_FOLDED, LETTERS, U, mix, pieces, powers, string_bytes, word_hashes, words
-from .common import require
+from .common import materialise, require
 
 BITS = 20
 #: At most so many labelled rows fit the model: those whose hash of doc_id is smallest.
@@ -71,29 +71,22 @@ class Machine:
         return out
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, terms: int = TERMS, rank: int = RANK, epochs: int = 30, seed: int = 7) -> Machine:
-    """Fit the machine on the distinct hashed terms of each text.
+def fit(places: list[np.ndarray], labels: np.ndarray, best: np.ndarray | None = None, rank: int = RANK, epochs: int = 30, seed: int = 7) -> Machine:
+    """Fit the machine on the places in `best`, the terms that have weights, of each text's terms.
 
-    The terms kept are those with the largest chi-square against the label; Adam then fits bias, weights and factors to
-    the log loss with L2. One class only, or none: the smoothed share of label 1 is everyone's score.
+    Adam fits bias, weights and factors to the log loss with L2. One class only, or none: the smoothed share of label 1
+    is everyone's score.
     """
     n, pos = len(labels), int(labels.sum())
     slot = np.full(1 << BITS, -1, np.int64)
     if n == 0 or pos == 0 or pos == n:
         share = (pos + 1) / (n + 2)
         return Machine(slot, float(np.log(share / (1 - share))), np.zeros(1), np.zeros((1, rank)))
-    of = np.repeat(np.arange(n), [len(t) for t in texts])
-    term = np.concatenate(texts).astype(np.int64)
-    total = np.bincount(term, minlength=1 << BITS).astype(float)
-    hit = np.bincount(term[labels[of] == 1], minlength=1 << BITS).astype(float)
-    expect = total * pos / n
-    chi = np.where(total >= 3, (hit - expect) ** 2 / np.maximum(expect * (1 - pos / n) * np.maximum(1 - total / n, 1e-3), 1e-9), 0)
-    best = np.sort(np.argsort(-chi, kind="stable")[:terms])
-    best = best[chi[best] > 6]
+    best = np.zeros(0, np.int64) if best is None else best
     slot[best] = np.arange(len(best))
     m = max(len(best), 1)
-    place = slot[term]
-    of, place = of[place >= 0], place[place >= 0]
+    size = np.array([len(t) for t in places])
+    of, place = np.repeat(np.arange(n, dtype=np.int32), size), np.concatenate(places)
     rng = np.random.Generator(np.random.PCG64(seed))
     bias, w, v = np.log(pos / (n - pos)), np.zeros(m), rng.normal(0, 0.02, (m, rank))
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (np.zeros(1), w, v)]
@@ -125,11 +118,30 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, terms: int = TERMS, rank: i
     return Machine(slot, float(bias), w, v)
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine:
+def _telling(terms: DataFrame, n: int, pos: int, most: int) -> np.ndarray:
+    """The terms with the largest chi-square against the label, in order of their numbers. terms: toxic, terms."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = [np.frombuffer(t, np.uint32) for t in b.column("terms").to_pylist()]
+            toxic = np.repeat(b.column("toxic").to_numpy(), [len(t) for t in lists])
+            term, at = np.unique(np.concatenate([*lists, np.zeros(0, np.uint32)]), return_inverse=True)
+            found = [pa.array(np.bincount(at, w, len(term)).astype(np.int64)) for w in (None, toxic)]
+            yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int64)), *found], names=["term", "total", "hit"])
+
+    counts = terms.mapInArrow(count, "term long, total long, hit long").groupBy("term").agg(F.sum("total").alias("total"), F.sum("hit").alias("hit"))
+    expect = F.col("total") * F.lit(pos) / F.lit(n)
+    spread = F.greatest(expect * F.lit(1 - pos / n) * F.greatest(1 - F.col("total") / F.lit(n), F.lit(1e-3)), F.lit(1e-9))
+    chi = counts.where("total >= 3").select("term", ((F.col("hit") - expect) * (F.col("hit") - expect) / spread).alias("chi")).where("chi > 6")
+    return np.sort(np.array([r["term"] for r in chi.orderBy(F.desc("chi"), "term").limit(most).collect()], np.int64))
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, terms: int = TERMS) -> Machine:
     """Fit a machine on labelled documents whose crc32(doc_id) mod 4 is not 2.
 
     labels: doc_id, toxic (0 or 1; others and nulls are left out; several of one doc_id: the largest). The sample is the
-    `rows` labelled doc_ids of smallest hash; the driver gets the distinct hashed terms of those texts only.
+    `rows` labelled doc_ids of smallest hash. Executors hash and count its terms; the driver gets the `terms` terms that
+    tell most about the label, and which of these each text of the sample has.
     """
     require(docs, ["doc_id", "text"])
     require(labels, ["doc_id", "toxic"])
@@ -138,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
 
-    def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, at = string_bytes(b.column("text"))
             out = []
@@ -150,10 +162,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
                 out += [t[cut[i] : cut[i + 1]].tobytes() for i in range(hi - lo)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(out, pa.binary())], names=["doc_id", "toxic", "terms"])
 
-    got = found.mapInArrow(terms, "doc_id long, toxic int, terms binary").toArrow()
-    got = got.take(np.lexsort(([zlib.crc32(t) for t in got["terms"].to_pylist()], got["doc_id"].to_numpy()))) if got.num_rows else got
-    texts = [np.frombuffer(t, np.uint32) for t in got["terms"].to_pylist()]
-    return fit(texts, got["toxic"].to_numpy().astype(float) if got.num_rows else np.zeros(0))
+    found = materialise(found.mapInArrow(hashed, "doc_id long, toxic int, terms binary"), "toxicity-terms")
+    n, pos = found.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    best = _telling(found, n, pos, terms) if 0 < pos < n else np.zeros(0, np.int64)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slot = np.full(1 << BITS, -1, np.int32)
+        slot[best] = np.arange(len(best))
+        for b in batches:
+            places = [slot[np.frombuffer(t, np.uint32)] for t in b.column("terms").to_pylist()]
+            crc = pa.array([zlib.crc32(t) for t in b.column("terms").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), crc, b.column("toxic"), pa.array([p[p >= 0].tobytes() for p in places], pa.binary())], names=["doc_id", "crc", "toxic", "places"])
+
+    got = found.mapInArrow(placed, "doc_id long, crc long, toxic int, places binary").toArrow()
+    order = np.lexsort((got["crc"].to_numpy(), got["doc_id"].to_numpy()))
+    places = [np.frombuffer(t, np.int32) for t in got["places"].to_pylist()]
+    return fit([places[i] for i in order], got["toxic"].to_numpy().astype(float)[order], best)
 
 
 def score(docs: DataFrame, machine: Machine, column: str = "toxicity", keep: list[str] | None = None) -> DataFrame:
