@@ -115,6 +115,14 @@ def _at(epoch: Column, schedules: Sequence) -> Column:
     return _position(F.least(share, F.lit(1.0)), F.col("rank"), schedules)
 
 
+def _in_order(decided: DataFrame, schedules: Sequence, *columns: str) -> DataFrame:
+    """A row for each copy of the documents taken: columns, position, pass; range-sorted by position."""
+    # the passes of a document: 0, 1, ... copies - 1; the part pass is pass _full
+    rows = decided.withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1)))
+    rows = rows.withColumn("position", _at(F.col("_pass"), schedules)).select(*columns, "position", F.col("_pass").cast("int").alias("pass"))
+    return rows.repartitionByRange(rows["position"], rows["doc_id"]).sortWithinPartitions("position", "doc_id", "pass")
+
+
 def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence = SCHEDULES, max_epochs: int = MAX_EPOCHS, prefix_hex: int = 3) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, taken, copies (0 to max_epochs), first_position.
 
@@ -130,6 +138,14 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Seq
     return _decided(placed, bounded(_gaps(placed, max_epochs)), schedules).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "first_position")
 
 
+def curriculum(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence = SCHEDULES, max_epochs: int = MAX_EPOCHS, prefix_hex: int = 3) -> DataFrame:
+    """The order of training without the rows: doc_id, size, source_size, target, copies, position, pass of each copy, as mix has them."""
+    require(docs, ["doc_id", "text", "source"])
+    placed = materialise(_placed(docs.select("doc_id", "text", "source"), weights, max_epochs, prefix_hex).drop("text"), "mix-plan")
+    rows = _decided(placed, bounded(_gaps(placed, max_epochs)), schedules).where("copies > 0")
+    return _in_order(rows, schedules, "doc_id", "size", "source_size", "target", "copies")
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence = SCHEDULES, max_epochs: int = MAX_EPOCHS, prefix_hex: int = 3) -> DataFrame:
     """The mix itself: each document as many times as plan_mix has it, with `position` (0 to 1), range-sorted by it."""
     require(docs, ["doc_id", "text", "source"])
@@ -137,7 +153,4 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence
     args = (weights, max_epochs, prefix_hex)
     narrow = materialise(_placed(docs.select("doc_id", "text", "source"), *args).drop("text"), "mix-plan")
     rows = _decided(_placed(renamed, *args).drop("text"), bounded(_gaps(narrow, max_epochs)), schedules).where("copies > 0")
-    # the passes of a document: 0, 1, ... copies - 1; the part pass is pass _full
-    rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1)))
-    rows = rows.withColumn("position", _at(F.col("_pass"), schedules)).select("_row.*", "position", F.col("_pass").cast("int").alias("pass"))
-    return rows.repartitionByRange(rows["position"], rows["doc_id"]).sortWithinPartitions("position", "doc_id", "pass")
+    return _in_order(rows, schedules, "_row.*")

@@ -9,7 +9,7 @@ from .decontaminate import find_overlaps
 from .exact import exact_dedup
 from .licenses import COSINE_SQUARED, TEMPLATES, scan_licenses
 from .lines import RUN, dedup_lines
-from .mix import MAX_EPOCHS, WEIGHTS, plan_mix
+from .mix import MAX_EPOCHS, SCHEDULES, WEIGHTS, curriculum, plan_mix
 from .shard import shard_documents
 
 
@@ -122,5 +122,27 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copi
 """
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op3_license_scan": op3_license_scan, "op4_exact_dedup": op4_exact_dedup, "op6_line_dedup": op6_line_dedup, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
-SQL = {"op2_decontamination": OP2_SQL, "op3_license_scan": _op3_sql(), "op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op10_mixing": _op10_sql()}
+def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _op10_curriculum_sql() -> str:
+    """The plan of op10_mixing, its passes unrolled, and positions by inverting the integral of the knots."""
+    plan = _op10_sql().rpartition("\nSELECT ")[0]
+    knots = ", ".join(f"({law}, {i}, {t}::DOUBLE, {w}::DOUBLE)" for law, s in enumerate(SCHEDULES) for i, (t, w) in enumerate(s))
+    return rf"""{plan},
+kn AS (SELECT *, lead(t) OVER law AS t1, lead(w) OVER law AS w1 FROM (VALUES {knots}) v(law, i, t, w) WINDOW law AS (PARTITION BY law ORDER BY i)),
+ar AS (SELECT *, (t1 - t) * (w + w1) / 2 AS area FROM kn WHERE t1 IS NOT NULL),
+tt AS (SELECT *, sum(area) OVER (PARTITION BY law) AS total FROM ar),
+pc AS (SELECT law, i, t AS t0, t1, w / total AS w0, (w1 - w) / (t1 - t) / total AS slope, coalesce(sum(area / total) OVER (PARTITION BY law ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM tt),
+pn AS (SELECT *, lead(done) OVER (PARTITION BY law ORDER BY i) AS next_done FROM pc),
+x AS (SELECT k.*, s.rank, coalesce(sum(k.size) FILTER (part) OVER (PARTITION BY k.source), 0)::BIGINT AS got FROM k JOIN s ON k.source IS NOT DISTINCT FROM s.source),
+y AS (SELECT *, unnest(range(copies)) AS pass FROM x),
+z AS (SELECT *, least(((pass * source_size + CASE WHEN fills AND pass = passes THEN got ELSE begins END)::DOUBLE + size::DOUBLE / 2) / target, 1) AS share FROM y)
+SELECT doc_id, size, source_size, target, copies, least(t0 + CASE WHEN share > done THEN 2 * (share - done) / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * (share - done), 0))) ELSE 0 END, t1) AS position, pass::INT AS pass
+FROM z JOIN pn ON law = rank % {len(SCHEDULES)} AND share >= done AND (next_done IS NULL OR share < next_done)
+"""
+
+
+QUERIES = {"op2_decontamination": op2_decontamination, "op3_license_scan": op3_license_scan, "op4_exact_dedup": op4_exact_dedup, "op6_line_dedup": op6_line_dedup, "op9_sharding": op9_sharding, "op10_curriculum": op10_curriculum, "op10_mixing": op10_mixing}
+SQL = {"op2_decontamination": OP2_SQL, "op3_license_scan": _op3_sql(), "op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op10_curriculum": _op10_curriculum_sql(), "op10_mixing": _op10_sql()}

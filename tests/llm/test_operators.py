@@ -17,7 +17,7 @@ from codeprism.llm.graph import components
 from codeprism.llm.hyperminhash import near_duplicates
 from codeprism.llm.licenses import scan_licenses
 from codeprism.llm.lines import dedup_lines
-from codeprism.llm.mix import SCHEDULES, mix, plan_mix
+from codeprism.llm.mix import SCHEDULES, curriculum, mix, plan_mix
 from codeprism.llm.shard import assign_shards, number_slots, shard_documents
 from codeprism.llm.suffix import remove_passages, suffix_order
 from codeprism.llm.toxicity import fit, score, score_documents
@@ -232,6 +232,17 @@ def test_mix(spark, odd, empty):
     assert plan_mix(odd).count() == len(ROWS) and plan_mix(empty).count() == 0 and mix(empty).count() == 0
 
 
+def test_curriculum_query(spark):
+    got = [tuple(r) for r in queries.QUERIES["op10_curriculum"](spark, SF).select("position", "doc_id", "pass").collect()]
+    assert got == sorted(got)  # in the order of training, over all partitions
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plan = {r["doc_id"]: (r["copies"], r["first_position"]) for r in plan_mix(docs).collect()}
+    assert Counter(d for _, d, _ in got) == Counter({d: n for d, (n, _) in plan.items() if n})
+    assert {d: p for p, d, k in got if k == 0} == {d: p for d, (n, p) in plan.items() if n}
+    flat = curriculum(docs, schedules=(((0.0, 1.0), (1.0, 1.0)),)).select("position", "doc_id", "pass").collect()
+    assert sorted(map(tuple, flat)) != got  # schedules decide
+
+
 def test_pipeline(spark):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
