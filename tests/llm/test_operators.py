@@ -14,7 +14,7 @@ from codeprism.llm import queries
 from codeprism.llm.decontaminate import MASKS, decontaminate, find_overlaps
 from codeprism.llm.exact import exact_dedup
 from codeprism.llm.graph import components
-from codeprism.llm.hyperminhash import near_duplicates
+from codeprism.llm.hyperminhash import meeting_keys, near_duplicates, registers
 from codeprism.llm.licenses import scan_licenses
 from codeprism.llm.lines import dedup_lines
 from codeprism.llm.mix import SCHEDULES, curriculum, mix, plan_mix
@@ -168,6 +168,28 @@ def test_near_duplicates(spark, odd, empty):
     assert near_duplicates(empty).count() == 0
 
 
+def test_short_near_duplicates_all_meet(spark):
+    rows = []
+    for i in range(300):  # 7 shingles against 6 of them: 85.7 %; 20 against 16: 80 %
+        w = [f"w{i}x{j}" for j in range(24)]
+        rows += [(4 * i, " ".join(w[:11])), (4 * i + 1, " ".join(w[:10])), (4 * i + 2, "z " + " ".join(w)), (4 * i + 3, "z " + " ".join(w[:20]))]
+    docs = docs_of(spark, rows)
+    for percent in (85, 80):
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates(docs, percent).collect()}
+        want = {d: d - d % 2 if percent == 80 or d % 4 < 2 else d for d, _ in rows}
+        assert got == want
+
+
+def test_meeting_keys():
+    rng = np.random.default_rng(5)
+    for percent, a, b in ((85, 6, 7), (85, 34, 40), (85, 221, 260), (85, 850, 1000), (80, 16, 20), (80, 80, 100), (80, 208, 260), (80, 252, 315), (80, 256, 320), (80, 800, 1000)):
+        for _ in range(100):
+            big = rng.integers(0, 2**64, b, dtype=np.uint64)
+            sets = [np.unique(big), np.unique(big[:a])]
+            x, y = meeting_keys(sets, registers(sets), percent, np.sort(big[::3]))
+            assert len(np.intersect1d(x, y)), (percent, a, b)
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 60), (7, 7), (200, 200)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
