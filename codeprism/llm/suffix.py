@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,14 +11,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytes_np import BYTE, U, mix, pieces, string_bytes
-from .common import bounded, materialise, require, utf8
+from .common import BROADCAST_ROWS, materialise, require, utf8
 
 LENGTH = 50
 #: Bytes of the grams that route windows; of a window's grams, the one with the smallest hash is its route.
 GRAM = 30
 #: Size of the filter of routes that several texts have: 2^28 bits are 32 MB, whatever the corpus.
 FILTER_BITS = 28
-PARTS = 256
+#: Text whose routes make a part: a part's contexts are a fraction of it.
+PART_BYTES = 4 << 20
+#: Text hashed at a time, so that the arrays stay in a core's cache.
+PIECE = 1 << 16
+#: Bytes of contexts whose suffixes are put in order together.
+BLOCK = 1 << 18
 NULL_ID = 2**63 - 1
 
 
@@ -49,7 +53,7 @@ def suffix_order(s: np.ndarray, depth: int) -> np.ndarray:
     # places 0 among themselves and against places 1: one symbol, then the rank behind
     key = lambda i: x[i] * wide + rank[i + 1]
     k0 = key(zero)
-    zero = zero[np.argsort(k0, kind="stable")]
+    zero = zero[np.argsort(k0)]
     k0 = key(zero)
     sorted_sample = sample[order]
     sorted_sample = sorted_sample[sorted_sample < n]
@@ -74,7 +78,7 @@ def _rank(a: np.ndarray, b: np.ndarray, c: np.ndarray, top: int) -> tuple[np.nda
     """Order and dense ranks of triples."""
     if top < 1 << 21:
         key = (a << 42) | (b << 21) | c
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
         fresh = k[1:] != k[:-1]
     else:
@@ -85,24 +89,37 @@ def _rank(a: np.ndarray, b: np.ndarray, c: np.ndarray, top: int) -> tuple[np.nda
     return order, names
 
 
+_BASE = U(0x9E3779B97F4A7C15)
+_BACK = U(pow(int(_BASE), -1, 1 << 64))
+_cache: dict[int, np.ndarray] = {}
+
+
+def _powers(n: int, base: np.uint64) -> np.ndarray:
+    """Powers 0 to n of an odd number modulo 2^64, or of its inverse."""
+    had = _cache.get(int(base))
+    if had is None or len(had) <= n:
+        had = np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(max(n, 1 << 16), base, np.uint64))))
+        _cache[int(base)] = had
+    return had[: n + 1]
+
+
 def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
-    """A hash of the k bytes from each place on, by doubling."""
-    out, size, have = None, 0, BYTE[b]
-    width = 1
+    """A polynomial hash of the k bytes from each place on, by doubling; mixed at the end."""
+    if len(b) < k:
+        return np.zeros(0, np.uint64)
+    out, size, have, width = None, 0, BYTE[b], 1
     while True:
         if k & width:
             if out is None:
                 out, size = have, width
             else:
                 m = len(b) - size - width + 1
-                out = mix(out[:m] * U(0x9E3779B97F4A7C15) + have[size : size + m])
+                out = out[:m] * U(pow(int(_BASE), width, 1 << 64)) + have[size : size + m]
                 size += width
         if width * 2 > k:
-            return out
+            return mix(out)
         m = len(b) - 2 * width + 1
-        if m <= 0:
-            return np.zeros(0, np.uint64)
-        have = mix(have[:m] * U(0xD6E8FEB86659FD93) + have[width : width + m])
+        have = have[:m] * U(pow(int(_BASE), width, 1 << 64)) + have[width : width + m]
         width *= 2
 
 
@@ -116,212 +133,238 @@ def _smallest(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def routes(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The windows of `length` bytes within each text: place, text, route. Equal windows have equal routes."""
+def route_runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Maximal runs of windows of `length` bytes that have one route, within each text: text, start, windows, route.
+
+    A window's route is the smallest hash of its grams, so equal windows have equal routes.
+    """
     n = len(data)
     if n < length:
         z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, np.uint64)
+        return z, z, z, np.zeros(0, np.uint64)
     m = _smallest(gram_hashes(data, gram), length - gram + 1)
-    text = np.repeat(np.arange(len(at) - 1), np.diff(at))[: n - length + 1]
-    place = np.flatnonzero(np.arange(n - length + 1) + length <= at[text + 1])
-    return place, text[place], m[place]
+    fresh = np.concatenate(([True], m[1:] != m[:-1]))
+    edge = np.concatenate((at[:-1], at[1:] - length + 1))
+    fresh[edge[(edge >= 0) & (edge < len(m))]] = True
+    start = np.flatnonzero(fresh)
+    count = np.diff(np.concatenate((start, [len(m)])))
+    text = np.searchsorted(at, start, side="right") - 1
+    whole = start + length <= at[text + 1]
+    return text[whole], start[whole], count[whole], m[start[whole]]
+
+
+def _prefix(data: np.ndarray) -> np.ndarray:
+    """Running sums from which _content reads the hash of any stretch."""
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(BYTE[data] * _powers(len(data), _BASE)[:-1], dtype=np.uint64)))
+
 
+def _content(sums: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix((sums[begin + size] - sums[begin]) * _powers(len(sums), _BACK)[begin] + size.astype(np.uint64))
 
-def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return batch.column("id").to_numpy(), batch.column("version").to_numpy()
 
+def _gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The stretches of data, one after the other."""
+    first = np.cumsum(size) - size
+    return data[np.arange(int(size.sum())) + np.repeat(begin - first, size)]
 
-def _route_filter(texts: DataFrame, length: int) -> np.ndarray:
+
+def _distinct(data: np.ndarray, route: np.ndarray, h: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of contexts by route and content, and whether each is the first of its kind; equal ones agree byte by byte."""
+    order = np.lexsort((h, route))
+    r, y = route[order], h[order]
+    first = np.concatenate((np.ones(min(len(r), 1), bool), (r[1:] != r[:-1]) | (y[1:] != y[:-1])))
+    late = np.flatnonzero(~first)
+    for lo in range(0, len(late), 1 << 14):
+        x, w = order[late[lo : lo + (1 << 14)] - 1], order[late[lo : lo + (1 << 14)]]
+        if (size[x] != size[w]).any() or (_gather(data, begin[x], size[x]) != _gather(data, begin[w], size[w])).any():
+            raise RuntimeError("two different contexts have one route and one hash of 64 bits")
+    return order, first
+
+
+def _parts(texts: int) -> int:
+    """Bits of the number of parts: each gets the routes of about PART_BYTES of text."""
+    return min(max((texts // PART_BYTES).bit_length(), 6), 16)
+
+
+def _route_filter(texts: DataFrame, length: int, bits: int) -> np.ndarray:
     """Packed bits of the routes that at least two texts have, by their hash's top FILTER_BITS bits.
 
-    Each text's distinct routes go to PARTS parts by their top bits; a part finds those that come twice and owns one
-    stretch of the bits. Wrong hits of the filter only add work; it has none of the other kind.
+    Each batch's distinct routes (twice those that several of its texts have) go to 2^bits parts by their top bits; a
+    part finds those that come twice and owns one stretch of the bits. Wrong hits of the filter only add work; it has
+    none of the other kind.
     """
-    top = PARTS.bit_length() - 1
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = []
-            for lo, hi, d, a in pieces(*string_bytes(b.column("text"))):
-                _, text, m = routes(d, a, length)
-                if len(m):
-                    change = np.concatenate(([True], (m[1:] != m[:-1]) | (text[1:] != text[:-1])))
-                    m, text = m[change], text[change]
-                    order = np.lexsort((m, text))
-                    m, text = m[order], text[order]
-                    got.append(m[np.concatenate(([True], (m[1:] != m[:-1]) | (text[1:] != text[:-1])))])
-            if got:
-                m = np.sort(np.concatenate(got))
-                cut = np.searchsorted(m >> U(64 - top), np.arange(PARTS + 1).astype(np.uint64))
-                full = np.flatnonzero(cut[1:] > cut[:-1])
-                # the part is the top byte; five more are enough for a filter
-                short = np.ascontiguousarray(m.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:7])
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([short[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())], names=["part", "routes"])
+            got, texts_of = [], []
+            for lo, hi, d, a in pieces(*string_bytes(b.column("text")), PIECE):
+                text, _, _, m = route_runs(d, a, length)
+                got.append(m)
+                texts_of.append(text + lo)
+            m, text = np.concatenate(got), np.concatenate(texts_of).astype(np.int32)
+            if len(m) == 0:
+                continue
+            order = np.argsort(m)
+            m, text = m[order], text[order]
+            first = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1])))
+            several = np.minimum.reduceat(text, first) != np.maximum.reduceat(text, first)
+            m = np.repeat(m[first], 1 + several)
+            cut = np.searchsorted(m >> U(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
+            full = np.flatnonzero(cut[1:] > cut[:-1])
+            # the part is the top bits; 32 more are enough for a filter
+            short = (m >> U(32 - bits)).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([short[cut[i] : cut[i + 1]].tobytes() for i in full], pa.binary())], names=["part", "routes"])
 
     def find(table: pa.Table) -> pa.Table:
-        short = np.frombuffer(b"".join(table["routes"].to_pylist()), np.uint8).reshape(-1, 5)
-        wide = np.zeros((len(short), 8), np.uint8)
-        wide[:, 2:7] = short
-        m = np.sort(wide.view("<u8").ravel())
+        m = np.sort(np.frombuffer(b"".join(table["routes"].to_pylist()), np.uint32))
         twice = m[1:][m[1:] == m[:-1]]
-        bits = np.zeros(1 << (FILTER_BITS - top), bool)
-        bits[((twice >> U(64 - FILTER_BITS)) & U((1 << (FILTER_BITS - top)) - 1)).astype(np.int64)] = True
-        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+        own = np.zeros(1 << (FILTER_BITS - bits), bool)
+        own[(twice >> np.uint32(32 + bits - FILTER_BITS)).astype(np.int64)] = True
+        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "bits": pa.array([zstandard.compress(np.packbits(own).tobytes(), 1)], pa.binary())})
 
     parts = texts.mapInArrow(emit, "part int, routes binary").groupBy("part").applyInArrow(find, "part int, bits binary")
     out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    size = len(out) >> top
+    size = len(out) >> bits
     for r in parts.collect():  # 2^FILTER_BITS bits in all, whatever the corpus
-        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(r["bits"], np.uint8)
+        out[r["part"] * size : (r["part"] + 1) * size] = np.frombuffer(zstandard.decompress(r["bits"]), np.uint8)
     return out
 
 
 def _contexts(d: np.ndarray, a: np.ndarray, bits: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Maximal runs of windows with one route that the filter knows: text, place, windows, route, hash of the bytes."""
-    place, text, m = routes(d, a, length)
+    """Runs of windows with one route that the filter knows: text, start, windows, the route's top 32 bits, hash of the bytes."""
+    text, start, count, m = route_runs(d, a, length)
     k = (m >> U(64 - FILTER_BITS)).astype(np.int64)
     hit = (bits[k >> 3] >> (7 - (k & 7)).astype(np.uint8)) & 1 == 1
-    place, text, m = place[hit], text[hit], m[hit]
-    if len(place) == 0:
-        z = np.zeros(0, np.int64)
-        return z, z, z, z.astype(np.uint64), z.astype(np.uint64)
-    fresh = np.flatnonzero(np.concatenate(([True], (m[1:] != m[:-1]) | (text[1:] != text[:-1]) | (place[1:] != place[:-1] + 1))))
-    count = np.diff(np.concatenate((fresh, [len(place)])))
-    start = place[fresh]
-    # the bytes' hash: of 16-grams at every place, first to last, so that each byte counts
-    g = gram_hashes(d, 16)
-    size = count + length - 1
-    inner = size - 15
-    first = np.cumsum(inner) - inner
-    off = np.arange(int(inner.sum())) - np.repeat(first, inner)
-    h = mix(np.add.reduceat(mix(g[off + np.repeat(start, inner)] + off.astype(np.uint64) * U(0xBF58476D1CE4E5B9)), first) + size.astype(np.uint64))
-    return text[fresh], start, count, m[fresh], h
-
-
-def covered_windows(strings: list[bytes], owners: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
-    """For each string: the places of its windows that some string of a smaller owner has too."""
-    size = np.array([len(x) for x in strings])
+    text, start, count, m = text[hit], start[hit], count[hit], m[hit]
+    h = _content(_prefix(d), start, count + length - 1) if len(start) else np.zeros(0, np.uint64)
+    return text, start, count, (m >> U(32)).astype(np.uint32), h
+
+
+def covered_windows(data: np.ndarray, size: np.ndarray, owners: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Strings, one after the other in data: (string, place) of their windows that some string of a smaller owner has too, in order."""
     # byte values from 1; 0 parts the strings
-    s = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.int64) + 1
-    begin = np.concatenate(([0], np.cumsum(size + 1)[:-1]))
-    s[begin + size] = 0
+    begin = np.cumsum(size + 1) - size - 1
+    of = np.repeat(np.arange(len(size)), size + 1)
+    place = np.arange(len(of)) - begin[of]
+    s = np.zeros(len(of), np.int64)
+    s[place < size[of]] = data.astype(np.int64) + 1
     depth = 0
     while 3 ** (depth + 1) < length + 2:
         depth += 1
     order = suffix_order(s, depth)
-    of = np.repeat(np.arange(len(strings)), size + 1)
-    place = np.arange(len(s)) - begin[of]
-    whole = place + length <= size[of]
-    order = order[whole[order]]
+    order = order[(place + length <= size[of])[order]]
+    if len(order) == 0:
+        return order, order
     # neighbours with equal first `length` bytes
-    raw = (s - 1).clip(0).astype(np.uint8)
-    pack = np.lib.stride_tricks.sliding_window_view(np.concatenate((raw, np.zeros(length, np.uint8))), length)
-    same = np.ones(max(len(order) - 1, 0), bool)
-    step = 8
-    for lo in range(0, length, step):
+    raw = np.concatenate(((s - 1).clip(0).astype(np.uint8), np.zeros(8, np.uint8)))
+    words = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    same = np.ones(len(order) - 1, bool)
+    for lo in [*range(0, length - 8, 8), max(length - 8, 0)]:
         left = np.flatnonzero(same)
-        if len(left) == 0:
-            break
-        same[left] = (pack[order[left], lo : lo + step] == pack[order[left + 1], lo : lo + step]).all(1)
-    group = np.concatenate(([0], np.cumsum(~same))) if len(order) else np.zeros(0, np.int64)
+        x, y = words[order[left] + lo], words[order[left + 1] + lo]
+        w = min(8, length)
+        same[left] = (x[:, :w] == y[:, :w]).all(1) if w < 8 else x.view(np.uint64).ravel() == y.view(np.uint64).ravel()
+    group = np.concatenate(([0], np.cumsum(~same)))
     own = owners[of[order]]
-    least = np.minimum.reduceat(own, np.flatnonzero(np.concatenate(([True], ~same)))) if len(order) else own
-    late = order[own > least[group]] if len(order) else order
-    late = np.sort(late)
-    cut = np.searchsorted(late, np.concatenate((begin, [len(s)])))
-    return [place[late[cut[i] : cut[i + 1]]] for i in range(len(strings))]
-
-
-def _runs(places: np.ndarray) -> list[tuple[int, int]]:
-    if len(places) == 0:
-        return []
-    first = np.flatnonzero(np.concatenate(([True], places[1:] != places[:-1] + 1)))
-    last = np.concatenate((first[1:], [len(places)])) - 1
-    return [(int(places[a]), int(z - a + 1)) for a, z in zip(first, last)]
+    least = np.minimum.reduceat(own, np.flatnonzero(np.concatenate(([True], ~same))))
+    late = np.sort(order[own > least[group]])
+    return of[late], place[late]
 
 
-def repeated_passages(texts: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_passages(texts: DataFrame, n_bytes: int, length: int = LENGTH) -> DataFrame:
     """(id, version, start, windows): runs of windows of `length` bytes that also stand in a text of a smaller id.
 
-    texts: id, version (tells texts of one id apart), text; equal texts of larger ids left out before. Windows whose
-    route no other text has are unique, and dropped. The others are cut into contexts, runs of one route. Distinct
-    contexts of each batch go to the part of their route: equal windows meet there, a passage of any number of texts
-    comes once from each batch. The part puts all suffixes of its distinct contexts in order (suffix_order) and compares
-    neighbours. A context's smallest owner learns which of its windows smaller ids have; all other owners lose all.
+    texts: id, version (tells texts of one id apart), text, of n_bytes in all; equal texts of larger ids left out before.
+    Windows whose route no other text has are unique, and dropped. The others are cut into contexts, runs of one route.
+    Distinct contexts of each batch go to the part of their route: equal windows meet there, a passage of any number of
+    texts comes once from each batch. The part puts all suffixes of its distinct contexts in order (suffix_order) and
+    compares neighbours. A context's smallest owner learns which of its windows smaller ids have; all others lose all.
     """
-    bits = texts.sparkSession.sparkContext.broadcast(_route_filter(texts, length))  # of fixed size
-    parts = max(PARTS, 2 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = _parts(n_bytes)
+    bits = texts.sparkSession.sparkContext.broadcast(_route_filter(texts, length, parts))  # of fixed size
 
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, _ = _ids(b)
-            found: dict[tuple[int, int], list] = {}
-            for lo, hi, d, a in pieces(*string_bytes(b.column("text"))):
+            data, at = string_bytes(b.column("text"))
+            ids = b.column("id").to_numpy()
+            found = []
+            for lo, hi, d, a in pieces(data, at, PIECE):
                 text, start, count, m, h = _contexts(d, a, bits.value, length)
-                raw = d.tobytes()
-                own = ids[lo + text]
-                order = np.lexsort((own, h, m))
-                keep = order[np.concatenate(([True], (m[order][1:] != m[order][:-1]) | (h[order][1:] != h[order][:-1])))] if len(order) else order
-                for x, y, o, p, c in zip(m[keep].tolist(), h[keep].tolist(), own[keep].tolist(), start[keep].tolist(), count[keep].tolist()):
-                    had = found.get((x, y))
-                    if had is None:
-                        found[x, y] = [o, raw[p : p + c + length - 1]]
-                    elif o < had[0]:
-                        had[0] = o
-            by: dict[int, list] = {}
-            for (x, y), (o, s) in found.items():
-                by.setdefault(x % parts, []).append((x, y, o, s))
+                found.append((ids[lo + text], start + at[lo], (count + length - 1).astype(np.int32), m, h))
+            own, start, size, m, h = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 5
+            if len(m) == 0:
+                continue
+            order, first = _distinct(data, m, h, start, size)
+            group = np.flatnonzero(first)
+            low, high = np.minimum.reduceat(own[order], group), np.maximum.reduceat(own[order], group)
+            keep = order[group]
+            m, start, size = m[keep], start[keep], size[keep]
+            cut = np.searchsorted(m >> np.uint32(32 - parts), np.arange((1 << parts) + 1))
+            full = np.flatnonzero(cut[1:] > cut[:-1])
             rows = []
-            for part, items in by.items():
-                items.sort(key=lambda t: t[:2])
-                head = np.array([(x, y, len(s)) for x, y, _, s in items], np.uint64)
-                rows.append((part, head.tobytes(), np.array([o for *_, o, _ in items], np.int64).tobytes(), zstandard.compress(b"".join(s for *_, s in items), 1)))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3))], names=["part", "head", "owner", "bytes"])
+            for i in full:
+                part = slice(cut[i], cut[i + 1])
+                # columns one after the other, those that change little as differences
+                head = (np.diff(m[part], prepend=np.uint32(0)), size[part], (low[part] != high[part]), low[part])
+                rows.append(zstandard.compress(b"".join(x.tobytes() for x in head) + _gather(data, start[part], size[part]).tobytes(), 3))
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(cut[full + 1] - cut[full], pa.int32()), pa.array(rows, pa.binary())], names=["part", "n", "contexts"])
 
     def order(table: pa.Table) -> pa.Table:
-        known: dict[tuple[int, int], list] = {}
-        for head, owner, raw in zip(table["head"].to_pylist(), table["owner"].to_pylist(), table["bytes"].to_pylist()):
-            at, raw = 0, zstandard.decompress(raw)
-            for (x, y, n), o in zip(np.frombuffer(head, np.uint64).reshape(-1, 3).tolist(), np.frombuffer(owner, np.int64).tolist()):
-                had = known.get((x, y))
-                if had is None:
-                    known[x, y] = [o, raw[at : at + n]]
-                elif o < had[0]:
-                    had[0] = o
-                at += n
-        keys = sorted(known)
-        route = np.array([k[0] for k in keys], np.uint64)
-        first = np.concatenate(([True], route[1:] != route[:-1]))
-        several = np.bincount(np.cumsum(first) - 1)[np.cumsum(first) - 1] > 1
-        again: dict[tuple[int, int], list] = {}
-        some = [k for k, many in zip(keys, several) if many]
+        got = []
+        for n, raw in zip(table["n"].to_pylist(), table["contexts"].to_pylist()):
+            raw = zstandard.decompress(raw)
+            got.append((np.cumsum(np.frombuffer(raw, np.uint32, n), dtype=np.uint32), np.frombuffer(raw, np.int32, n, 4 * n), np.frombuffer(raw, bool, n, 8 * n), np.frombuffer(raw, np.int64, n, 9 * n), np.frombuffer(raw, np.uint8, -1, 17 * n)))
+        m, size, several, own, data = (np.concatenate(x) for x in zip(*got))
+        size = size.astype(np.int64)
+        start = np.cumsum(size) - size
+        h = np.zeros(len(m), np.uint64)
+        for lo, hi, d, a in pieces(data, np.concatenate((start, [len(data)])), PIECE):
+            h[lo:hi] = _content(_prefix(d), a[:-1], np.diff(a))
+        by, first = _distinct(data, m, h, start, size)
+        group = np.flatnonzero(first)
+        low, high = np.minimum.reduceat(own[by], group), np.maximum.reduceat(own[by], group)
+        several = np.logical_or.reduceat(several[by], group) | (low != high)
+        keep = by[group]
+        m, h, start, size = m[keep], h[keep], start[keep], size[keep]
+        # routes of several contexts, whole ones, about BLOCK bytes at a time
+        fresh = np.concatenate(([True], m[1:] != m[:-1]))
+        number = np.cumsum(fresh) - 1
+        some = np.flatnonzero(np.bincount(number)[number] > 1)
+        runs_of, runs_at, runs_n = [], [], []
+        ends = np.cumsum(size[some])
         lo = 0
-        while lo < len(some):  # whole routes, about 2^20 bytes of them at a time
-            hi, size = lo, 0
-            while hi < len(some) and (size < 1 << 20 or some[hi][0] == some[hi - 1][0]):
-                size += len(known[some[hi]][1])
-                hi += 1
+        while lo < len(some):
+            hi = int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BLOCK)) + 1
+            hi = int(np.searchsorted(number[some], number[some[min(hi, len(some)) - 1]], side="right"))
             part = some[lo:hi]
-            for k, p in zip(part, covered_windows([known[k][1] for k in part], np.array([known[k][0] for k in part]), length)):
-                if len(p):
-                    again[k] = _runs(p)
+            string, place = covered_windows(_gather(data, start[part], size[part]), size[part], low[part], length)
+            if len(string):
+                begins = np.flatnonzero(np.concatenate(([True], (string[1:] != string[:-1]) | (place[1:] != place[:-1] + 1))))
+                runs_of.append(part[string[begins]])
+                runs_at.append(place[begins])
+                runs_n.append(np.diff(np.concatenate((begins, [len(string)]))))
             lo = hi
-        signed = lambda v: np.array(v, np.uint64).view(np.int64)
-        return pa.table({"route": pa.array(signed([k[0] for k in keys])), "h": pa.array(signed([k[1] for k in keys])), "owner": pa.array([known[k][0] for k in keys], pa.int64()), "again": pa.array([[{"off": a, "n": n} for a, n in again.get(k, [])] for k in keys], pa.list_(pa.struct([("off", pa.int32()), ("n", pa.int32())])))})
+        of, off, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (runs_of, runs_at, runs_n))
+        many = np.bincount(of, minlength=len(m))
+        # contexts that nobody loses anything of are not told
+        told = several | (many > 0)
+        struct = pa.StructArray.from_arrays([pa.array(off.astype(np.int32)), pa.array(n.astype(np.int32))], names=["off", "n"])
+        again = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(many[told]))).astype(np.int32)), struct)
+        return pa.table({"route": pa.array(m[told].view(np.int32)), "h": pa.array(h[told].view(np.int64)), "owner": pa.array(low[told]), "again": again})
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, version = _ids(b)
-            for lo, hi, d, a in pieces(*string_bytes(b.column("text"))):
+            ids, version = b.column("id").to_numpy(), b.column("version").to_numpy()
+            found = []
+            for lo, hi, d, a in pieces(*string_bytes(b.column("text")), PIECE):
                 text, start, count, m, h = _contexts(d, a, bits.value, length)
-                if len(text):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + text]), pa.array(version[lo + text]), pa.array((start - a[text]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(m.view(np.int64)), pa.array(h.view(np.int64))], names=["id", "version", "start", "windows", "route", "h"])
+                found.append((ids[lo + text], version[lo + text], ((start - a[text]) << 32) | count, m.view(np.int32), h.view(np.int64)))
+            if sum(len(x[0]) for x in found):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["id", "version", "place", "route", "h"])
 
-    known = texts.mapInArrow(unique, "part int, head binary, owner binary, bytes binary").groupBy("part").applyInArrow(order, "route long, h long, owner long, again array<struct<off:int,n:int>>")
-    at = texts.mapInArrow(places, "id long, version long, start int, windows int, route long, h long")
-    both = at.join(materialise(known, "suffix-contexts"), ["route", "h"])
+    known = texts.select("id", "text").mapInArrow(unique, "part int, n int, contexts binary").groupBy("part").applyInArrow(order, "route int, h long, owner long, again array<struct<off:int,n:int>>")
+    at = texts.mapInArrow(places, "id long, version long, place long, route int, h long")
+    both = at.join(known, ["route", "h"]).withColumns({"start": F.shiftright("place", 32).cast("int"), "windows": F.col("place").bitwiseAND(0xFFFFFFFF).cast("int")})
     lost = F.when(F.col("id") > F.col("owner"), F.array(F.struct(F.lit(0).alias("off"), F.col("windows").alias("n")))).otherwise(F.col("again"))
     return both.where(F.size(lost) > 0).select("id", "version", "start", F.explode(lost).alias("r")).select("id", "version", (F.col("start") + F.col("r.off")).alias("start"), F.col("r.n").alias("windows"))
 
@@ -337,11 +380,19 @@ def remove_passages(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     require(docs, ["doc_id", "text"])
     texts = docs.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), utf8("text").alias("text"))
-    texts = texts.withColumns({"version": F.xxhash64("text"), "check": F.xxhash64(F.lit("second"), "text")})
-    copies = texts.groupBy("version", "check").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
-    copies = materialise(copies.select("version", "check", "first"), "suffix-copies")
-    marked = texts.join(bounded(copies), ["version", "check"], "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
-    lost = repeated_passages(marked.where("not copy").select("id", "version", "text"), length)
+    texts = texts.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    narrow = materialise(texts.select("id", "digest", F.length("text").cast("long").alias("n")), "suffix-digests")
+    total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    copies = narrow.groupBy("digest").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("digest", "first")
+    copies = materialise(copies, "suffix-copies")
+    small = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # versions tell texts of one id apart; where no id repeats, a constant does
+    repeats = not narrow.groupBy("id").count().where("count > 1").isEmpty()
+    marked = texts.join(F.broadcast(copies) if small else copies, "digest", "left").withColumn("copy", F.coalesce(F.col("id") > F.col("first"), F.lit(False)))
+    marked = marked.select("doc_id", "id", (F.xxhash64("text") if repeats else F.lit(0).cast("long")).alias("version"), "text", "copy")
+    if not small:
+        marked = materialise(marked, "suffix-texts")
+    lost = repeated_passages(marked.where("not copy").select("id", "version", "text"), total, length)
     # runs of windows to spans of bytes, in one fold over each text's sorted runs
     runs = F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("windows") + length - 1).alias("end"))))
     lost = lost.groupBy("id", "version").agg(runs.alias("runs"))
