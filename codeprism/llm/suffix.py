@@ -136,7 +136,8 @@ def _smallest(h: np.ndarray, w: int) -> np.ndarray:
 def route_runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Maximal runs of windows of `length` bytes that have one route, within each text: text, start, windows, route.
 
-    A window's route is the smallest hash of its grams, so equal windows have equal routes.
+    A window's route is the smallest hash of its grams, so equal windows have equal routes. It is mixed once more: minima
+    crowd at the low end, and parts and filter go by the top bits.
     """
     n = len(data)
     if n < length:
@@ -150,7 +151,7 @@ def route_runs(data: np.ndarray, at: np.ndarray, length: int = LENGTH, gram: int
     count = np.diff(np.concatenate((start, [len(m)])))
     text = np.searchsorted(at, start, side="right") - 1
     whole = start + length <= at[text + 1]
-    return text[whole], start[whole], count[whole], m[start[whole]]
+    return text[whole], start[whole], count[whole], mix(m[start[whole]] ^ U(0x6A09E667F3BCC909))
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
