@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Token grammar, extensions, sizes of sketches, separators.
 SPACE = r"[\x20\x09-\x0D]+"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\x09-\x0D]"
 LANGUAGES = {".py": "python", ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".cxx": "cpp", ".hpp": "cpp", ".hh": "cpp", ".hxx": "cpp", ".java": "java"}
@@ -39,9 +40,15 @@ def count_meaningful_lines(stripped: Column) -> Column:
     return F.size(F.filter(F.split(stripped, r"\r\n|[\n\r\x0B\x0C]"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).cast("long")
 
 
-def clone_tokens(text: Column) -> Column:
-    """Tokens of the text after all white space is deleted."""
-    return F.regexp_extract_all(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, ""), F.lit(TOKEN), F.lit(0))
+def normalize_for_clone(text: Column, language: Column | None = None) -> Column:
+    """The text without comments (of its language, if one is given) and without any white space."""
+    plain = F.coalesce(text, F.lit(""))
+    return F.regexp_replace(plain if language is None else strip_comments(plain, language), SPACE, "")
+
+
+def clone_tokens(text: Column, language: Column | None = None) -> Column:
+    """Tokens of the normalised text."""
+    return F.regexp_extract_all(normalize_for_clone(text, language), F.lit(TOKEN), F.lit(0))
 
 
 def lexical_tokens(text: Column) -> Column:
@@ -82,30 +89,3 @@ def evidence_value(evidence: Column, key: str) -> Column:
 
 def split_group(group: Column) -> Column:
     return F.split(group, r"(?<!\s)\|(?!\s)")
-
-
-def normalize_group(group: Column) -> Column:
-    """Sorted `type:name` members; a type is its last dotted segment in lower case."""
-    def member(m: Column) -> Column:
-        kind, name = F.substring_index(m, ":", 1), F.substring_index(m, ":", -1)
-        short = F.lower(F.element_at(F.split(F.trim(kind), r"\."), -1))
-        return F.when(F.contains(m, F.lit(":")), F.concat_ws(":", short, F.trim(name))).otherwise(short)
-
-    return F.array_join(F.array_sort(F.transform(split_group(group), member)), "|")
-
-
-def erase_generics(kind: Column, depth: int = 6) -> Column:
-    for _ in range(depth):
-        kind = F.regexp_replace(kind, r"<[^<>]*>", "")
-    return kind
-
-
-def clean_log_line(line: Column) -> Column:
-    return F.rtrim(F.regexp_replace(line, r"\x1B\[[0-9;]*[A-Za-z]", ""))
-
-
-def failure_fingerprint(exit_code: Column, diagnostic: Column) -> Column:
-    """`exit=N | ` and up to three notable lines, without colours and temporary paths."""
-    clean = F.regexp_replace(F.regexp_replace(diagnostic, r"\x1B\[[0-9;]*[A-Za-z]", ""), r"/tmp/[^\s:]+", "<tmp>")
-    notable = F.filter(F.transform(F.split(clean, "\n"), F.trim), lambda x: x.rlike(r"(?i)error|fail|exception|assert"))
-    return F.concat(F.lit("exit="), exit_code.cast("string"), F.lit(" | "), F.array_join(F.slice(notable, 1, 3), " | "))

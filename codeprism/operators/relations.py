@@ -33,18 +33,31 @@ def multiset_additions(before: DataFrame, after: DataFrame, fields: Sequence[str
     return a.join(b, list(fields), "left").where(more > 0).select(*fields, more.alias("n_added"))
 
 
-def ancestor_closure(edges: DataFrame, hops: int = 8) -> DataFrame:
-    """child, ancestor and the least number of hops, up to `hops`; each hop is an equi-join on the parent."""
-    reach = edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct()
-    front = reach
-    step = edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p"))
-    for depth in range(2, hops + 1):
+def ancestor_closure(edges: DataFrame, hops: int = 8, strict: bool = True) -> DataFrame:
+    """child, ancestor and the least number of hops; each hop is an equi-join on the parent.
+
+    With `strict`, chains of more than `hops` hops are an error, not cut off; a cycle ends where it closes. Each frontier
+    is a checkpoint where the session has a checkpoint folder, so a hop does not compute the earlier ones again.
+    """
+    context = edges.sparkSession.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir")
+    if base and not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(base)
+    cut = (lambda d: d.checkpoint()) if context._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d.persist())
+    step = edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p")).distinct()
+    front = cut(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
+    reach = front
+    for depth in range(2, hops + 2):
         front = front.join(step, F.col("ancestor") == F.col("_c")).select("child", F.col("_p").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        front = front.join(reach.select("child", "ancestor"), ["child", "ancestor"], "left_anti").where("child <> ancestor")
+        front = cut(front.join(reach.select("child", "ancestor"), ["child", "ancestor"], "left_anti").where("child <> ancestor"))
         if front.isEmpty():
             break
-        reach = reach.union(front)
-    return reach.groupBy("child", "ancestor").agg(F.min("depth").cast("long").alias("depth"))
+        if depth > hops:
+            if strict:
+                raise ValueError(f"a chain has more than {hops} hops")
+            break
+        reach = reach.unionByName(front)
+    return reach.select("child", "ancestor", F.col("depth").cast("long").alias("depth"))
 
 
 def overlaps(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
@@ -72,17 +85,34 @@ def islands(rows: DataFrame, by: str, order: Sequence[str], value: str) -> DataF
     return rows.withColumn("_f", fresh).withColumn("run", F.sum("_f").over(w)).groupBy(by, "run", value).agg(F.count("*").alias("n_rows"))
 
 
-def frequent_groups(items: DataFrame, transaction: str, item: str, owner: str, k: int, support: int, owners: int) -> DataFrame:
-    """Item sets of k items: k, members, n_transactions, n_owners, with at least so many of each.
+def frequent_groups(items: DataFrame, transaction: str, item: str, owner: str, k: int, support: int, owners: int, name: str | None = None, names: int = 1) -> DataFrame:
+    """Item sets of 2 to k items: k, members, n_transactions, n_owners, with at least so many of each (and of different names).
 
-    Level-wise: items that are not frequent themselves are dropped before sets are formed within a transaction.
+    Level by level: a set is formed only of a frequent set and a further frequent item whose pair with the set's last
+    item is frequent too, so a transaction of many rare items makes no sets of them.
     """
-    base = items.select(transaction, item, owner).distinct()
+    keep = [transaction, owner, *([name] if name else [])]
+    base = items.select(*keep, item).distinct()
     often = base.groupBy(item).agg(F.countDistinct(transaction).alias("_n")).where(F.col("_n") >= support).select(item)
     base = base.join(often, item, "left_semi")
-    sets = base.select(transaction, owner, F.array(item).alias("members"), F.col(item).alias("_last"))
     one = base.select(F.col(transaction).alias("_t"), F.col(item).alias("_i"))
-    for _ in range(k - 1):
-        sets = sets.join(one, (F.col(transaction) == F.col("_t")) & (F.col("_i") > F.col("_last"))).select(transaction, owner, F.concat("members", F.array("_i")).alias("members"), F.col("_i").alias("_last"))
-    out = sets.groupBy(F.array_join("members", "|").alias("members")).agg(F.countDistinct(transaction).alias("n_transactions"), F.countDistinct(owner).alias("n_owners"))
-    return out.where((F.col("n_transactions") >= support) & (F.col("n_owners") >= owners)).select(F.lit(k).cast("long").alias("k"), "members", "n_transactions", "n_owners")
+    sets = base.select(*keep, F.array(item).alias("members"), F.col(item).alias("_last"))
+    out = pairs = None
+    for level in range(2, k + 1):
+        grown = sets.join(one, (F.col(transaction) == F.col("_t")) & (F.col("_i") > F.col("_last")))
+        if pairs is not None:
+            grown = grown.join(pairs, (F.col("_last") == F.col("_a")) & (F.col("_i") == F.col("_b")), "left_semi")
+        sets = grown.select(*keep, F.concat("members", F.array("_i")).alias("members"), F.col("_i").alias("_last"))
+        n = [F.countDistinct(transaction).alias("n_transactions"), F.countDistinct(owner).alias("n_owners"), *([F.countDistinct(name).alias("n_names")] if name else [])]
+        counted = sets.groupBy("members").agg(*n)
+        frequent = counted.where(F.col("n_transactions") >= support)
+        if level == 2:
+            pairs = frequent.select(F.get("members", 0).alias("_a"), F.get("members", 1).alias("_b"))
+        if level < k:
+            sets = sets.join(frequent.select("members"), "members", "left_semi")
+        found = frequent.where(F.col("n_owners") >= owners)
+        if name:
+            found = found.where(F.col("n_names") >= names)
+        found = found.select(F.lit(level).cast("long").alias("k"), F.array_join("members", "|").alias("members"), *[c for c in counted.columns if c != "members"])
+        out = found if out is None else out.unionByName(found)
+    return out

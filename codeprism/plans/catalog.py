@@ -87,7 +87,7 @@ SELECT k::BIGINT AS k, members, count(DISTINCT t) AS n_transactions, count(DISTI
 def frequent_groups_k2_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     l, p, o = (table(spark, sf_dir, t) for t in ("lineitem", "part", "orders"))
     items = l.select("l_orderkey", "l_partkey").join(p.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return relations.frequent_groups(items, "l_orderkey", "p_brand", "o_custkey", 2, 3, 3).union(relations.frequent_groups(items, "l_orderkey", "p_brand", "o_custkey", 3, 3, 3))
+    return relations.frequent_groups(items, "l_orderkey", "p_brand", "o_custkey", 3, 3, 3)
 
 
 @query("""WITH m AS (SELECT c_custkey, count(DISTINCT o_orderkey) AS nom, count(l_orderkey) AS wmc, coalesce(sum(l_quantity::DECIMAL(18,2)), 0)::DOUBLE AS loc FROM customer LEFT JOIN orders ON c_custkey = o_custkey LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY c_custkey),

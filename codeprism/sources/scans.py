@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from ..functions.text import language_of
+from . import brace
 
-#: Directories whose files are not production sources.
-SKIPPED = ("test", "tests", "build", "vendor", "third_party", "node_modules", ".git")
+# Directories whose files are no production sources.
+SKIPPED = (".git", ".hg", ".svn", ".idea", ".opencode", "__pycache__", ".pytest_cache", ".mypy_cache", ".venv", "venv", "env", "node_modules", "test", "tests", "build", "build-refactoragent", "dist", "target", "cmake-build-debug", "cmake-build-release")
 
 
 def source_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -21,7 +22,8 @@ def source_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     rel = F.regexp_replace("path", r"^.*?" + re.escape(root.rstrip("/").split(":")[-1]) + "/", "")
     files = raw.select(rel.alias("path"), F.decode("content", "UTF-8").alias("content")).withColumn("language", language_of(F.col("path")))
-    skipped = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in SKIPPED]))
+    parts = F.split("path", "/")
+    skipped = F.arrays_overlap(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), F.array(*[F.lit(x) for x in SKIPPED]))
     return files.where(F.col("language").isNotNull() & ~skipped).select("path", "language", "content")
 
 
@@ -81,48 +83,283 @@ class DiffLines:
         yield from parse_patch(patch or "")
 
 
-_CONTROL = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.Try, ast.With, ast.AsyncWith, ast.Match)
+_SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)
+_CONTROL = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler)
 
 
-def python_functions(content: str) -> Iterator[tuple]:
-    """(name, begin_line, end_line, n_params, nesting, complexity, branches) of each function; nothing if it doesn't parse.
+def _elifs(node: ast.If) -> int:
+    """How many elif branches an if has."""
+    n = 0
+    while len(node.orelse) == 1 and isinstance(node.orelse[0], ast.If) and node.orelse[0].col_offset == node.col_offset:
+        n, node = n + 1, node.orelse[0]
+    return n
+
+
+def _chained(node: ast.AST, name: str, child: ast.AST) -> bool:
+    """Whether child is the elif of node."""
+    return isinstance(node, ast.If) and name == "orelse" and isinstance(child, ast.If) and len(node.orelse) == 1 and child.col_offset == node.col_offset
+
+
+def python_metrics(body: list[ast.stmt]) -> tuple[int, int, int, int]:
+    """(nesting, complexity, switches, branches) of a body.
 
-    Nesting is the deepest control statement, elif at its if's level; complexity sums 1 + depth of each; nested
-    functions, lambdas and classes count for themselves only. branches: the largest if/elif/else chain or match.
+    Nesting counts if, for, while and except, each elif on its if's level; nested functions, classes and lambdas are not
+    entered. Complexity sums 1 + depth of the same, over all of the body. Switches are if chains with an elif, and
+    matches; branches is the largest fan-out of an if (its else counted) or a match.
     """
+    deep = total = switches = branches = 0
+    stack = [(n, 0, False, True) for n in body]
+    while stack:
+        node, depth, chained, own = stack.pop()
+        inner = depth
+        if isinstance(node, _CONTROL):
+            level = depth - 1 if chained else depth
+            total += 1 + level
+            inner = level + 1
+            deep = max(deep, inner) if own else deep
+        if isinstance(node, ast.If) and not chained:
+            n, last = _elifs(node), node
+            while last.orelse and _chained(last, "orelse", last.orelse[0]):
+                last = last.orelse[0]
+            branches = max(branches, 1 + n + bool(last.orelse))
+            switches += n > 0
+        if isinstance(node, ast.Match):
+            branches, switches = max(branches, len(node.cases)), switches + (len(node.cases) > 0)
+        inside = own and not isinstance(node, _SCOPES)
+        for name, value in ast.iter_fields(node):
+            for child in value if isinstance(value, list) else [value]:
+                if isinstance(child, ast.AST):
+                    stack.append((child, inner, _chained(node, name, child), inside))
+    return deep, total, switches, branches
+
+
+def python_functions(content: str) -> Iterator[tuple]:
+    """(name, begin_line, end_line, n_params, nesting, complexity, branches) of each function; nothing if it doesn't parse."""
+    for f in code_functions(content, "python"):
+        yield f[1], f[2], f[3], f[4], f[6], f[7], f[9]
+
+
+def _python_owners(tree: ast.AST) -> Iterator[tuple[ast.AST, str]]:
+    stack = [(tree, "")]
+    while stack:
+        node, owner = stack.pop()
+        for child in ast.iter_child_nodes(node):
+            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                yield child, owner
+            name = f"{owner}.{child.name}".lstrip(".") if isinstance(child, ast.ClassDef) else owner
+            stack.append((child, name))
+
+
+def _parsed(content: str) -> ast.Module | None:
     try:
-        tree = ast.parse(content)
-    except (SyntaxError, ValueError):
+        return ast.parse(content)
+    except (SyntaxError, ValueError, RecursionError):
+        return None
+
+
+FUNCTION_FIELDS = "owner string, name string, begin_line int, end_line int, n_params int, loc int, nesting int, complexity int, switches int, branches int, ncss int, params array<string>, signature string, body string, modifiers array<string>, annotations array<string>"
+
+
+def code_functions(content: str, language: str) -> Iterator[tuple]:
+    """FUNCTION_FIELDS of each function of a Python, C, C++ or Java source; nothing of Python that doesn't parse.
+
+    loc: lines of the body with anything but comments; complexity: cognitive for Java, else the sum of 1 + depth;
+    branches: of the largest dispatch in Python, else case and default labels; ncss: statements (0 for Python).
+    """
+    if language == "python":
+        tree = _parsed(content)
+        lines = content.splitlines()
+        for f, owner in _python_owners(tree) if tree else ():
+            a = f.args
+            params = [("*" if x is a.vararg else "**" if x is a.kwarg else "") + x.arg + (f": {ast.unparse(x.annotation)}" if x.annotation else "") for x in (*a.posonlyargs, *a.args, a.vararg, *a.kwonlyargs, a.kwarg) if x is not None]
+            params = params[1:] if params and params[0].split(":")[0] in ("self", "cls") else params
+            body = "\n".join(lines[f.body[0].lineno - 1 : f.end_lineno])
+            loc = sum(1 for x in body.splitlines() if re.sub("#.*", "", x).strip())
+            deep, total, switches, branches = python_metrics(f.body)
+            signature = " ".join(" ".join(lines[f.lineno - 1 : max(f.body[0].lineno - 1, f.lineno)]).split())
+            yield owner, f.name, f.lineno, f.end_lineno, len(params), loc, deep, total, switches, branches, 0, params, signature, body, [], [ast.unparse(d) for d in f.decorator_list]
         return
-    for f in ast.walk(tree):
-        if not isinstance(f, (ast.FunctionDef, ast.AsyncFunctionDef)):
+    for f in brace.scan(content, language)[0]:
+        nodes = brace.parse_body(f.body_text)
+        inner = f.body_text.strip()[1:-1]
+        bare = re.sub(r"//[^\n]*", "", re.sub(r"(?s)/\*.*?\*/", "", inner))
+        switches, _, _ = brace.switch_metrics(f.body_text)
+        total = brace.cognitive(nodes, f.name) if language == "java" else brace.complexity(nodes, language)
+        branches = len(re.findall(r"(?m)^\s*(?:case\b|default\s*:)", bare))
+        yield f.owner, f.name, f.line, f.end_line, len(f.params), sum(1 for x in bare.splitlines() if x.strip()), brace.nesting(nodes, language), total, switches, branches, brace.ncss(nodes) + 1, f.params, f.signature, f.body_text, sorted(f.modifiers), f.annotations
+
+
+def python_accesses(f: ast.AST) -> Iterator[tuple[str, str, int, bool, bool]]:
+    """(receiver, member, line, written, called) of each attribute in a function's body; the receiver is the chain's root name.
+
+    Simple aliases are folded: after `x = r` or `x = r.f`, x counts for r, until x is bound anew.
+    """
+    alias: dict[str, str] = {}
+
+    def root(node: ast.AST) -> str:
+        while isinstance(node, (ast.Attribute, ast.Subscript)):
+            node = node.value
+        return alias.get(node.id, node.id) if isinstance(node, ast.Name) else ""
+
+    def pairs(target: ast.AST, value: ast.AST | None) -> Iterator[tuple[str, ast.AST | None]]:
+        if isinstance(target, ast.Name):
+            yield target.id, value
+        elif isinstance(target, (ast.Tuple, ast.List)):
+            same = isinstance(value, (ast.Tuple, ast.List)) and len(value.elts) == len(target.elts)
+            for i, t in enumerate(target.elts):
+                yield from pairs(t, value.elts[i] if same else None)
+        elif isinstance(target, ast.Starred):
+            yield from pairs(target.value, None)
+
+    def bind(bound: list[tuple[str, ast.AST | None]]) -> None:
+        new = [(name, root(value) if isinstance(value, (ast.Name, ast.Attribute)) else "") for name, value in bound]
+        for name, to in new:
+            alias.pop(name, None)
+            if to and to != name:
+                alias[name] = to
+
+    def walk(node: ast.AST, called: bool = False) -> Iterator[tuple[str, str, int, bool, bool]]:
+        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
+            return
+        if isinstance(node, ast.Attribute):
+            r = root(node)
+            if r:
+                yield r, node.attr, node.lineno, isinstance(node.ctx, (ast.Store, ast.Del)), called
+        if isinstance(node, (ast.Assign, ast.AnnAssign, ast.AugAssign)):
+            if node.value is not None:
+                yield from walk(node.value)
+            targets = node.targets if isinstance(node, ast.Assign) else [node.target]
+            for t in targets:
+                yield from walk(t)
+            bind([p for t in targets for p in pairs(t, None if isinstance(node, ast.AugAssign) else node.value)])
+            return
+        if isinstance(node, ast.NamedExpr):
+            yield from walk(node.value)
+            bind([(node.target.id, node.value)])
+            return
+        if isinstance(node, (ast.For, ast.AsyncFor)):
+            yield from walk(node.iter)
+            bind(list(pairs(node.target, None)))
+        if isinstance(node, ast.Call):
+            yield from walk(node.func, True)
+            for x in (*node.args, *node.keywords):
+                yield from walk(x)
+            return
+        for child in ast.iter_child_nodes(node):
+            yield from walk(child)
+
+    for s in f.body:
+        yield from walk(s)
+
+
+def _python_locals(f: ast.AST) -> Iterator[tuple[str, int]]:
+    """(name, line) of each name bound in a function's body, nested scopes apart."""
+    stack = list(f.body)[::-1]
+    while stack:
+        node = stack.pop()
+        if isinstance(node, _SCOPES):
             continue
-        a = f.args
-        params = [x.arg for x in (*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg) if x is not None]
-        params = params[1:] if params[:1] in (["self"], ["cls"]) else params
-        deep = total = branches = 0
-        stack = [(n, 0, False) for n in f.body]
-        while stack:
-            node, depth, chained = stack.pop()
-            if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)):
-                continue
-            inner = depth
-            if isinstance(node, _CONTROL):
-                level = depth if chained else depth + 1
-                deep, total, inner = max(deep, level), total + level, level
-            if isinstance(node, ast.If) and not chained:
-                n, x = 1, node
-                while len(x.orelse) == 1 and isinstance(x.orelse[0], ast.If):
-                    n, x = n + 1, x.orelse[0]
-                branches = max(branches, n + bool(x.orelse) if n > 1 else 0)
-            if isinstance(node, ast.Match):
-                branches = max(branches, len(node.cases))
-            for name, value in ast.iter_fields(node):
-                for child in value if isinstance(value, list) else [value]:
-                    if isinstance(child, ast.AST):
-                        elif_ = isinstance(node, ast.If) and name == "orelse" and isinstance(child, ast.If) and len(node.orelse) == 1
-                        stack.append((child, inner, elif_))
-        yield f.name, f.lineno, f.end_lineno, len(params), deep, total, branches
+        if isinstance(node, ast.Name) and isinstance(node.ctx, ast.Store):
+            yield node.id, node.lineno
+        if isinstance(node, ast.ExceptHandler) and node.name:
+            yield node.name, node.lineno
+        stack.extend(reversed(list(ast.iter_child_nodes(node))))
+
+
+def _c_name(param: str) -> str:
+    names = re.findall(r"[A-Za-z_$][\w$]*", re.sub(r"=.*$", "", re.sub(r"\[[^\]]*\]", "", param)))
+    return names[-1] if len(names) > 1 else ""
+
+
+def code_identifiers(content: str, language: str) -> Iterator[tuple]:
+    """(kind, name, line, owner, function) of methods, parameters and locals."""
+    if language == "python":
+        tree = _parsed(content)
+        for f, owner in _python_owners(tree) if tree else ():
+            yield "method", f.name, f.lineno, owner, f.name
+            a = f.args
+            for x in (*a.posonlyargs, *a.args, a.vararg, *a.kwonlyargs, a.kwarg):
+                if x is not None and x.arg not in ("self", "cls"):
+                    yield "param", x.arg, x.lineno, owner, f.name
+            for name, line in _python_locals(f):
+                yield "local", name, line, owner, f.name
+        return
+    for f in brace.scan(content, language)[0]:
+        yield "method", f.name, f.line, f.owner, f.name
+        for p in f.params:
+            if _c_name(p):
+                yield "param", _c_name(p), f.line, f.owner, f.name
+        first = content.count("\n", 0, f.body[0]) + 1
+        for name, line in brace.local_names(f.body_text, first):
+            yield "local", name, line, f.owner, f.name
+
+
+def code_accesses(content: str, language: str) -> Iterator[tuple]:
+    """(owner, function, begin_line, receiver, member, line, written, called) of each member access in a function."""
+    if language == "python":
+        tree = _parsed(content)
+        for f, owner in _python_owners(tree) if tree else ():
+            for x in python_accesses(f):
+                yield owner, f.name, f.lineno, *x
+        return
+    for f in brace.scan(content, language)[0]:
+        first = content.count("\n", 0, f.body[0]) + 1
+        for x in brace.accesses(f.body_text, first):
+            yield f.owner, f.name, f.line, *x
+
+
+def _python_fields(node: ast.ClassDef) -> set[str]:
+    """Names bound in the class body, and those that its methods set on self or cls."""
+    out = set()
+    for s in node.body:
+        targets = s.targets if isinstance(s, ast.Assign) else [s.target] if isinstance(s, ast.AnnAssign) else []
+        out |= {x.id for t in targets for x in ast.walk(t) if isinstance(x, ast.Name)}
+        if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            out |= {x.attr for x in ast.walk(s) if isinstance(x, ast.Attribute) and isinstance(x.ctx, ast.Store) and isinstance(x.value, ast.Name) and x.value.id in ("self", "cls")}
+    return out
+
+
+CLASS_FIELDS = "kind string, name string, begin_line int, end_line int, nom int, nof int, wmc int, loc int, supers array<string>, interfaces array<string>"
+
+
+def code_classes(content: str, language: str) -> Iterator[tuple]:
+    """CLASS_FIELDS of each type: methods, fields, summed method complexity (1 at least each) and lines without comments.
+
+    A C source is one module of its functions; C++ functions defined outside count for the class that owns them.
+    """
+    if language == "python":
+        tree = _parsed(content)
+        lines = content.splitlines()
+        for node in ast.walk(tree) if tree else ():
+            if isinstance(node, ast.ClassDef):
+                methods = [s for s in node.body if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef))]
+                wmc = sum(max(1, _python_controls(m)) for m in methods)
+                loc = sum(1 for x in lines[node.lineno - 1 : node.end_lineno] if re.sub("#.*", "", x).strip())
+                yield "class", node.name, node.lineno, node.end_lineno, len(methods), len(_python_fields(node)), wmc, loc, [ast.unparse(b) for b in node.bases], []
+        return
+    functions, types = brace.scan(content, language)
+    weight = lambda f: max(1, brace.control_nodes(brace.parse_body(f.body_text)))
+    if language == "c":
+        loc = brace.non_comment_loc(content)
+        yield "module", "", 1, content.count("\n") + 1, len(functions), 0, sum(map(weight, functions)), loc, [], []
+        return
+    for t in types:
+        if t.kind in ("namespace", "anonymous"):
+            continue
+        own = [f for f in functions if f.owner == t.name or (language == "cpp" and f.owner and t.name.endswith(f".{f.owner}"))]
+        text = content[t.at : t.end]
+        yield t.kind, t.name, t.line, t.end_line, len(own), len(brace.field_names(text[text.find("{") :], language)), sum(map(weight, own)), brace.non_comment_loc(text), t.supers, t.interfaces
+
+
+def _python_controls(f: ast.AST) -> int:
+    n, stack = 0, list(f.body)
+    while stack:
+        node = stack.pop()
+        if isinstance(node, _SCOPES):
+            continue
+        n += isinstance(node, _CONTROL)
+        stack.extend(ast.iter_child_nodes(node))
+    return n
 
 
 @udtf(returnType="name string, begin_line int, end_line int, n_params int, nesting int, complexity int, branches int")
@@ -131,14 +368,48 @@ class PythonFunctions:
         yield from python_functions(content or "")
 
 
+@udtf(returnType=FUNCTION_FIELDS)
+class CodeFunctions:
+    def eval(self, content: str, language: str):
+        yield from code_functions(content or "", language or "")
+
+
+@udtf(returnType="kind string, name string, line int, owner string, function string")
+class CodeIdentifiers:
+    def eval(self, content: str, language: str):
+        yield from code_identifiers(content or "", language or "")
+
+
+@udtf(returnType="owner string, function string, begin_line int, receiver string, member string, line int, written boolean, called boolean")
+class CodeAccesses:
+    def eval(self, content: str, language: str):
+        yield from code_accesses(content or "", language or "")
+
+
+@udtf(returnType=CLASS_FIELDS)
+class CodeClasses:
+    def eval(self, content: str, language: str):
+        yield from code_classes(content or "", language or "")
+
+
 def register(spark: SparkSession) -> None:
-    """Make diff_lines and python_functions known to SQL."""
-    spark.udtf.register("diff_lines", DiffLines)
-    spark.udtf.register("python_functions", PythonFunctions)
+    """Make the table functions known to SQL."""
+    for name, kind in (("diff_lines", DiffLines), ("python_functions", PythonFunctions), ("code_functions", CodeFunctions), ("code_identifiers", CodeIdentifiers), ("code_accesses", CodeAccesses), ("code_classes", CodeClasses)):
+        spark.udtf.register(name, kind)
 
 
 def functions(spark: SparkSession, files: DataFrame) -> DataFrame:
     """Functions of Python files, one table function call for each file."""
     register(spark)
-    files.where("language = 'python'").createOrReplaceTempView("_python_files")
-    return spark.sql("SELECT f.path, p.* FROM _python_files f, LATERAL python_functions(f.content) p")
+    return spark.sql("SELECT f.path, p.* FROM {files} f, LATERAL python_functions(f.content) p WHERE f.language = 'python'", files=files)
+
+
+def scan_code(spark: SparkSession, files: DataFrame, what: str = "functions") -> DataFrame:
+    """functions, identifiers, accesses or classes of files (path, language, content): path, language and the columns of the table function.
+
+    One call for each file, in the task that has it; a file is parsed whole, files not together.
+    """
+    register(spark)
+    if what not in ("functions", "identifiers", "accesses", "classes"):
+        raise ValueError(f"unknown scan: {what}")
+    return spark.sql(f"SELECT f.path, f.language, p.* FROM {{files}} f, LATERAL code_{what}(f.content, f.language) p", files=files)

@@ -7,10 +7,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from codeprism.functions import rules, text
-from codeprism.operators import diffs, ranking, relations
-from codeprism.plans import catalog
-from codeprism.sources import scans
+from codeprism.functions import gate, lexical, logs, rules, text
+from codeprism.operators import clones, diffs, findings, ranking, relations
+from codeprism.plans import catalog, code_catalog  # noqa: F401
+from codeprism.sources import brace, scans
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,8 +62,8 @@ def test_envy_reduction(spark, access, total, cap):
 
 def test_paths_and_groups(spark):
     r = spark.createDataFrame([("./Src\\A.CPP", "pkg.Foo#Bar.run(int a)", "group=a; x=1", "java.util.List:b|int:a")], "p string, m string, e string, g string")
-    got = r.select(text.normalize_path(F.col("p")), text.language_of(F.col("p")), text.normalize_method(F.col("m")), text.evidence_value(F.col("e"), "x"), text.normalize_group(F.col("g")), text.erase_generics(F.lit("Map<String, List<A>>"))).first()
-    assert tuple(got) == ("src/a.cpp", "cpp", "run", "1", "int:a|list:b", "Map")
+    got = r.select(text.normalize_path(F.col("p")), text.language_of(F.col("p")), text.normalize_method(F.col("m")), text.evidence_value(F.col("e"), "x"), lexical.normalize_group(F.col("g")), lexical.erase_type(F.lit("final @A(x) Map<String, List<A<B<C>>>> ..."))).first()
+    assert tuple(got) == ("src/a.cpp", "cpp", "run", "1", "int:a|list:b", "Map[]")
 
 
 PATCH = """--- a/x.py
@@ -85,7 +85,7 @@ def test_diff_lines_map_and_blocks(spark):
     lines = spark.createDataFrame(list(scans.parse_patch(PATCH)), "file string, hunk int, kind string, old_line int, new_line int, content string")
     targets = spark.createDataFrame([("x.py", n) for n in (1, 2, 3, 7, 10, 11, 12, 20)], "file string, old_line int")
     got = {r["old_line"]: r["new_line"] for r in diffs.map_lines(targets, lines).collect()}
-    assert got == {1: 1, 2: None, 3: 4, 7: 8, 10: 11, 11: None, 12: 12, 20: 20}
+    assert got == {1: 1, 2: 2, 3: 4, 7: 8, 10: 11, 11: None, 12: 12, 20: 20}
     assert [tuple(r) for r in diffs.blocks(lines).collect()] == [("x.py", 1, 2, 3, "TWO\ntwo and a half")]
     assert {(r["begin"], r["end"]) for r in diffs.changed_ranges(lines).collect()} == {(2, 3), (11, 11)}
     with pytest.raises(ValueError):
@@ -104,6 +104,87 @@ def test_functions_and_scan(spark, tmp_path):
     assert got == {"f": (1, 8, 3, 2, 4, 3), "g": (10, 11, 0, 0, 0, 0)}
 
 
+def test_brace_scan():
+    java = """package a;
+public class Foo extends Bar<String> implements Baz, Qux<Integer> {
+  private int x = 0, y;
+  @Override(value = "}") public int run(final int a, Map<String, List<Integer>> m) throws E {
+    if (a > 0 && m != null || x == 1) { for (int i = 0; i < a; i++) { x += i; } }
+    else if (a < 0) { return run(a, m); }
+    else { y = 2; }
+    Runnable r = () -> { if (x > 0) { y++; } };
+    Object o = new Object() { public String toString() { return "" + x; } };
+    this.helper.doIt(a).z = other.field;
+    return a > 0 ? 1 : 2;
+  }
+  Foo() { super(); }
+}
+"""
+    functions, types = brace.scan(java, "java")
+    assert [(f.owner, f.name, f.line, f.end_line, len(f.params)) for f in functions] == [("Foo", "run", 4, 12, 2), ("Foo", "toString", 9, 9, 0), ("Foo", "Foo", 13, 13, 0)]
+    assert [(t.kind, t.name, t.supers, t.interfaces) for t in types if t.kind != "anonymous"] == [("class", "Foo", ["Bar"], ["Baz", "Qux"])]
+    run = brace.parse_body(functions[0].body_text)
+    # if 1, && and || 2, for 2, else-if 1, else 1, recursion 1, the lambda's if 2, ternary 1
+    assert brace.cognitive(run, "run") == 11
+    assert brace.nesting(run, "java") == 2
+    assert sorted(brace.accesses(functions[0].body_text)) == [("other", "field", 7, False, False), ("this", "doIt", 7, False, True), ("this", "helper", 7, False, False), ("this", "z", 7, True, False)]
+    assert [n for n, _ in brace.local_names(functions[0].body_text)] == ["i", "r", "o"]
+    cpp = """#if A
+class K : public Base {
+  int a;
+ public:
+  K(int q) : a(q), v{1, 2} { a = 1; }
+  bool operator==(const K& o) const { return a == o.a; }
+  std::vector<int> v;
+};
+#else
+int broken( {
+#endif
+static int K::run(struct foo *p, int arr[10], void (*cb)(int)) { try { f(); } catch (const E& e) { g(); } return 0; }
+struct foo *mk(void) { return 0; }
+"""
+    functions, types = brace.scan(cpp, "cpp")
+    assert [(f.owner, f.name, len(f.params)) for f in functions] == [("K", "K", 1), ("K", "operator==", 1), ("K", "run", 3), ("", "mk", 0)]
+    assert types[0].supers == ["Base"] and brace.field_names(cpp[types[0].at : types[0].end][cpp[types[0].at :].find("{") :], "cpp") == ["a", "v"]
+    masked = brace.mask('a = "x//y"; // c\n/* d\n */ \'"\' b')
+    assert masked == "a =       ;     \n    \n        b" and len(masked) == len('a = "x//y"; // c\n/* d\n */ \'"\' b')
+    assert brace.test_strength("@Test void a() { assertEquals(1, 2); /* @Test */ } @Disabled @Test void b() { assumeTrue(x); }") == (2, 1, 1, 1)
+
+
+def test_python_accesses_fold_aliases():
+    src = "def f(r, q):\n    x = r.part\n    x.go()\n    x = q\n    x.stop = 1\n    for x in y:\n        x.z\n"
+    assert [t[3:] for t in scans.code_accesses(src, "python")] == [("r", "part", 2, False, False), ("r", "go", 3, False, True), ("q", "stop", 5, True, False), ("x", "z", 7, False, False)]
+    nested = "def f():\n    with a:\n        try:\n            if b:\n                pass\n        except E:\n            pass\n"
+    assert [r[6] for r in scans.code_functions(nested, "python")] == [1]
+
+
+def test_failures_and_targets(spark):
+    r = spark.range(1).select(logs.failure_fingerprint(F.lit(2), F.lit("one\ntwo\nthree\nfour")), logs.failure_fingerprint(F.lit(1), F.lit("")), gate.root_cause(F.lit("x: SCOPE_GONE now")), gate.root_cause(F.lit("a TARGET_AMBIGUOUS b")), gate.root_cause(F.lit("nothing")), rules.suspicious_context(F.lit('{"score": 1, "z": 2}')), rules.suspicious_context(F.lit("")), gate.binary_kind(F.unhex(F.lit("7F454C4602")))).first()
+    assert tuple(r) == ("exit=2 | one | two | three", "exit=1", "SCOPE_GONE", "TARGET_AMBIGUOUS", "BASELINE_CAPTURE_FAILED", "target context cannot contain detector verdict fields: score", None, "elf")
+
+
+def test_dead_code_and_bequests(spark):
+    methods = spark.createDataFrame([("A", "used", 0, True, False, "{ x(); }"), ("A", "dead", 1, True, False, "{ dead(1); }"), ("A", "main", 1, True, False, "{}"), ("B", "go", 0, False, False, "{ throw new UnsupportedOperationException(); }"), ("P", "go", 0, False, False, "{ run(); }")], "owner string, name string, arity int, private boolean, annotated boolean, body string")
+    calls = spark.createDataFrame([("A", "x", "used", 0), ("A", "dead", "dead", 1)], "owner string, caller string, name string, arity int")
+    assert [r["name"] for r in findings.dead_code(methods, calls).collect()] == ["dead"]
+    above = relations.ancestor_closure(spark.createDataFrame([("B", "P"), ("P", "Q")], "child string, parent string"))
+    assert [tuple(r) for r in findings.refused_bequests(methods, above).collect()] == [("B", "go", 0, "unsupported", "P")]
+    with pytest.raises(ValueError):
+        relations.ancestor_closure(spark.createDataFrame([(str(i), str(i + 1)) for i in range(9)], "child string, parent string"))
+    refs = spark.createDataFrame([("f", "p", ["a.X"], ["b", "c"], n) for n in ("X", "Y", "String", "q.Z", "W")], "file string, package string, imports array<string>, wildcards array<string>, name string")
+    known = spark.createDataFrame([("b", "Y"), ("c", "Y"), ("p", "W"), ("b", "W")], "package string, name string")
+    assert {r["name"]: r["resolved"] for r in findings.resolve_types(refs, known).collect()} == {"X": "a.X", "Y": "ambiguous:Y", "String": "java.lang.String", "q.Z": "q.Z", "W": "p.W"}
+
+
+def test_maximal_matches(spark):
+    a = spark.createDataFrame([(1, "q a b c d e f z a b c"), (2, "x y")], "i int, text string")
+    b = spark.createDataFrame([(7, "a b c d e f g a b c")], "j int, text string")
+    got = {tuple(r) for r in clones.maximal_matches(a, "i", b, "j", n=3).collect()}
+    assert got == {(1, 7, 1, 0, 6), (1, 7, 8, 0, 3), (1, 7, 1, 7, 3), (1, 7, 8, 7, 3)}
+    assert tuple(clones.first_maximal_window(a, "i", b, "j", n=3).first()) == (1, 7, 1, 0, 6)
+    assert clones.longest_match(a, "i", b, "j", n=3).first()["n_tokens"] == 6
+
+
 def test_locations(spark):
     rows = spark.createDataFrame([("a.py:3;b.c:method=int f(int, char)|line=9 <-> c.cpp:class=K|line=1",)], "location string")
     got = [(r["location_file"], r["location_line"], r["location_name"], r["location_ok"]) for r in scans.locations(rows).collect()]
