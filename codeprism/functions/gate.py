@@ -198,7 +198,7 @@ def termination_reasons(loop: Column, verify: Column, runtime: Column, trace: Co
 
 def timing(now: Column, started: Column, budget_started: Column) -> Column:
     """Total, setup and budget seconds with one decimal, never below 0; without a budget's start all of it is setup."""
-    text = lambda x: F.format_string("%.1f", F.greatest(x, F.lit(0.0)).cast("double"))
+    text = lambda x: F.format_string("%.1f", F.bround(F.greatest(x, F.lit(0.0)).cast("double"), 1))
     return F.struct(text(now - started).alias("duration_seconds"), F.when(budget_started.isNull(), text(now - started)).otherwise(text(budget_started - started)).alias("setup_duration_seconds"), F.when(budget_started.isNull(), "").otherwise(text(now - budget_started)).alias("sample_budget_elapsed_seconds"))
 
 

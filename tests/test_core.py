@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from codeprism.functions import gate, lexical, logs, rules, text
 from codeprism.operators import clones, diffs, findings, ranking, relations
-from codeprism.plans import catalog, code_catalog  # noqa: F401
+from codeprism.plans import catalog, code_catalog, verdict_catalog  # noqa: F401
+from codeprism.sinks import files
 from codeprism.sources import brace, scans
 
 SF = "/root/testdata/sf0.001"
@@ -18,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in "region nation customer supplier part orders lineitem events documents benchmark pages".split():
+    for t in "region nation customer supplier part orders lineitem events documents benchmark pages conversations".split():
         c.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return c
 
@@ -176,6 +177,25 @@ def test_dead_code_and_bequests(spark):
     assert {r["name"]: r["resolved"] for r in findings.resolve_types(refs, known).collect()} == {"X": "a.X", "Y": "ambiguous:Y", "String": "java.lang.String", "q.Z": "q.Z", "W": "p.W"}
 
 
+def test_sinks(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "a"), (2, "b" * 70_000)], "sample_id int, decision string").withColumns({"evidence": F.lit("e"), "log": F.lit("l")})
+    files.write_artifacts(rows.where("sample_id = 1"), str(tmp_path / "ok"))
+    assert spark.read.json(str(tmp_path / "ok" / "decision")).first()["decision"] == "a"
+    with pytest.raises(Exception, match="exceeds 65536"):
+        files.write_artifacts(rows, str(tmp_path / "big"))
+    files.capture_baseline(rows, str(tmp_path / "c000"))
+    with pytest.raises(Exception, match="exists"):
+        files.capture_baseline(rows, str(tmp_path / "c000"))
+    back = spark.read.parquet(str(tmp_path / "c000"))
+    assert files.broken_seals(back).count() == 0 and files.broken_seals(back.withColumn("log", F.lit("x"))).count() == 2
+    files.append_results(rows.select("sample_id").limit(1), str(tmp_path / "r"))
+    files.append_results(rows.select("sample_id").limit(1), str(tmp_path / "r"))
+    assert files.read_csv(spark, str(tmp_path / "r"), "sample_id int").count() == 2
+    files.write_json(rows.select("sample_id", "log"), str(tmp_path / "j"))
+    assert spark.read.text(str(tmp_path / "j")).orderBy("value").first()[0] == '{"log":"l","sample_id":1}'
+    assert files.markdown(rows.select("sample_id"), "T") == "# T\n\n| sample_id |\n| --- |\n| 1 |\n| 2 |\n"
+
+
 def test_maximal_matches(spark):
     a = spark.createDataFrame([(1, "q a b c d e f z a b c"), (2, "x y")], "i int, text string")
     b = spark.createDataFrame([(7, "a b c d e f g a b c")], "j int, text string")
