@@ -13,20 +13,22 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Sides of at most so many rows are broadcast, after counting; larger ones are shuffled.
+#: Sides of at most so many rows and bytes of Parquet are broadcast, once they are written; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one where the session names none (local mode)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir, else the session's checkpoint folder; in local mode without either a temporary one."""
+    context = spark.sparkContext
+    found = context._jsc.sc().getCheckpointDir()
+    base = context.getConf().get("spark.checkpoint.dir") or (found.get() if found.isDefined() else None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if context.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else f"file://{tempfile.mkdtemp(prefix='codeprism-')}"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(base)
+        base = f"file://{tempfile.mkdtemp(prefix='codeprism-')}"
+    if not found.isDefined():
+        context.setCheckpointDir(base)
     return base.rstrip("/")
 
 
@@ -35,17 +37,23 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: short lineage that outlives executors."""
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _stored(df, name)[0]
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if a count shows at most so many rows; else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def bounded(df: DataFrame, name: str = "side", rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """df, computed once and written to the shared folder; to be broadcast if the files hold at most so many bytes and rows."""
+    out, path = _stored(df, name)
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    length = at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return F.broadcast(out) if length <= size and out.count() <= rows else out
 
 
 def require(df: DataFrame, columns: Sequence[str]) -> None:

@@ -19,6 +19,20 @@ def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+#: Every pair of documents with a common shingle, counted on whole sets; components by reachability.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM d),
+n AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
+u AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT n.doc_id, n.n AS n_shingles, m.component_id, n.doc_id = m.component_id AS kept FROM n JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) m ON m.a = n.doc_id
+"""
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -38,5 +52,22 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: Windows of 50 bytes as 100 hexadecimal digits, cut from blocks of 500 bytes (and 49 more) of each text.
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+k AS (SELECT doc_id, unnest(range(0, greatest(len(x) // 2 - 49, 0), 500)) AS lo, x FROM d),
+c AS (SELECT doc_id, lo, substr(x, 2 * lo + 1, 1098) AS x FROM k),
+w AS (SELECT doc_id, lo + unnest(range(0, least(len(x) // 2 - 49, 500))) AS p, substr(x, 2 * unnest(range(0, least(len(x) // 2 - 49, 500))) + 1, 100) AS g FROM c),
+f AS (SELECT doc_id, p, min(doc_id) OVER (PARTITION BY g) < doc_id AS late FROM w),
+i AS (SELECT doc_id, p, coalesce(p > lag(p) OVER o + 50, true)::INT AS fresh FROM f WHERE late WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+j AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS s FROM i),
+s AS (SELECT doc_id, min(p) AS b, max(p) + 50 AS e FROM j GROUP BY doc_id, s),
+g AS (SELECT doc_id, b, e, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY b) AS z FROM s),
+h AS (SELECT doc_id, sum(e - b)::BIGINT AS n_removed, count(*) AS n_spans, max(e) AS e, string_agg(substr(x, 2 * z + 1, 2 * (b - z)), '' ORDER BY b) AS kept FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(CASE WHEN e IS NULL THEN x ELSE kept || substr(x, 2 * e + 1) END)) AS kept_sha256
+FROM d LEFT JOIN h USING (doc_id)
+"""
+
+
 QUERIES = {"op1_toxicity": op1_toxicity, "op5_warc": op5_warc, "op7_minhash": op7_minhash, "op8_suffix_dedup": op8_suffix_dedup}
-SQL = {"op5_warc": OP5_SQL}
+SQL = {"op5_warc": OP5_SQL, "op7_minhash": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
