@@ -67,12 +67,16 @@ def _position(share: Column, rank: Column, schedules: Sequence) -> Column:
     return out
 
 
-def _placed(docs: DataFrame, weights: Sequence[float], max_epochs: int, prefix_hex: int) -> DataFrame:
-    """docs with size, source_size, target, rank, _full (whole passes), _rest (words of the last pass), _begin and _part."""
+def _sized(docs: DataFrame, prefix_hex: int) -> DataFrame:
+    """docs with size, and what places a document within its source; `text` is read here only."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.withColumns({"size": F.regexp_count(text, F.lit(WORD)).cast("long"), "_hash": F.md5(key_text("doc_id")), "_crc": F.crc32(text)})
-    rows = rows.withColumns({"_range": F.substring("_hash", 1, prefix_hex), "_s": F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))})
-    sums = rows.groupBy("_s", "_range").agg(F.sum("size").alias("_n"), F.first("source").alias("source"))
+    rows = docs.withColumns({"size": F.regexp_count(text, F.lit(WORD)).cast("long"), "_hash": F.md5(key_text("doc_id")), "_crc": F.crc32(text)}).drop("text")
+    return rows.withColumns({"_range": F.substring("_hash", 1, prefix_hex), "_s": F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))})
+
+
+def _ranges(sized: DataFrame, weights: Sequence[float], max_epochs: int) -> DataFrame:
+    """A row for each hash range of each source: the words before it, and the source's size, target, rank and passes."""
+    sums = materialise(sized.groupBy("_s", "_range").agg(F.sum("size").alias("_n"), F.first("source").alias("source")), "mix-ranges")
     targets = plan_targets(sums.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, max_epochs)
     some = F.col("source_size") > 0
     full = F.least(F.when(some, F.floor(F.col("target") / F.col("source_size"))).otherwise(0), F.lit(max_epochs)).cast("long")
@@ -80,9 +84,13 @@ def _placed(docs: DataFrame, weights: Sequence[float], max_epochs: int, prefix_h
     before = Window.partitionBy("_s").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     begins = sums.select("source", "_s", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     t = targets.withColumnRenamed("source", "_ts")
-    ranges = begins.join(t, F.col("source").eqNullSafe(F.col("_ts"))).select("_s", "_range", "_before", "source_size", "target", "rank", "_full", "_rest")
+    return begins.join(t, F.col("source").eqNullSafe(F.col("_ts"))).select("_s", "_range", "_before", "source_size", "target", "rank", "_full", "_rest")
+
+
+def _placed(sized: DataFrame, ranges: DataFrame, max_epochs: int) -> DataFrame:
+    """sized with source_size, target, rank, _full (whole passes), _rest (words of the last pass), _begin and _part."""
     inside = Window.partitionBy("_s", "_range").orderBy("_hash", F.col("doc_id").asc_nulls_last(), "_crc", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ranges, ["_s", "_range"])
+    placed = sized.withColumn("_in", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ranges, ["_s", "_range"])
     placed = placed.withColumn("_begin", F.col("_in") + F.col("_before"))
     part = (F.col("size") > 0) & (F.col("_full") < max_epochs) & (F.col("_begin") + F.col("size") <= F.col("_rest"))
     return placed.withColumn("_part", part).drop("_hash", "_crc", "_range", "_in", "_before")
@@ -94,18 +102,17 @@ def _gaps(placed: DataFrame, max_epochs: int) -> DataFrame:
     gaps = got.withColumn("_gap", F.col("_rest") - F.col("_got"))
     left = placed.where(~F.col("_part") & (F.col("size") > 0) & (F.col("_full") < max_epochs)).select("_s", "_begin", "size")
     off = F.abs(F.col("size") - F.col("_gap"))
-    near = left.join(bounded(gaps), "_s").where(off < F.col("_gap"))
+    near = left.join(bounded(gaps, "mix-gaps"), "_s").where(off < F.col("_gap"))
     best = near.groupBy("_s").agg(F.min(F.struct(off.alias("off"), F.col("_begin").alias("at")))["at"].alias("_fill"))
     return gaps.join(best, "_s", "left").select("_s", "_got", "_fill")
 
 
-def _decided(placed: DataFrame, gaps: DataFrame, schedules: Sequence) -> DataFrame:
-    """placed with copies, taken and first_position."""
+def _decided(placed: DataFrame, gaps: DataFrame) -> DataFrame:
+    """placed with copies, taken and _fills."""
     out = placed.join(gaps, "_s", "left")
     fills = F.coalesce((F.col("_begin") == F.col("_fill")) & (F.col("size") > 0) & ~F.col("_part"), F.lit(False))
     copies = F.when(F.col("size") > 0, F.col("_full") + (F.col("_part") | fills).cast("int")).otherwise(F.lit(0)).cast("int")
-    out = out.withColumn("_fills", fills).withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
-    return out.withColumn("first_position", F.when(F.col("copies") > 0, _at(F.lit(0), schedules)))
+    return out.withColumn("_fills", fills).withColumn("copies", copies).withColumn("taken", (F.col("copies") * F.col("size")).cast("long"))
 
 
 def _at(epoch: Column, schedules: Sequence) -> Column:
@@ -115,42 +122,49 @@ def _at(epoch: Column, schedules: Sequence) -> Column:
     return _position(F.least(share, F.lit(1.0)), F.col("rank"), schedules)
 
 
-def _in_order(decided: DataFrame, schedules: Sequence, *columns: str) -> DataFrame:
-    """A row for each copy of the documents taken: columns, position, pass; range-sorted by position."""
-    # the passes of a document: 0, 1, ... copies - 1; the part pass is pass _full
-    rows = decided.withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1)))
-    rows = rows.withColumn("position", _at(F.col("_pass"), schedules)).select(*columns, "position", F.col("_pass").cast("int").alias("pass"))
-    return rows.repartitionByRange(rows["position"], rows["doc_id"]).sortWithinPartitions("position", "doc_id", "pass")
+def _planned(docs: DataFrame, weights: Sequence[float], max_epochs: int, prefix_hex: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The decided rows without texts, the ranges and the gaps; each text is read once."""
+    sized = materialise(_sized(docs.select("doc_id", "text", "source"), prefix_hex), "mix-sizes")
+    ranges = bounded(_ranges(sized, weights, max_epochs), "mix-begins")
+    placed = materialise(_placed(sized, ranges, max_epochs), "mix-plan")
+    gaps = bounded(_gaps(placed, max_epochs), "mix-filled")
+    return _decided(placed, gaps), ranges, gaps
 
 
 def plan_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence = SCHEDULES, max_epochs: int = MAX_EPOCHS, prefix_hex: int = 3) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken, copies (0 to max_epochs), first_position.
+    """One row per document, range-sorted by its first training position: doc_id, source, size, source_size, target, taken, copies, first_position, last_position.
 
     Documents of a source stand in the order of the hash of doc_id. Whole passes over a source come first; the last pass
     takes what ends within the target, and one more document, the one whose size is closest to the gap, fills it. So
-    copies are whole documents, and the words taken come as near the target as some document fits. Running sums go over
-    hash ranges (16^prefix_hex for each source), so that no task sorts a whole source.
+    copies (0 to max_epochs) are whole documents, and the words taken come as near the target as some document fits.
+    Each source's weight over training time is integrated; a copy's place in its source's words, as a share of the
+    target, is taken through the inverse of that integral, which is its position (0 to 1). Documents that are not taken
+    have none and come last. Running sums go over hash ranges (16^prefix_hex for each source), so that no task sorts a
+    whole source.
     Null text: size 0, never taken. A null source is a source of its own, ranked last. Rows of one doc_id stand by their
-    text's CRC-32 and size; alike rows are taken as if they had different keys. An empty table gives an empty one.
+    text's CRC-32 and size; alike rows are taken as if they had different keys. Other columns are not read. An empty
+    table gives an empty one.
     """
     require(docs, ["doc_id", "text", "source"])
-    placed = materialise(_placed(docs.select("doc_id", "text", "source"), weights, max_epochs, prefix_hex).drop("text"), "mix-plan")
-    return _decided(placed, bounded(_gaps(placed, max_epochs)), schedules).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "first_position")
-
-
-def curriculum(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence = SCHEDULES, max_epochs: int = MAX_EPOCHS, prefix_hex: int = 3) -> DataFrame:
-    """The order of training without the rows: doc_id, size, source_size, target, copies, position, pass of each copy, as mix has them."""
-    require(docs, ["doc_id", "text", "source"])
-    placed = materialise(_placed(docs.select("doc_id", "text", "source"), weights, max_epochs, prefix_hex).drop("text"), "mix-plan")
-    rows = _decided(placed, bounded(_gaps(placed, max_epochs)), schedules).where("copies > 0")
-    return _in_order(rows, schedules, "doc_id", "size", "source_size", "target", "copies")
+    rows, _, _ = _planned(docs, weights, max_epochs, prefix_hex)
+    taken = F.col("copies") > 0
+    rows = rows.withColumns({"first_position": F.when(taken, _at(F.lit(0), schedules)), "last_position": F.when(taken, _at(F.col("copies").cast("long") - 1, schedules))})
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "first_position", "last_position")
+    order = F.coalesce("first_position", F.lit(2.0))
+    return rows.repartitionByRange(order, F.col("doc_id")).sortWithinPartitions(order, "doc_id")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, schedules: Sequence = SCHEDULES, max_epochs: int = MAX_EPOCHS, prefix_hex: int = 3) -> DataFrame:
-    """The mix itself: each document as many times as plan_mix has it, with `position` (0 to 1), range-sorted by it."""
+    """The mix itself: each document as many times as plan_mix has it, with `position` (0 to 1) and `pass`, range-sorted by position.
+
+    Columns of docs pass through, whatever their names; `position` and `pass` of docs are replaced.
+    """
     require(docs, ["doc_id", "text", "source"])
+    docs = docs.drop("position", "pass")
+    _, ranges, gaps = _planned(docs, weights, max_epochs, prefix_hex)
     renamed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source")
-    args = (weights, max_epochs, prefix_hex)
-    narrow = materialise(_placed(docs.select("doc_id", "text", "source"), *args).drop("text"), "mix-plan")
-    rows = _decided(_placed(renamed, *args).drop("text"), bounded(_gaps(narrow, max_epochs)), schedules).where("copies > 0")
-    return _in_order(rows, schedules, "_row.*")
+    rows = _decided(_placed(_sized(renamed, prefix_hex), ranges, max_epochs), gaps).where("copies > 0")
+    # the passes of a document: 0, 1, ... copies - 1; the part pass is pass _full
+    rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies").cast("long") - 1)))
+    rows = rows.select("_row.*", _at(F.col("_pass"), schedules).alias("position"), F.col("_pass").cast("int").alias("pass"))
+    return rows.repartitionByRange(rows["position"], rows["doc_id"]).sortWithinPartitions("position", "doc_id", "pass")
