@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .decontaminate import find_overlaps
 from .exact import exact_dedup
 from .licenses import COSINE_SQUARED, TEMPLATES, scan_licenses
-from .lines import RUN, dedup_lines
-from .mix import MAX_EPOCHS, SCHEDULES, WEIGHTS, curriculum, plan_mix
+from .lines import LONG, RUN, dedup_lines
+from .mix import MAX_EPOCHS, SCHEDULES, WEIGHTS, plan_mix
 from .shard import shard_documents
 
 
@@ -26,7 +26,7 @@ eq AS (SELECT doc_id, item_id, n, p - q AS d, q FROM dt JOIN bt USING (tok)),
 few AS (SELECT *, least(n, 20) AS w FROM eq QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, d) >= ceil(least(n, 20) * 0.8::DOUBLE)),
 m AS (SELECT doc_id, item_id, n, w, count(*) OVER (PARTITION BY doc_id, item_id, d ORDER BY q RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS c FROM few)
 SELECT doc_id, item_id, max(n)::BIGINT AS n_item, max(w)::BIGINT AS "window", max(c)::BIGINT AS matched, max(c)::DOUBLE / max(w)::DOUBLE AS similarity
-FROM m WHERE n >= 4 GROUP BY doc_id, item_id HAVING max(c) >= ceil(max(w) * 0.8::DOUBLE)
+FROM m GROUP BY doc_id, item_id HAVING max(c) >= ceil(max(w) * 0.8::DOUBLE)
 """
 
 
@@ -87,8 +87,8 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = f"""
 WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
 w AS (SELECT doc_id, p, line, string_agg(line, chr(10)) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {RUN - 1} FOLLOWING) AS win, count(*) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND {RUN - 1} FOLLOWING) AS n FROM l),
-r AS (SELECT *, n = {RUN} AND row_number() OVER (PARTITION BY win, n ORDER BY doc_id, p) > 1 AS again FROM w),
-g AS (SELECT doc_id, p, line, bool_or(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {RUN - 1} PRECEDING AND CURRENT ROW) AS gone FROM r),
+r AS (SELECT *, n = {RUN} AND row_number() OVER (PARTITION BY win, n ORDER BY doc_id, p) > 1 AS again, strlen(line) >= {LONG} AND row_number() OVER (PARTITION BY line ORDER BY doc_id, p) > 1 AS alone FROM w),
+g AS (SELECT doc_id, p, line, alone OR bool_or(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN {RUN - 1} PRECEDING AND CURRENT ROW) AS gone FROM r),
 s AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM g)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count_if(gone)::BIGINT AS n_removed, count_if(starts)::BIGINT AS n_runs, sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256 FROM s GROUP BY doc_id
 """
@@ -98,8 +98,38 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def _crc(byte: int) -> int:
+    for _ in range(8):
+        byte = (byte >> 1) ^ (0xEDB88320 if byte & 1 else 0)
+    return byte
+
+
+def _op9_sql() -> str:
+    """CRC-32 by its table, byte for byte; the largest of ln(u) for each shard; slots by the whole order."""
+    table = ", ".join(f"{_crc(i)}::BIGINT" for i in range(256))
+    score = "list_transform(range({0}), lambda i: ln((('0x' || substr(md5(doc_id::VARCHAR || ':' || i), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE))"
+    return f"""
+WITH b AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents),
+c AS (SELECT doc_id, size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, [{table}][(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32, {score.format(8)} AS s, {score.format(9)} AS t FROM b),
+h AS (SELECT *, (list_position(s, list_max(s)) - 1)::INT AS shard, (list_position(t, list_max(t)) - 1)::INT AS grown_shard FROM c)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY md5(doc_id::VARCHAR), doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM h
+"""
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    return plan_mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
+
+
+def _positions_sql() -> str:
+    """pos: z with the position of its share, by inverting the integral of the knots."""
+    knots = ", ".join(f"({law}, {i}, {t}::DOUBLE, {w}::DOUBLE)" for law, s in enumerate(SCHEDULES) for i, (t, w) in enumerate(s))
+    return f"""kn AS (SELECT *, lead(t) OVER law AS t1, lead(w) OVER law AS w1 FROM (VALUES {knots}) v(law, i, t, w) WINDOW law AS (PARTITION BY law ORDER BY i)),
+ar AS (SELECT *, (t1 - t) * (w + w1) / 2 AS area FROM kn WHERE t1 IS NOT NULL),
+tt AS (SELECT *, sum(area) OVER (PARTITION BY law) AS total FROM ar),
+pc AS (SELECT law, i, t AS t0, t1, w / total AS w0, (w1 - w) / (t1 - t) / total AS slope, coalesce(sum(area / total) OVER (PARTITION BY law ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM tt),
+pn AS (SELECT *, lead(done) OVER (PARTITION BY law ORDER BY i) AS next_done FROM pc),
+pos AS (SELECT z.*, least(t0 + CASE WHEN share > done THEN 2 * (share - done) / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * (share - done), 0))) ELSE 0 END, t1) AS position
+  FROM z JOIN pn ON law = rank % {len(SCHEDULES)} AND share >= done AND (next_done IS NULL OR share < next_done))"""
 
 
 def _op10_sql() -> str:
@@ -117,32 +147,14 @@ p AS (SELECT d.doc_id, d.source, d.size, d.h, source_size, target, passes, CASE
 q AS (SELECT *, size > 0 AND passes < {m} AND begins + size <= rest AS part FROM p),
 g AS (SELECT *, rest - coalesce(sum(size) FILTER (part) OVER (PARTITION BY source), 0) AS gap FROM q),
 f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY (part OR size = 0 OR passes >= {m} OR abs(size - gap) >= gap), abs(size - gap), begins) = 1 AND NOT (part OR size = 0 OR passes >= {m} OR abs(size - gap) >= gap) AS fills FROM g),
-k AS (SELECT *, CASE WHEN size > 0 THEN passes + (part OR fills)::INT ELSE 0 END::INT AS copies FROM f)
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies FROM k
-"""
-
-
-def op10_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
-def _op10_curriculum_sql() -> str:
-    """The plan of op10_mixing, its passes unrolled, and positions by inverting the integral of the knots."""
-    plan = _op10_sql().rpartition("\nSELECT ")[0]
-    knots = ", ".join(f"({law}, {i}, {t}::DOUBLE, {w}::DOUBLE)" for law, s in enumerate(SCHEDULES) for i, (t, w) in enumerate(s))
-    return rf"""{plan},
-kn AS (SELECT *, lead(t) OVER law AS t1, lead(w) OVER law AS w1 FROM (VALUES {knots}) v(law, i, t, w) WINDOW law AS (PARTITION BY law ORDER BY i)),
-ar AS (SELECT *, (t1 - t) * (w + w1) / 2 AS area FROM kn WHERE t1 IS NOT NULL),
-tt AS (SELECT *, sum(area) OVER (PARTITION BY law) AS total FROM ar),
-pc AS (SELECT law, i, t AS t0, t1, w / total AS w0, (w1 - w) / (t1 - t) / total AS slope, coalesce(sum(area / total) OVER (PARTITION BY law ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM tt),
-pn AS (SELECT *, lead(done) OVER (PARTITION BY law ORDER BY i) AS next_done FROM pc),
+k AS (SELECT *, CASE WHEN size > 0 THEN passes + (part OR fills)::INT ELSE 0 END::INT AS copies FROM f),
 x AS (SELECT k.*, s.rank, coalesce(sum(k.size) FILTER (part) OVER (PARTITION BY k.source), 0)::BIGINT AS got FROM k JOIN s ON k.source IS NOT DISTINCT FROM s.source),
-y AS (SELECT *, unnest(range(copies)) AS pass FROM x),
-z AS (SELECT *, least(((pass * source_size + CASE WHEN fills AND pass = passes THEN got ELSE begins END)::DOUBLE + size::DOUBLE / 2) / target, 1) AS share FROM y)
-SELECT doc_id, size, source_size, target, copies, least(t0 + CASE WHEN share > done THEN 2 * (share - done) / (w0 + sqrt(greatest(w0 * w0 + 2 * slope * (share - done), 0))) ELSE 0 END, t1) AS position, pass::INT AS pass
-FROM z JOIN pn ON law = rank % {len(SCHEDULES)} AND share >= done AND (next_done IS NULL OR share < next_done)
+y AS (SELECT *, 0 AS pass, 'first_position' AS what FROM x WHERE copies > 0 UNION ALL SELECT *, copies - 1, 'last_position' FROM x WHERE copies > 0),
+z AS (SELECT *, least(((pass * source_size + CASE WHEN fills AND pass = passes THEN got ELSE begins END)::DOUBLE + size::DOUBLE / 2) / target, 1) AS share FROM y),
+{_positions_sql()}
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies, max(position) FILTER (what = 'first_position') AS first_position, max(position) FILTER (what = 'last_position') AS last_position FROM x LEFT JOIN (SELECT doc_id, what, position FROM pos) USING (doc_id) GROUP BY ALL
 """
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op3_license_scan": op3_license_scan, "op4_exact_dedup": op4_exact_dedup, "op6_line_dedup": op6_line_dedup, "op9_sharding": op9_sharding, "op10_curriculum": op10_curriculum, "op10_mixing": op10_mixing}
-SQL = {"op2_decontamination": OP2_SQL, "op3_license_scan": _op3_sql(), "op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op10_curriculum": _op10_curriculum_sql(), "op10_mixing": _op10_sql()}
+QUERIES = {"op2_decontamination": op2_decontamination, "op3_license_scan": op3_license_scan, "op4_exact_dedup": op4_exact_dedup, "op6_line_dedup": op6_line_dedup, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+SQL = {"op2_decontamination": OP2_SQL, "op3_license_scan": _op3_sql(), "op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_sharding": _op9_sql(), "op10_mixing": _op10_sql()}
