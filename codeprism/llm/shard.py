@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_text, require, unit_hash
+from .common import bounded, key_text, require, unit_hash
 
 
 def _score(key: Column, shard: int, weight: float) -> Column:
@@ -26,7 +26,7 @@ def assign_shards(docs: DataFrame, weights: Sequence[float] = (1.0,) * 8, key: s
     Shard i scores ln(u_i) / weight_i, u_i uniform from the hash of (key, i); the largest score wins, so a shard gets
     rows in proportion to its weight. Scores of old shards don't depend on a new one: it only takes rows into itself.
     A narrow projection, without shuffle. Null keys share one key; rows of equal keys share a shard; other columns
-    pass through; an empty table gives an empty one; weights must be positive.
+    pass through (`shard` and `grown_shard` are replaced); an empty table gives an empty one; weights must be positive.
     """
     require(docs, [key])
     if not weights or min(weights) <= 0:
@@ -43,20 +43,19 @@ def number_slots(rows: DataFrame, key: str = "doc_id", ties: Sequence[str] = (),
     """rows (with `shard`) and `slot`: 0, 1, 2, ... within each shard, in the order of the keys' hash, then key and ties.
 
     Each shard is cut into 16^prefix_hex hash ranges, so that no task sorts a whole shard; the ranges' counts, summed
-    up, are where each range begins. That table has shards * 16^prefix_hex rows at most, and is broadcast.
+    up, are where each range begins: a table of at most shards * 16^prefix_hex rows. A column `slot` of rows is replaced;
+    all others pass through, whatever their names.
     """
     require(rows, [key, "shard"])
     h = F.md5(key_text(key))
-    cut = rows.withColumn("_hash", h).withColumn("_range", F.substring("_hash", 1, prefix_hex))
-    before = Window.partitionBy("shard").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    begins = cut.groupBy("shard", "_range").agg(F.count("*").alias("_n")).select("shard", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
-    inside = Window.partitionBy("shard", "_range").orderBy("_hash", F.col(key).asc_nulls_last(), *ties)
-    return (
-        cut.withColumn("_at", F.row_number().over(inside))
-        .join(F.broadcast(begins), ["shard", "_range"])
-        .withColumn("slot", (F.col("_begin") + F.col("_at") - 1).cast("long"))
-        .drop("_hash", "_range", "_at", "_begin")
-    )
+    # the caller's columns stay within a struct, so that no name of theirs meets one of these
+    row = F.struct(*[c for c in rows.columns if c != "slot"])
+    cut = rows.select(row.alias("row"), F.col("shard").alias("own"), F.col(key).alias("id"), h.alias("hash"), F.substring(h, 1, prefix_hex).alias("range"))
+    before = Window.partitionBy("own").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = cut.groupBy("own", "range").agg(F.count("*").alias("n")).select("own", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
+    inside = Window.partitionBy("own", "range").orderBy("hash", F.col("id").asc_nulls_last(), *[F.col("row")[c] for c in ties])
+    numbered = cut.withColumn("at", F.row_number().over(inside)).join(bounded(begins, "shard-begins"), ["own", "range"])
+    return numbered.select("row.*", (F.col("begin") + F.col("at") - 1).cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
