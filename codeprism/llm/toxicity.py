@@ -18,9 +18,21 @@ from .common import materialise, require
 BITS = 20
 #: At most so many labelled rows fit the model: those whose hash of doc_id is smallest.
 TRAIN_ROWS = 20_000
-#: Terms that the labels tell something about; the machine has weights for these.
-TERMS = 4096
+#: Hashed terms that fewer rows of the sample have get no weight; all others do, whatever the labels say of them alone.
+LEAST_ROWS = 3
 RANK = 8
+EPOCHS = 12
+BATCH = 256
+RATE = 0.1
+#: Soft threshold of linear weights; factors have none, so that pairs of terms without weight can still be learned.
+SPARSE = 7e-4
+#: Batches that a fit takes at least; small samples go through more epochs.
+STEPS = 100
+#: Terms learn at scales up to 1 that rise with how many standard errors (from 2 to 4) the label's share among their rows is off.
+#: A weight's scale is FLOOR at least. That of factors is PAIRS for terms that a fifth of the rows have, less for rarer ones, PAIRS_LEAST at least.
+FLOOR = 0.1
+PAIRS = 0.35
+PAIRS_LEAST = 0.05
 THRESHOLD = 0.3
 #: Lengths in bytes of the word beginnings that are terms besides the words.
 PREFIXES = (3, 4, 5)
@@ -71,77 +83,90 @@ class Machine:
         return out
 
 
-def fit(places: list[np.ndarray], labels: np.ndarray, best: np.ndarray | None = None, rank: int = RANK, epochs: int = 30, seed: int = 7) -> Machine:
-    """Fit the machine on the places in `best`, the terms that have weights, of each text's terms.
+def scales(places: np.ndarray, labels: np.ndarray, rows: int, positive: float, m: int, rank: int) -> np.ndarray:
+    """The scales of the weight and the factors of each of m terms. places, labels: a term and its row's label, for each term of each row."""
+    total, hit, p = np.bincount(places, minlength=m), np.bincount(places, labels, m), positive / rows
+    spread = np.sqrt(np.maximum(total * p * (1 - p) * np.maximum(1 - total / rows, 1e-3), 0.25))
+    strong = np.clip(np.abs(hit - total * p) / spread / 2 - 1, 0, 1)
+    pairs = np.maximum(PAIRS_LEAST, PAIRS * np.minimum(1, 5 * total / rows))
+    out = np.repeat((pairs + (1 - pairs) * strong)[:, None], rank + 1, axis=1)
+    out[:, 0] = FLOOR + (1 - FLOOR) * strong
+    return out.astype(np.float32)
 
-    Adam fits bias, weights and factors to the log loss with L2. One class only, or none: the smoothed share of label 1
-    is everyone's score.
+
+def fit(places: list[np.ndarray], labels: np.ndarray, known: np.ndarray | None = None, rank: int = RANK, epochs: int = EPOCHS, seed: int = 7) -> Machine:
+    """Fit the machine: places[i] are the places in `known`, the terms that have weights, of text i's terms.
+
+    AdaGrad on the log loss over batches, with a soft threshold on linear weights. Every term has a weight and factors; a
+    term whose rows are labelled like any others, and a rare one, learns more slowly (see FLOOR), which keeps noise small
+    and is no selection: two such terms whose pair tells the label are found by their factors.
+    One class only, or none: the smoothed share of label 1 is everyone's score.
     """
     n, pos = len(labels), int(labels.sum())
-    slot = np.full(1 << BITS, -1, np.int64)
+    slot = np.full(1 << BITS, -1, np.int32)
     if n == 0 or pos == 0 or pos == n:
         share = (pos + 1) / (n + 2)
         return Machine(slot, float(np.log(share / (1 - share))), np.zeros(1), np.zeros((1, rank)))
-    best = np.zeros(0, np.int64) if best is None else best
-    slot[best] = np.arange(len(best))
-    m = max(len(best), 1)
-    size = np.array([len(t) for t in places])
-    of, place = np.repeat(np.arange(n, dtype=np.int32), size), np.concatenate(places)
+    known = np.zeros(0, np.int64) if known is None else known
+    slot[known] = np.arange(len(known))
+    m = max(len(known), 1)
+    count = np.array([len(t) for t in places])
+    begins = np.concatenate(([0], np.cumsum(count)))
+    place = np.concatenate([*places, np.zeros(0, np.int32)]).astype(np.int32)
+    scale = scales(place, np.repeat(labels, count), n, pos, m, rank)
     rng = np.random.Generator(np.random.PCG64(seed))
-    bias, w, v = np.log(pos / (n - pos)), np.zeros(m), rng.normal(0, 0.02, (m, rank))
-    moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (np.zeros(1), w, v)]
-    begins = np.searchsorted(of, np.arange(n + 1))
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(n)
-        for rows in np.array_split(order, max(1, n // 512)):
-            size = begins[rows + 1] - begins[rows]
+    # a term's weight and factors side by side; column 0 is the weight
+    table = np.concatenate((np.zeros((m, 1)), rng.normal(0, 0.01, (m, rank))), axis=1).astype(np.float32)
+    squares, bias, bias_squares = np.full_like(table, 1e-8), np.log(pos / (n - pos)), 1e-8
+    batches = max(1, n // BATCH)
+    for _ in range(max(epochs, -(-STEPS // batches))):
+        for rows in np.array_split(rng.permutation(n), batches):
+            size = count[rows]
             local = np.repeat(np.arange(len(rows)), size)
             at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begins[rows], size)
-            p = place[at]
-            x = v[p]
-            sums = np.zeros((len(rows), rank))
-            np.add.at(sums, local, x)
-            z = bias + np.bincount(local, w[p], len(rows)) + (sums**2).sum(1) / 2 - np.bincount(local, (x * x).sum(1), len(rows)) / 2
-            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows]
-            gw = np.bincount(p, g[local], m) / len(rows) + 1e-5 * w
-            gv = np.zeros((m, rank))
-            np.add.at(gv, p, g[local, None] * (sums[local] - x))
-            grads = (np.array([g.mean()]), gw, gv / len(rows) + 1e-5 * v)
-            step += 1
-            moved = []
-            for grad, mom in zip(grads, moments):
-                mom[0] = 0.9 * mom[0] + 0.1 * grad
-                mom[1] = 0.999 * mom[1] + 0.001 * grad * grad
-                moved.append(0.02 * (mom[0] / (1 - 0.9**step)) / (np.sqrt(mom[1] / (1 - 0.999**step)) + 1e-8))
-            bias, w, v = bias - moved[0][0], w - moved[1], v - moved[2]
-    return Machine(slot, float(bias), w, v)
-
-
-def _telling(terms: DataFrame, n: int, pos: int, most: int) -> np.ndarray:
-    """The terms with the largest chi-square against the label, in order of their numbers. terms: toxic, terms."""
+            term, of = np.unique(place[at], return_inverse=True)
+            own = scale[term]
+            x = table[term] * own
+            gathered = x[of]
+            sums = np.stack([np.bincount(local, gathered[:, k], len(rows)) for k in range(rank + 1)], axis=1)
+            z = bias + sums[:, 0] + ((sums[:, 1:] ** 2).sum(1) - np.bincount(local, (gathered[:, 1:] ** 2).sum(1), len(rows))) / 2
+            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows]) / len(rows)
+            grad = np.empty_like(x)
+            grad[:, 0] = per_term = np.bincount(of, g[local], len(term))
+            for k in range(1, rank + 1):
+                grad[:, k] = np.bincount(of, (g * sums[:, k])[local], len(term)) - x[:, k] * per_term
+            grad *= own
+            squares[term] += grad * grad
+            step = RATE / np.sqrt(squares[term])
+            new = table[term] - step * grad
+            new[:, 0] = np.sign(new[:, 0]) * np.maximum(np.abs(new[:, 0]) - step[:, 0] * SPARSE, 0)
+            table[term] = new
+            bias_squares += g.sum() ** 2
+            bias -= RATE * g.sum() / np.sqrt(bias_squares)
+    table *= scale
+    return Machine(slot, float(bias), table[:, 0].copy(), table[:, 1:].copy())
+
+
+def _frequent(rows: DataFrame, least: int) -> np.ndarray:
+    """The terms that at least so many rows have, in order: at most 2^BITS numbers."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = [np.frombuffer(t, np.uint32) for t in b.column("terms").to_pylist()]
-            toxic = np.repeat(b.column("toxic").to_numpy(), [len(t) for t in lists])
-            term, at = np.unique(np.concatenate([*lists, np.zeros(0, np.uint32)]), return_inverse=True)
-            found = [pa.array(np.bincount(at, w, len(term)).astype(np.int64)) for w in (None, toxic)]
-            yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int64)), *found], names=["term", "total", "hit"])
+            term, n = np.unique(np.concatenate([*lists, np.zeros(0, np.uint32)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int64)), pa.array(n)], names=["term", "n"])
 
-    counts = terms.mapInArrow(count, "term long, total long, hit long").groupBy("term").agg(F.sum("total").alias("total"), F.sum("hit").alias("hit"))
-    expect = F.col("total") * F.lit(pos) / F.lit(n)
-    spread = F.greatest(expect * F.lit(1 - pos / n) * F.greatest(1 - F.col("total") / F.lit(n), F.lit(1e-3)), F.lit(1e-9))
-    chi = counts.where("total >= 3").select("term", ((F.col("hit") - expect) * (F.col("hit") - expect) / spread).alias("chi")).where("chi > 6")
-    return np.sort(np.array([r["term"] for r in chi.orderBy(F.desc("chi"), "term").limit(most).collect()], np.int64))
+    counts = rows.mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return np.sort(counts.where(F.col("n") >= least).select("term").toArrow()["term"].to_numpy())
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, terms: int = TERMS) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least: int = LEAST_ROWS) -> Machine:
     """Fit a machine on labelled documents whose crc32(doc_id) mod 4 is not 2.
 
     labels: doc_id, toxic (0 or 1; others and nulls are left out; several of one doc_id: the largest). The sample is the
-    `rows` labelled doc_ids of smallest hash. Executors hash and count its terms; the driver gets the `terms` terms that
-    tell most about the label, and which of these each text of the sample has.
+    `rows` labelled doc_ids of smallest hash, and of rows that share a doc_id the text of smallest CRC-32. Executors hash
+    and count its terms; the driver gets the numbers of terms that have weights (2^BITS at most), and which of these
+    each text of the sample has.
     """
     require(docs, ["doc_id", "text"])
     require(labels, ["doc_id", "toxic"])
@@ -160,24 +185,28 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, terms: int
                 cut = np.searchsorted(pair >> BITS, np.arange(hi - lo + 1))
                 t = (pair & ((1 << BITS) - 1)).astype(np.uint32)
                 out += [t[cut[i] : cut[i + 1]].tobytes() for i in range(hi - lo)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(out, pa.binary())], names=["doc_id", "toxic", "terms"])
+            crc = pa.array([zlib.crc32(t) for t in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), crc, pa.array(out, pa.binary())], names=["doc_id", "toxic", "crc", "terms"])
 
-    found = materialise(found.mapInArrow(hashed, "doc_id long, toxic int, terms binary"), "toxicity-terms")
+    found = found.mapInArrow(hashed, "doc_id long, toxic int, crc long, terms binary")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("crc", "toxic", "terms")).alias("m")).select("doc_id", "m.toxic", "m.terms")
+    found = materialise(one, "toxicity-terms")
     n, pos = found.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    best = _telling(found, n, pos, terms) if 0 < pos < n else np.zeros(0, np.int64)
+    some = _frequent(found, least) if 0 < pos < n else np.zeros(0, np.int64)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot = np.full(1 << BITS, -1, np.int32)
-        slot[best] = np.arange(len(best))
         for b in batches:
-            places = [slot[np.frombuffer(t, np.uint32)] for t in b.column("terms").to_pylist()]
-            crc = pa.array([zlib.crc32(t) for t in b.column("terms").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), crc, b.column("toxic"), pa.array([p[p >= 0].tobytes() for p in places], pa.binary())], names=["doc_id", "crc", "toxic", "places"])
+            out = []
+            for t in b.column("terms").to_pylist():
+                t = np.frombuffer(t, np.uint32)
+                at = np.minimum(np.searchsorted(some, t), max(len(some) - 1, 0)).astype(np.int32)
+                out.append(at[some[at] == t].tobytes() if len(some) else b"")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(out, pa.binary())], names=["doc_id", "toxic", "places"])
 
-    got = found.mapInArrow(placed, "doc_id long, crc long, toxic int, places binary").toArrow()
-    order = np.lexsort((got["crc"].to_numpy(), got["doc_id"].to_numpy()))
-    places = [np.frombuffer(t, np.int32) for t in got["places"].to_pylist()]
-    return fit([places[i] for i in order], got["toxic"].to_numpy().astype(float)[order], best)
+    got = found.mapInArrow(placed, "doc_id long, toxic int, places binary").toArrow()
+    order = np.argsort(got["doc_id"].to_numpy())
+    lists = got["places"].to_pylist()
+    return fit([np.frombuffer(lists[i], np.int32) for i in order], got["toxic"].to_numpy().astype(float)[order], some)
 
 
 def score(docs: DataFrame, machine: Machine, column: str = "toxicity", keep: list[str] | None = None) -> DataFrame:
@@ -188,7 +217,7 @@ def score(docs: DataFrame, machine: Machine, column: str = "toxicity", keep: lis
     """
     require(docs, ["text"])
     docs = docs.drop(column)
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # of bounded size: 2^BITS places and TERMS weights
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # of bounded size: 2^BITS places and weights at most
     kept = docs.columns if keep is None else keep
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(column, T.DoubleType())])
 

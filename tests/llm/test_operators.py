@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -11,16 +12,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeprism.llm import queries
-from codeprism.llm.decontaminate import MASKS, decontaminate, find_overlaps
+from codeprism.llm.decontaminate import MASKS, SHORT_MASKS, decontaminate, find_overlaps
 from codeprism.llm.exact import exact_dedup
 from codeprism.llm.graph import components
 from codeprism.llm.hyperminhash import meeting_keys, near_duplicates, registers
 from codeprism.llm.licenses import scan_licenses
 from codeprism.llm.lines import dedup_lines
-from codeprism.llm.mix import SCHEDULES, curriculum, mix, plan_mix
+from codeprism.llm.mix import SCHEDULES, mix, plan_mix
 from codeprism.llm.shard import assign_shards, number_slots, shard_documents
 from codeprism.llm.suffix import remove_passages, suffix_order
-from codeprism.llm.toxicity import fit, score, score_documents
+from codeprism.llm.toxicity import Machine, fit, score, score_documents
 from codeprism.llm.warc import base32_sha1, read_warc, write_warc
 
 SF = "/root/testdata/sf0.001"
@@ -71,11 +72,61 @@ def test_toxicity(spark, odd, empty):
     assert "extra" in score(odd.withColumn("extra", F.lit(1)), fit([], np.zeros(0))).columns
 
 
-def test_seed_masks_miss_no_window():
-    for n in range(15, 21):
+def test_pairs_of_neutral_terms_are_learned():
+    """The label is whether two words stand together or neither does: alone each tells nothing, so additive weights fail."""
+    rng = np.random.default_rng(3)
+    rows, labels = [], []
+    for _ in range(3000):
+        a, b = rng.integers(0, 2, 2)
+        rows.append(np.unique(np.concatenate((rng.integers(2, 300, 25), [0] * a, [1] * b)).astype(np.int32)))
+        labels.append(float(a == b))
+    labels = np.array(labels)
+
+    def auc(machine):
+        size = np.array([len(r) for r in rows[2000:]])
+        z = machine.add(np.repeat(np.arange(1000), size), np.concatenate(rows[2000:]), 1000)
+        pos, neg = z[labels[2000:] == 1], z[labels[2000:] == 0]
+        return ((pos[:, None] > neg).sum() + (pos[:, None] == neg).sum() / 2) / (len(pos) * len(neg))
+
+    whole = fit(rows[:2000], labels[:2000], np.arange(300))
+    assert auc(whole) > 0.9
+    assert abs(auc(Machine(whole.slot, whole.bias, whole.w, np.zeros_like(whole.v))) - 0.5) < 0.1
+
+
+def test_interactions_equal_sum_over_pairs():
+    rng = np.random.default_rng(5)
+    machine = Machine(np.zeros(0), 0.0, rng.normal(size=20), rng.normal(size=(20, 8)))
+    rows = [rng.permutation(20)[:k] for k in (0, 1, 2, 7, 20)]
+    got = machine.add(np.repeat(np.arange(5), [len(r) for r in rows]), np.concatenate(rows), 5)
+    want = [machine.w[r].sum() + sum(machine.v[i] @ machine.v[j] for i, j in itertools.combinations(r, 2)) for r in rows]
+    assert np.allclose(got, want)
+
+
+def test_seed_masks_miss_no_match():
+    for n in range(1, 21):
         subs = n - -(-n * 8 // 10)
-        seeds = [sum(1 << (s + j) for j, c in enumerate(m) if c == "1") for m in MASKS for s in range(n - len(m) + 1)]
-        assert all(any(p & sum(1 << i for i in c) == 0 for p in seeds) for c in itertools.combinations(range(n), subs))
+        masks = [*MASKS, *SHORT_MASKS.get(n, ())]
+        seeds = [sum(1 << (s + j) for j, c in enumerate(m) if c == "1") for m in masks for s in range(n - len(m) + 1)]
+        assert all(any(p & sum(1 << i for i in c) == 0 for p in seeds) for c in itertools.combinations(range(n), subs)), n
+
+
+def test_short_items_and_shuffled_path(spark):
+    rng = np.random.default_rng(2)
+    vocabulary = [f"{w}{i}" for i in range(40) for w in W]
+    items = [(n, " ".join(rng.choice(vocabulary, n, replace=False))) for n in range(1, 15)]
+    docs, want = [], set()
+    for n, text in items:
+        words = text.split()
+        for lost in range(n - -(-n * 8 // 10) + 1):
+            for c in itertools.islice(itertools.combinations(range(n), lost), 12):
+                docs.append((len(docs), "so " * 3 + " ".join("other" if i in c else w for i, w in enumerate(words)) + " it goes", n))
+    d = spark.createDataFrame(docs, "doc_id long, text string, n int")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda **k: {tuple(r) for r in find_overlaps(d, b, **k).collect()}
+    got = rows()
+    want = {(i, n) for i, _, n in docs}
+    assert want <= {(r[0], r[1]) for r in got}
+    assert got == rows(shuffled=True)
 
 
 def test_decontamination(spark, odd, empty):
@@ -254,28 +305,147 @@ def test_mix(spark, odd, empty):
     assert plan_mix(odd).count() == len(ROWS) and plan_mix(empty).count() == 0 and mix(empty).count() == 0
 
 
-def test_curriculum_query(spark):
-    got = [tuple(r) for r in queries.QUERIES["op10_curriculum"](spark, SF).select("position", "doc_id", "pass").collect()]
-    assert got == sorted(got)  # in the order of training, over all partitions
+def test_positions(spark):
+    """First and last positions by brute force: the schedule's integral is walked in small steps."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    plan = {r["doc_id"]: (r["copies"], r["first_position"]) for r in plan_mix(docs).collect()}
-    assert Counter(d for _, d, _ in got) == Counter({d: n for d, (n, _) in plan.items() if n})
-    assert {d: p for p, d, k in got if k == 0} == {d: p for d, (n, p) in plan.items() if n}
-    flat = curriculum(docs, schedules=(((0.0, 1.0), (1.0, 1.0)),)).select("position", "doc_id", "pass").collect()
-    assert sorted(map(tuple, flat)) != got  # schedules decide
+    got = [r.asDict() for r in queries.QUERIES["op10_mixing"](spark, SF).collect()]
+    order = [(2.0 if r["first_position"] is None else r["first_position"], r["doc_id"]) for r in got]
+    assert order == sorted(order)  # in the order of training, over all partitions
+    source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    ranked = sorted(set(source.values()), key=lambda s: (s is None, s))
+    steps = 20000
+    for rank, s in enumerate(ranked):
+        t, w = np.array([k[0] for k in SCHEDULES[rank % 3]]), np.array([k[1] for k in SCHEDULES[rank % 3]])
+        grid = (np.arange(steps) + 0.5) / steps
+        demand = np.cumsum(np.interp(grid, t, w))
+        own = sorted((r for r in got if source[r["doc_id"]] == s), key=lambda r: (hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"]))
+        begin = 0
+        whole = int(own[0]["target"] // own[0]["source_size"])
+        for r in own:
+            if r["copies"] and r["copies"] <= whole + (begin + r["size"] <= r["target"] - whole * r["source_size"]):
+                share = (begin + r["size"] / 2) / r["target"]
+                assert whole == 0 or abs(np.searchsorted(demand, share * demand[-1]) / steps - r["first_position"]) < 2e-4
+            begin += r["size"]
+    flat = plan_mix(docs, schedules=(((0.0, 1.0), (1.0, 1.0)),)).select("doc_id", "first_position").collect()
+    assert {tuple(r) for r in flat} != {(r["doc_id"], r["first_position"]) for r in got}  # schedules decide
+
+
+def test_long_texts_of_lines(spark):
+    rows = [(1, "\n".join(["same"] * 100_000)), (2, "\n".join(f"line {i}" for i in range(50_000))), (3, "x" * 300 + "\nshort"), (4, "short\n" + "x" * 300), (5, None), (None, "a\nb\nc"), (6, "a\nb\nc\nd")]
+    got = {r["doc_id"]: tuple(r)[2:] for r in dedup_lines(docs_of(spark, rows)).collect()}
+    assert got[1] == (100_000, 99_999, 1) or got[1] == (100_000, 99_997, 1)
+    assert got[2] == (50_000, 0, 0) and got[3] == (2, 0, 0) and got[4] == (2, 1, 1) and got[5] == (1, 0, 0) and got[None] == (3, 0, 0) and got[6] == (4, 3, 1)
+
+
+def test_shards_and_slots_by_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.select("doc_id", "text").collect()}
+
+    def u(key, shard):
+        return (int(hashlib.md5(f"{key}:{shard}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+
+    shard = {d: max(range(8), key=lambda s: (np.log(u(d, s)), -s)) for d in texts}
+    slots = {}
+    for d in sorted(texts, key=lambda d: (hashlib.md5(str(d).encode()).hexdigest(), d)):
+        slots[d] = sum(1 for x in slots if shard[x] == shard[d])
+    got = {r["doc_id"]: tuple(r)[1:] for r in shard_documents(docs).collect()}
+    assert got == {d: (len(t.encode()) + 1, zlib.crc32(t.encode()), "key", shard[d], slots[d], max(range(9), key=lambda s: (np.log(u(d, s)), -s))) for d, t in texts.items()}
 
 
-def test_pipeline(spark):
+def test_warc_far_key_keeps_shards(spark, tmp_path):
+    rows = [(i, f"u{i}", "x" * 900 + str(i)) for i in range(200)] + [(2**60, "far", "y"), (None, "none", None), (5, "again", "x" * 900 + "7")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    paths = [str(tmp_path / n) for n in "ab"]
+    write_warc(pages, paths[0], 16_000)
+    write_warc(pages.repartition(7), paths[1], 16_000)
+    files = [{f.name: f.read_bytes() for f in (tmp_path / n).iterdir()} for n in "ab"]
+    assert files[0] == files[1]
+    sizes = Counter(n[5:12] for n in files[0] if n.startswith("part-"))
+    assert len(sizes) >= 16
+    got = read_warc(spark, paths[0]).collect()
+    assert sorted((r["page_id"], r["url"]) for r in got if r["page_id"] is not None) == sorted((i, u) for i, u, _ in rows if i is not None)
+    assert [(r["page_id"], r["refers_to"]) for r in got if r["record_type"] == "revisit"] == [(5, 7)]
+    with pytest.raises(ValueError, match="holds an archive"):
+        write_warc(pages, paths[0])
+
+
+def test_short_sets_at_the_limit(spark):
+    """Pairs of 5 to 40 words, around the limit, each pair with words of its own: links by brute force."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(1500):
+        n = int(rng.integers(5, 41))
+        words = [f"p{i}w{j}" for j in range(n)]
+        other = list(words)
+        at = int(rng.integers(0, n))
+        other[at:] = other[at:][: int(rng.integers(0, 3))] + other[at:] if rng.random() < 0.3 else other[at:]
+        if rng.random() < 0.7:
+            other[-1] = "end"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    docs = docs_of(spark, [*rows, (0, "w " * 9), (7, rows[5][1])])
+    got = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in near_duplicates(docs).collect()}
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for d, t in rows}
+    linked = [100 * len(sets[2 * i] & sets[2 * i + 1]) >= 85 * len(sets[2 * i] | sets[2 * i + 1]) for i in range(1500)]
+    assert 200 < sum(linked) < 1450
+    for i in range(4, 1500):
+        assert got[2 * i + 1, len(sets[2 * i + 1])] == (2 * i if linked[i] else 2 * i + 1)
+    # doc 7 has two texts; the second equals that of doc 5
+    assert got[7, len(sets[7])] == got[5, len(sets[5])] or got[7, len(sets[5])] == got[5, len(sets[5])]
+
+
+CLASHES = ("_d", "_n", "_hit", "_toxicity", "_at", "_range", "_row", "row", "gone", "hit", "many", "score", "size", "rank", "text_crc32", "slot")
+
+
+def test_pipeline(spark, tmp_path):
+    """run() against a brute-force version of its stages on a small folder with nulls, empty texts, repeated rows and clashing columns."""
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = docs
-    for name, stage in pipeline.STAGES[:4]:
-        out = stage(spark, kept, SF)
-        assert out.columns == docs.columns, name
-        before, after = (Counter(r["doc_id"] for r in x.collect()) for x in (kept, out))
-        assert set(after) <= set(before) and after
-        if name == "near_dedup":
-            want = _near([tuple(r) for r in kept.select("doc_id", "text").collect()], 80)
-            assert set(after) == {d for d, (_, c) in want.items() if c == d}
-        kept = spark.createDataFrame(out.collect(), docs.schema)
-    assert set(number_slots(assign_shards(kept), ties=("text",)).columns) == {*docs.columns, "shard", "slot", "grown_shard"}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    more = [(900, None), (901, ""), (902, " \t"), (903, LONG), (904, LONG + " end"), (903, LONG)]
+    docs = docs.unionByName(docs_of(spark, more)).withColumns({c: F.lit(i) for i, c in enumerate(CLASHES)})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = pipeline.run(spark, str(tmp_path))
+    # toxicity: the same scores as the operator gives
+    keep = {r["doc_id"] for r in score_documents(docs, labels).where("predicted = 0").collect()}
+    texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect() if r["doc_id"] in keep]
+    # near copies: the smallest of each component of pairs at 80 percent; of repeated rows one
+    first = _near(list(dict.fromkeys(texts)), 80)
+    texts = [(d, t) for d, t in dict.fromkeys(texts) if first[d][1] == d]
+    # benchmark: a window of up to 20 tokens with 80 percent equal ones, at any offset
+    token = lambda t: [x for x in re.split(r"[^\w]+|_", (t or "").lower()) if x]
+    items = [token(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+
+    def overlaps(words):
+        for item in items:
+            w = min(20, len(item))
+            places = {}
+            for q, x in enumerate(item):
+                places.setdefault(x, []).append(q)
+            lie = {}
+            for p, x in enumerate(words):
+                for q in places.get(x, ()):
+                    lie.setdefault(p - q, []).append(q)
+            for hits in lie.values():
+                hits.sort()
+                if any(sum(1 for x in hits if s <= x < s + w) >= -(-w * 8 // 10) for s in hits):
+                    return True
+        return False
+
+    texts = [(d, t) for d, t in texts if not overlaps(token(t))]
+    kept = docs.join(spark.createDataFrame(texts, "doc_id long, text string").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    copies = {r["doc_id"]: r["copies"] for r in plan_mix(kept).collect()}
+    rows = out.collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter({d: n for d, n in copies.items() if n})
+    assert set(out.columns) == {*docs.columns, "shard", "slot", "grown_shard"}
+    u = lambda key, shard: (int(hashlib.md5(f"{key}:{shard}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    assert all(r["shard"] == max(range(8), key=lambda s: (np.log(u(r["doc_id"], s)), -s)) for r in rows)
+    for s in {r["shard"] for r in rows}:
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+
+
+def test_pipeline_stages_on_empty_tables(spark, empty):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    for name, stage in pipeline.STAGES:
+        assert stage(spark, empty, SF).count() == 0, name
