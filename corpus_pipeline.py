@@ -17,20 +17,28 @@ NEAR_PERCENT = 80
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold. Null and empty texts have the score of no terms, and stay with it."""
+    """Documents scored below the threshold. Null and empty texts have the score of no terms, and stay with it; no rows give none."""
     machine = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, machine, "_toxicity").where(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    name = "score"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return score(docs, machine, name).where(F.col(name) < THRESHOLD).drop(name)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of smallest doc_id of each group of near copies. Repeated rows: one of those with equal doc_id and text."""
     found = near_duplicates(docs, NEAR_PERCENT)
-    out = docs.join(bounded(found.where("not kept").select(F.col("doc_id").alias("_d")).distinct()), F.col("doc_id") == F.col("_d"), "left_anti")
-    many = out.groupBy("doc_id").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("doc_id").alias("_d"))
+    # names of the caller's columns stay within a struct
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"))
+    gone = bounded(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "near-gone")
+    out = rows.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    many = found.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("many"))
+    many = bounded(many, "near-repeats")
     if many.isEmpty():
-        return out
-    same = F.col("doc_id").eqNullSafe(F.col("_d"))
-    return out.join(bounded(many), same, "left_anti").unionByName(out.join(bounded(many), same, "left_semi").dropDuplicates(["doc_id", "text"]))
+        return out.select("row.*")
+    same = F.col("doc_id").eqNullSafe(F.col("many"))
+    once = out.join(many, same, "left_semi").withColumn("text", F.col("row.text")).dropDuplicates(["doc_id", "text"]).drop("text")
+    return out.join(many, same, "left_anti").unionByName(once).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +47,18 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it (up to three rows, or none), in the order of training."""
+    """Each document as often as the mix takes it (up to three rows, or none), in the order of training; no rows give none.
+
+    Columns position and pass, if documents have such, are those of the mix.
+    """
     return mix(docs).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with shard, slot within it, and grown_shard. Repeated rows share a shard and have slots of their own."""
+    """The documents with shard, slot within it, and grown_shard (documents' own columns of these names are replaced).
+
+    Repeated rows share a shard and have slots of their own; no rows give none.
+    """
     return number_slots(assign_shards(docs), ties=("text",))
 
 
