@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, SPACE, materialise, require, work_dir
+from .common import SPACE, bounded, materialise, require, work_dir
 
 #: State on disk. Many small stores must not each reserve megabytes for their logs; checkpoints hold changes, not copies.
 STATE = {
@@ -77,6 +77,12 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
+def batch_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of files for a micro-batch: a 64th of the table, 128 MB at least, so that state is met again at every size of table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return max(128 << 20, at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength() // 64)
+
+
 def exact_dedup(spark: SparkSession, path: str, key: str = "doc_id", text: str = "text", max_bytes: int | None = None) -> DataFrame:
     """One row per document of the Parquet table at path: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -92,8 +98,7 @@ def exact_dedup(spark: SparkSession, path: str, key: str = "doc_id", text: str =
     require(docs, [key, text])
     hits = state.where("group_size > 1")
     rows = _located(docs, key, text).withColumn("digest", F.unhex(F.sha2("_text", 256)))
-    small = hits.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rows = rows.join(F.broadcast(hits) if small else hits, "digest", "left").withColumn("_text", F.when(F.col("group_size").isNotNull(), F.col("_text")))
+    rows = rows.join(bounded(hits, "dedup-digests"), "digest", "left").withColumn("_text", F.when(F.col("group_size").isNotNull(), F.col("_text")))
     rows = materialise(rows.withColumn("kept", F.coalesce(F.col("_at") == F.col("locator"), F.col("group_size").isNull())), "dedup-hits")
     stays = rows.where("kept and group_size is not null").select("digest", F.col("_text").alias("_kept_text"))
     others = rows.where("not kept").join(stays, "digest").withColumn("_same", F.col("_text") == F.col("_kept_text"))

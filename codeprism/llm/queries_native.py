@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_overlaps
-from .exact import exact_dedup
+from .exact import batch_bytes, exact_dedup
 from .licenses import COSINE_SQUARED, TEMPLATES, scan_licenses
 from .lines import LONG, RUN, dedup_lines
 from .mix import MAX_EPOCHS, SCHEDULES, WEIGHTS, plan_mix
@@ -70,7 +70,8 @@ FROM f LEFT JOIN own USING (path) LEFT JOIN near ON regexp_replace(path, '/[^/]*
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(spark, f"{sf_dir}/documents.parquet")
+    path = f"{sf_dir}/documents.parquet"
+    return exact_dedup(spark, path, max_bytes=batch_bytes(spark, path))
 
 
 OP4_SQL = r"""
