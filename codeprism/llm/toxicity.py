@@ -21,13 +21,13 @@ TRAIN_ROWS = 20_000
 #: Hashed terms that fewer rows of the sample have get no weight; all others do, whatever the labels say of them alone.
 LEAST_ROWS = 3
 RANK = 8
-EPOCHS = 12
+EPOCHS = 5
 BATCH = 256
 RATE = 0.1
 #: Soft threshold of linear weights; factors have none, so that pairs of terms without weight can still be learned.
 SPARSE = 7e-4
-#: Batches that a fit takes at least; small samples go through more epochs.
-STEPS = 100
+#: Batches that a fit takes at least; smaller samples go through more epochs than EPOCHS.
+STEPS = 130
 #: Terms learn at scales up to 1 that rise with how many standard errors (from 2 to 4) the label's share among their rows is off.
 #: A weight's scale is FLOOR at least. That of factors is PAIRS for terms that a fifth of the rows have, less for rarer ones, PAIRS_LEAST at least.
 FLOOR = 0.1
