@@ -254,3 +254,31 @@ def binary_kind(content: Column) -> Column:
         .when(portable & (offset < 65532) & (mark == "50450000"), "portable-executable")
         .otherwise("")
     )
+
+
+def policy_problem(cycles: Column, no_progress: Column, deadline: Column, groups: Column, mode: Column) -> Column:
+    """Why a loop's limits can't be used: cycles 0 to 10, no-progress limit 1 to 5, deadline 60 to 7200 seconds, known failure groups; null if they can."""
+    # fixed values: limits and groups
+    odd = F.array_sort(F.array_except(groups, F.array(F.lit("smell"), F.lit("compile"), F.lit("test"))))
+    return (
+        F.when(~cycles.between(0, 10), "INVALID_LOOP_POLICY: --max-smell-verify-cycles must be between 0 and 10")
+        .when(~no_progress.between(1, 5), "INVALID_LOOP_POLICY: --loop-no-progress-limit must be between 1 and 5")
+        .when(~deadline.between(60, 7200), "INVALID_LOOP_POLICY: --sample-deadline must be between 60 and 7200 seconds")
+        .when(F.size(odd) > 0, F.concat(F.lit("INVALID_LOOP_POLICY: unsupported --loop-on groups: "), F.array_join(odd, ", ")))
+        .when((F.size(groups) == 0) & (mode != "off") & (cycles > 0), "INVALID_LOOP_POLICY: --loop-on must contain at least one failure group")
+    )
+
+
+def loop_ending(passed: Column, repairable: Column, cycles: Column, max_cycles: Column, idle: Column, no_progress: Column) -> Column:
+    """Why a repair loop ends after a verification; null if it goes on. idle: verifications since the last change of diff, blocker or deficit."""
+    return F.when(_yes(passed), "PASS").when(~_yes(repairable), "NON_REPAIRABLE_FAILURE").when(cycles >= max_cycles, "MAX_SMELL_VERIFY_CYCLES_REACHED").when(idle >= no_progress, "NO_PROGRESS_LIMIT_REACHED")
+
+
+def change_category(path: Column, declared_tests: Column) -> Column:
+    """test, build_metadata, production or other, by a changed path; declared_tests: paths that are tests whatever their name."""
+    # fixed values: folders, build files and suffixes
+    low = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+    test = low.rlike(r"(?:^|/)(?:tests?|src/(?:test|it))/|(?:^|/)test_[^/]*\.py$|_test\.[a-z]+$|tests?\.java$")
+    build = low.rlike(r"(?:^|/)(?:pom\.xml|build\.gradle(?:\.kts)?|settings\.gradle(?:\.kts)?|gradle\.properties|cmakelists\.txt|makefile|meson\.build|setup\.(?:py|cfg)|pyproject\.toml|build\.xml|build(?:\.bazel)?)$")
+    source = low.rlike(r"\.(?:java|py|c|cc|cpp|cxx|h|hh|hpp|hxx)$")
+    return F.when(F.array_contains(declared_tests, path) | test, "test").when(build, "build_metadata").when(source, "production").otherwise("other")

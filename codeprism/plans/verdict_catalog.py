@@ -12,6 +12,7 @@ from ..functions import code, gate, rules
 from ..operators import diffs, findings, ranking, relations
 from ..sinks import files
 from ..sources import scans
+from ..streaming import folds
 from . import generated
 from .catalog import _YEARLY, query, table
 
@@ -294,3 +295,48 @@ def path_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     path = F.when(k % 3 == 0, "src/test/java/A.java").when(k % 3 == 1, "src/main/java/A.java").otherwise("lib/x.py")
     return generated.event_steps(spark, sf_dir).select("event_id", diffs.production_source(path, F.when(k % 3 == 2, "python").otherwise("java")).alias("production"))
+
+
+@query(f"""{_STEPS} SELECT event_id, CASE WHEN k % 4 = 3 THEN NULL ELSE k % 7 + 2 END::INT AS tests, CASE WHEN k % 4 = 3 THEN NULL ELSE (k % 5 = 0)::INT END AS failures, CASE WHEN k % 4 = 3 THEN NULL WHEN k % 5 = 0 THEN 0 ELSE k % 7 + 1 END::INT AS executed,
+CASE WHEN k % 3 = 0 THEN 'M:a.c|R100:b.c>c.c' WHEN k % 3 = 1 THEN 'A:d.py' ELSE NULL END AS changes, CASE k % 4 WHEN 0 THEN 'app/src/test' WHEN 1 THEN 'old/tests' ELSE NULL END AS root, ['test', 'production', 'build_metadata', 'other'][k % 4 + 1] AS category,
+CASE WHEN k % 12 = 11 THEN 'INVALID_LOOP_POLICY: --max-smell-verify-cycles must be between 0 and 10' WHEN k % 6 = 0 THEN 'INVALID_LOOP_POLICY: --loop-no-progress-limit must be between 1 and 5' WHEN k < 60 THEN 'INVALID_LOOP_POLICY: --sample-deadline must be between 60 and 7200 seconds' END AS policy,
+CASE WHEN k % 5 = 0 THEN 'PASS' WHEN k % 5 = 1 THEN 'NON_REPAIRABLE_FAILURE' WHEN k % 12 >= 8 THEN 'MAX_SMELL_VERIFY_CYCLES_REACHED' WHEN k % 6 >= 3 THEN 'NO_PROGRESS_LIMIT_REACHED' END AS ending FROM e""")
+def reports_and_loops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    t, none = k % 4, F.array().cast("array<string>")
+    case = lambda n: F.concat(F.lit("<testcase name='x'>"), n, F.lit("</testcase>"))
+    failure = F.when(k % 5 == 0, "<failure/>").otherwise("")
+    inside = F.concat(F.lit("<testsuite tests='1'>"), case(failure), F.lit("</testsuite><testsuite tests='"), (k % 7 + 1).cast("string"), F.lit("'>"), case(F.lit("<skipped/>")), F.lit("</testsuite>"))
+    xml = F.when(t == 3, "<testsuites><broken").otherwise(F.concat(F.lit("<testsuites>"), inside, F.lit("</testsuites>")))
+    e = generated.event_steps(spark, sf_dir).withColumn("content", xml)
+    counts = scans.junit_reports(spark, e.select("event_id", "content")).select("event_id", "tests", "failures", "executed")
+    payload = F.when(k % 3 == 0, "M\0a.c\0R100\0b.c\0c.c\0").when(k % 3 == 1, "A\0d.py\0").otherwise("R090\0x.c")
+    changes = F.array_join(F.transform(scans.name_status(payload), lambda r: F.concat(r["status"], F.lit(":"), F.array_join(r["paths"], ">"))), "|")
+    root = scans.test_root(F.when(t == 0, "app/src/test/java/A.java").when(t == 1, "old/tests/x.py").when(t == 2, "src/main/test/B.java").otherwise("lib/C.java"))
+    category = gate.change_category(F.when(t == 0, "odd/name.c").when(t == 1, "src/main/A.java").when(t == 2, "a/CMakeLists.txt").otherwise("README.md"), F.array(F.lit("odd/name.c")))
+    policy = gate.policy_problem(k % 12, k % 6, k, F.array(F.lit("smell"), F.lit("test")), F.lit("verify-failure"))
+    ending = gate.loop_ending(k % 5 == 0, k % 5 != 1, k % 12, F.lit(8), k % 6, F.lit(3))
+    return e.select("event_id", changes.alias("changes"), root.alias("root"), category.alias("category"), policy.alias("policy"), ending.alias("ending")).join(counts, "event_id", "left")
+
+
+@query("""WITH e AS (SELECT user_id::VARCHAR AS session, event_id AS seq, CASE WHEN event_type IN ('purchase', 'error') THEN 'verify' ELSE event_type END AS tool, CASE WHEN event_type = 'error' AND value > 50 THEN 'error' ELSE 'completed' END AS status, event_type AS verdict FROM events),
+x AS (SELECT *, max(CASE WHEN tool = 'verify' THEN seq END) OVER (PARTITION BY session) AS last_try, max(CASE WHEN tool = 'verify' AND status = 'completed' THEN seq END) OVER (PARTITION BY session) AS last_done FROM e)
+SELECT session, count(*) FILTER (tool = 'verify') AS attempts, count(*) FILTER (tool = 'verify' AND status = 'completed') AS completed, count(*) FILTER (tool <> 'verify' AND seq > last_done) AS tools_after, max(CASE WHEN seq = last_done AND last_try = last_done THEN verdict END) AS last_status, count(*) AS events FROM x GROUP BY session""")
+def tool_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("session"), F.col("event_id").alias("seq"), F.when(kind.isin("purchase", "error"), "verify").otherwise(kind).alias("tool"), F.when((kind == "error") & (F.col("value") > 50), "error").otherwise("completed").alias("status"), kind.alias("verdict"))
+    return folds.tool_trace(e)
+
+
+@query("""WITH s AS (SELECT c_custkey AS id, 'p' || c_nationkey AS project, CASE WHEN c_custkey % 3 = 0 THEN 'own' || c_custkey ELSE ' ' END AS test_command FROM customer),
+p AS (SELECT 'p' || n_nationkey AS project, CASE WHEN n_nationkey % 2 = 0 THEN 'proj' || n_nationkey END AS test_command, 'b' || n_nationkey AS build_command FROM nation WHERE n_nationkey < 20)
+SELECT id, coalesce(nullif(trim(s.test_command), ''), p.test_command, 'make check') AS test_command, coalesce(p.build_command, 'make') AS build_command, CASE WHEN project IN (SELECT project FROM p) THEN NULL ELSE 'PROJECT_REVISION_NOT_FOUND' END AS problem FROM s LEFT JOIN p USING (project)""")
+def resolved_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string")).alias("project")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), name("c_nationkey"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("own"), F.col("c_custkey").cast("string"))).otherwise(" ").alias("test_command"))
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey").cast("string")
+    project = n.where("n_nationkey < 20").select(name("n_nationkey"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("proj"), k)).alias("test_command"), F.concat(F.lit("b"), k).alias("build_command"))
+    language = n.select(name("n_nationkey"), F.lit("make check").alias("test_command"), F.lit("make").alias("build_command"))
+    known = project.select("project", F.lit("abc").alias("project_commit"), F.lit("def").alias("tree_hash"), F.lit(None).cast("string").alias("problem"))
+    out = scans.resolve_settings(c, [project, language], "project", ["test_command", "build_command"])
+    return scans.resolve_revisions(out, known).select("id", "test_command", "build_command", "problem")

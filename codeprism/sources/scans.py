@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import ast
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
@@ -413,3 +414,105 @@ def scan_code(spark: SparkSession, files: DataFrame, what: str = "functions") ->
     if what not in ("functions", "identifiers", "accesses", "classes"):
         raise ValueError(f"unknown scan: {what}")
     return spark.sql(f"SELECT f.path, f.language, p.* FROM {{files}} f, LATERAL code_{what}(f.content, f.language) p", files=files)
+
+
+def name_status(payload: Column) -> Column:
+    """Changed paths of NUL-parted status records: status and paths; renames and copies have two. A truncated record is null."""
+    start = F.struct(F.array().cast("array<struct<status:string,paths:array<string>>>").alias("done"), F.lit("").alias("status"), F.lit(0).alias("left"), F.array().cast("array<string>").alias("paths"), F.lit(True).alias("ok"))
+    none = F.array().cast("array<string>")
+
+    def step(s: Column, x: Column) -> Column:
+        fresh = s["left"] == 0
+        skip = fresh & (x == "")
+        need = F.when(F.substring(x, 1, 1).isin("R", "C"), 2).otherwise(1)
+        paths = F.concat(s["paths"], F.array(x))
+        full = ~fresh & (s["left"] == 1)
+        return F.struct(
+            F.when(full, F.concat(s["done"], F.array(F.struct(s["status"].alias("status"), paths.alias("paths"))))).otherwise(s["done"]).alias("done"),
+            F.when(fresh & ~skip, x).otherwise(s["status"]).alias("status"),
+            F.when(skip, 0).when(fresh, need).otherwise(s["left"] - 1).alias("left"),
+            F.when(fresh | full, none).otherwise(paths).alias("paths"),
+            (s["ok"] & (fresh | (x != ""))).alias("ok"),
+        )
+
+    return F.aggregate(F.split(payload, "\0", -1), start, step, lambda s: F.when(s["ok"] & (s["left"] == 0), s["done"]))
+
+
+def test_root(path: Column) -> Column:
+    """The conventional test root of a path: src and a test source set, or a folder named for tests outside of main sources; else null."""
+    # fixed values: source sets and folder names
+    sets, legacy = ("test", "tests", "testfixtures", "integrationtest", "integration-test", "functionaltest", "it"), ("test", "tests")
+    parts = F.split(F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), "^/+|/+$", ""), "/+")
+    low = F.transform(parts, F.lower)
+    n = F.size(parts)
+    places = F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0)))
+    pair = F.get(F.filter(places, lambda i: (i < n - 1) & (F.get(low, i) == "src") & F.get(low, i + 1).isin(*sets)), 0)
+    main = lambda i: F.array_contains(F.slice(low, 1, i), "src") & F.arrays_overlap(F.slice(low, 1, i), F.array(F.lit("main"), F.lit("production")))
+    old = F.get(F.filter(places, lambda i: (i < n - 1) & F.get(low, i).isin(*legacy) & ~main(i)), 0)
+    head = lambda k: F.array_join(F.slice(parts, 1, k), "/")
+    return F.when(pair.isNotNull(), head(pair + 2)).when(old.isNotNull(), head(old + 1))
+
+
+def revisions(spark: SparkSession, path: str) -> DataFrame:
+    """project, project_commit, tree_hash and problem of a manifest {"projects": {name: {...}}} (or the flat map); one JSON document a file."""
+    entry = "struct<project_commit:string,tree_hash:string>"
+    text = spark.read.text(path, wholetext=True).select("value")
+    nested = F.from_json("value", f"projects map<string,{entry}>")["projects"]
+    rows = text.select(F.explode(F.coalesce(nested, F.from_json("value", f"map<string,{entry}>"))).alias("project", "e"))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    problem = F.when(blank("e.project_commit"), "PROJECT_COMMIT_MISSING").when(blank("e.tree_hash"), "TREE_HASH_MISSING")
+    return rows.select("project", F.trim("e.project_commit").alias("project_commit"), F.trim("e.tree_hash").alias("tree_hash"), problem.alias("problem"))
+
+
+def resolve_revisions(samples: DataFrame, known: DataFrame) -> DataFrame:
+    """samples (project, ...) with their revision, and problem where the manifest has none: a value, not a lost row."""
+    out = samples.join(known, "project", "left")
+    return out.withColumn("problem", F.coalesce("problem", F.when(F.col("project_commit").isNull(), "PROJECT_REVISION_NOT_FOUND")))
+
+
+def resolve_settings(rows: DataFrame, layers: Sequence[DataFrame], on: str, names: Sequence[str]) -> DataFrame:
+    """rows with each setting by precedence: the row's own value, then the layers' in order; blank values don't count.
+
+    layers: tables of settings by `on`, as the command line, dataset, project and language give them; a row each.
+    """
+    out = rows
+    for i, layer in enumerate(layers):
+        cols = [F.nullif(F.trim(F.col(n)), F.lit("")).alias(f"_{i}_{n}") for n in names if n in layer.columns]
+        out = out.join(layer.select(on, *cols), on, "left")
+    for n in names:
+        own = [F.nullif(F.trim(F.col(n)), F.lit(""))] if n in rows.columns else []
+        out = out.withColumn(n, F.coalesce(*own, *[F.col(f"_{i}_{n}") for i, layer in enumerate(layers) if n in layer.columns], F.lit(None).cast("string")))
+    return out.drop(*[f"_{i}_{n}" for i, layer in enumerate(layers) for n in names])
+
+
+def junit_counts(content: str) -> Iterator[tuple]:
+    """(tests, failures, errors, skipped, disabled) of a JUnit report: the root's attribute or the suites' sum, and at least what stands in it; nothing if it doesn't parse."""
+    try:
+        root = ElementTree.fromstring(content)
+    except ElementTree.ParseError:
+        return
+
+    def whole(value: str | None) -> int | None:
+        return int(value) if value is not None and re.fullmatch(r"\s*[+-]?\d+\s*", value) else None
+
+    out = []
+    for attribute, mark in (("tests", None), ("failures", "failure"), ("errors", "error"), ("skipped", "skipped"), ("disabled", "disabled")):
+        there = len(root.findall(".//testcase" if mark is None else f".//testcase/{mark}"))
+        own = whole(root.get(attribute))
+        suites = [max(n, 0) for n in (whole(s.get(attribute)) for s in root.findall(".//testsuite")) if n is not None]
+        out.append(max(own, there, 0) if own is not None else max(sum(suites), there))
+    yield tuple(out)
+
+
+@udtf(returnType="tests int, failures int, errors int, skipped int, disabled int")
+class JunitCounts:
+    def eval(self, content: str):
+        yield from junit_counts(content or "")
+
+
+def junit_reports(spark: SparkSession, reports: DataFrame) -> DataFrame:
+    """reports (path, content, ...) with their counts, and executed: tests that ran, 0 of a report with failures; unreadable reports are left out."""
+    spark.udtf.register("junit_counts", JunitCounts)
+    out = spark.sql("SELECT r.*, j.* FROM {reports} r, LATERAL junit_counts(r.content) j", reports=reports)
+    clean = (F.col("failures") == 0) & (F.col("errors") == 0)
+    return out.withColumn("executed", F.when(clean, F.greatest(F.col("tests") - F.col("skipped") - F.col("disabled"), F.lit(0))).otherwise(0))

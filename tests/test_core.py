@@ -249,6 +249,32 @@ def test_streaming_sessions(spark, tmp_path):
     assert sorted(r["n_events"] for r in spark.sql("select * from folds where user_id = 1").collect()) == [1, 3]
 
 
+def test_streaming_trace_resets(spark, tmp_path):
+    from codeprism.streaming import folds
+
+    schema = "session string, seq long, tool string, status string, verdict string"
+    batches = [[("s", 1, "edit", "completed", None), ("s", 2, "verify", "completed", "FAIL"), ("s", 3, "edit", "completed", None)], [("s", 4, "verify", "error", None)], [("s", 5, "verify", "completed", "PASS"), ("s", 6, "read", "completed", None)]]
+    path = str(tmp_path / "in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    want = [("s", 1, 1, 1, "FAIL", 3), ("s", 2, 1, 1, None, 4), ("s", 3, 2, 1, "PASS", 6)]
+    out = []
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        q = folds.tool_trace(stream).writeStream.foreachBatch(lambda b, n: out.extend(tuple(r) for r in b.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+        assert out == want[: i + 1]
+    whole = spark.createDataFrame([r for b in batches for r in b], schema)
+    assert [tuple(r) for r in folds.tool_trace(whole).collect()] == want[2:]
+
+
+def test_revision_manifest(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"projects": {"a": {"project_commit": "c1", "tree_hash": "t1"}, "b": {"project_commit": " ", "tree_hash": "t"}}}')
+    got = scans.revisions(spark, str(tmp_path / "r.json"))
+    assert {tuple(r) for r in got.collect()} == {("a", "c1", "t1", None), ("b", "", "t", "PROJECT_COMMIT_MISSING")}
+    out = scans.resolve_revisions(spark.createDataFrame([(1, "a"), (2, "z")], "id int, project string"), got)
+    assert {(r["id"], r["problem"]) for r in out.collect()} == {(1, None), (2, "PROJECT_REVISION_NOT_FOUND")}
+
+
 def test_entry_schema(spark):
     import __spark_entry__ as e
 
