@@ -254,6 +254,7 @@ def test_streaming_trace_resets(spark, tmp_path):
 
     schema = "session string, seq long, tool string, status string, verdict string"
     batches = [[("s", 1, "edit", "completed", None), ("s", 2, "verify", "completed", "FAIL"), ("s", 3, "edit", "completed", None)], [("s", 4, "verify", "error", None)], [("s", 5, "verify", "completed", "PASS"), ("s", 6, "read", "completed", None)]]
+    (tmp_path / "in").mkdir()
     path = str(tmp_path / "in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     want = [("s", 1, 1, 1, "FAIL", 3), ("s", 2, 1, 1, None, 4), ("s", 3, 2, 1, "PASS", 6)]
