@@ -37,7 +37,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df written below the shared folder and read again, and its path."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
@@ -45,12 +46,18 @@ def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: short lineage that outlives executors."""
-    return _stored(df, name)[0]
+    return stored(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table below the shared folder that no later plan reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded(df: DataFrame, name: str = "side", rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
     """df, computed once and written to the shared folder; to be broadcast if the files hold at most so many bytes and rows."""
-    out, path = _stored(df, name)
+    out, path = stored(df, name)
     at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
     length = at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
     return F.broadcast(out) if length <= size and out.count() <= rows else out
