@@ -116,3 +116,26 @@ def shingles(h: np.ndarray, text: np.ndarray, n_texts: int, k: int = 5) -> tuple
         order = np.argsort(of, kind="stable")
         out, of = out[order], of[order]
     return mix(out), of
+
+
+def gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes of all slices, one after the other."""
+    if len(begin) == 0:
+        return data[:0]
+    first = np.cumsum(size) - size
+    return data[np.arange(int(size.sum())) + np.repeat(begin - first, size)]
+
+
+def distinct_slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of the first slice of each value, each slice's value, 64 bits of each value); values with equal hashes are told apart by their bytes."""
+    size = end - begin
+    h, first, value = np.unique(word_hashes(data, begin, end, BYTE), return_index=True, return_inverse=True)
+    like = first[value]
+    if (size == size[like]).all() and (gather(data, begin, size) == gather(data, begin[like], size)).all():
+        return first, value, h
+    # two values have one hash: by the bytes
+    known: dict[bytes, int] = {}
+    raw = data.tobytes()
+    value = np.array([known.setdefault(raw[b:e], len(known)) for b, e in zip(begin.tolist(), end.tolist(), strict=True)], np.int64)
+    _, first = np.unique(value, return_index=True)
+    return first, value, word_hashes(data, begin[first], end[first], BYTE)

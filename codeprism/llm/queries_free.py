@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import decode_documents, encode_documents
+from .collocations import mine_phrases
+from .fim import fill_in_middle
 from .hyperminhash import near_duplicates
 from .suffix import remove_passages
 from .toxicity import score_documents
@@ -69,5 +72,52 @@ FROM d LEFT JOIN h USING (doc_id)
 """
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op5_warc": op5_warc, "op7_minhash": op7_minhash, "op8_suffix_dedup": op8_suffix_dedup}
-SQL = {"op5_warc": OP5_SQL, "op7_minhash": OP7_SQL, "op8_suffix_dedup": OP8_SQL}
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(spark.read.parquet(f"{sf_dir}/documents.parquet"), texts=False)
+
+
+#: Lines by splitting at line ends; the places of the cuts in code points.
+OP11_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS p, sha256('7:' || doc_id::VARCHAR) AS h FROM documents),
+e AS (SELECT *, CASE WHEN t = '' THEN [] WHEN p[-1] = '' THEN list_transform(p[:-2], lambda x: length(x) + 1) ELSE list_transform(p, lambda x, i: length(x) + CASE WHEN i < len(p) THEN 1 ELSE 0 END) END AS s FROM d),
+c AS (SELECT *, len(s) AS n, ('0x' || h[1:8])::BIGINT % (len(s) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(s) + 1) AS y,
+  CASE WHEN t = '' OR regexp_matches(t, '<[PSM]>') OR ('0x' || h[17:24])::BIGINT % 100 >= 100 THEN 'plain' WHEN ('0x' || h[25:32])::BIGINT % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM e),
+k AS (SELECT *, coalesce(list_sum(s[:least(x, y)]), 0)::BIGINT AS a, coalesce(list_sum(s[:greatest(x, y)]), 0)::BIGINT AS b FROM c)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars, sha256(t) AS restored_sha256,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || substr(t, 1, a) || '<S>' || substr(t, b + 1) || '<M>' || substr(t, a + 1, b - a) ELSE '<S>' || substr(t, b + 1) || '<P>' || substr(t, 1, a) || '<M>' || substr(t, a + 1, b - a) END) AS output_sha256 FROM k
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP12_SQL = r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES (1), (2), (3)) v(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+x AS (SELECT lang, k, phrase, f, unnest(range(1, k)) AS cut, w FROM c),
+s AS (SELECT x.*, a.f AS l, b.f AS r, (1000000::HUGEINT * x.f * x.f) // (a.f::HUGEINT * b.f) AS score FROM x JOIN f a ON a.lang = x.lang AND a.phrase = array_to_string(x.w[:cut], ' ') JOIN f b ON b.lang = x.lang AND b.phrase = array_to_string(x.w[cut + 1:], ' ')),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, f, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+z AS (SELECT m.lang, m.phrase, m.f AS a, l, r, score FROM m LEFT JOIN o ON o.lang = m.lang AND o.phrase = m.phrase WHERE o.f IS NULL OR 100 * o.f < 50 * m.f)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM z JOIN t USING (lang) QUALIFY rank <= 2000
+"""
+
+#: Rank file of the vocabulary that op13 uses; the package has its place on every machine.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(VOCABULARY)
+    out = decode_documents(encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
+    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op5_warc": op5_warc, "op7_minhash": op7_minhash, "op8_suffix_dedup": op8_suffix_dedup, "op11_fill_in_middle": op11_fill_in_middle, "op12_collocations": op12_collocations, "op13_bpe": op13_bpe}
+SQL = {"op5_warc": OP5_SQL, "op7_minhash": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op11_fill_in_middle": OP11_SQL, "op12_collocations": OP12_SQL}
