@@ -17,9 +17,9 @@ from .bytes_np import distinct_slices, gather, pieces, string_bytes
 from .common import require
 
 #: Text cut at a time; arrays of a run are a few dozen times as large.
-RUN_BYTES = 1 << 20
+RUN_BYTES = 1 << 18
 #: Distinct pieces whose tokens a Python worker remembers, twice: when so many are new, those met before them are forgotten.
-CACHED = 1 << 19
+CACHED = 1 << 18
 #: Longer pieces are merged by themselves, and not remembered.
 SHORT = 64
 NO_RANK = 2**31 - 1
@@ -201,10 +201,15 @@ class Vocabulary:
         self.size, self.begin = size, np.cumsum(size) - size
         self.data = np.frombuffer(b"".join(k for _, k in by_id), np.uint8)
         # every way to cut a token into two: (left, right) as one number, in order, and the token
-        pairs = [(self.ranks[k[:j]] * len(size) + self.ranks[k[j:]], i) for i, k in by_id for j in range(1, len(k)) if k[:j] in self.ranks and k[j:] in self.ranks]
-        pairs.sort()
-        self.pair = np.array([p for p, _ in pairs] + [1 << 62], np.int64)
-        self.token = np.array([i for _, i in pairs] + [NO_RANK], np.int32)
+        pair, token = array("q", [1 << 62]), array("i", [NO_RANK])
+        for i, k in by_id:
+            for j in range(1, len(k)):
+                left, right = self.ranks.get(k[:j]), self.ranks.get(k[j:])
+                if left is not None and right is not None:
+                    pair.append(left * len(size) + right)
+                    token.append(i)
+        order = np.argsort(np.array(pair))
+        self.pair, self.token = np.array(pair)[order], np.array(token)[order]
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -310,6 +315,44 @@ def read_vocabulary(spark: SparkSession, path: str) -> bytes:
     return lines
 
 
+def _encoded(batches: Iterator[pa.RecordBatch], lines: bytes, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    words = vocabulary(lines)
+    for b in batches:
+        for lo, hi, data, at in pieces(*string_bytes(b.column("text")), 1 << 20):
+            ids, starts = words.encode(data, at, classes)
+            cut = np.searchsorted(starts, at).astype(np.int32)
+            starts -= np.repeat(at[:-1], np.diff(cut))
+            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (ids, starts)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *lists], names=["doc_id", "ids", "starts"])
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], lines: bytes) -> Iterator[pa.RecordBatch]:
+    words = vocabulary(lines)
+    for b in batches:
+        lists, starts = b.column("ids"), b.column("starts")
+        cut = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
+        ids, place = lists.flatten().to_numpy(), starts.flatten().to_numpy()
+        if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= len(words.size) or not words.size[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        size = words.size[ids]
+        total = np.concatenate(([0], np.cumsum(size)))
+        at = total[cut]  # where each document's bytes begin
+        out = np.empty(int(total[-1]), np.uint8)
+        begin = place + np.repeat(at[:-1], np.diff(cut))
+        out[np.repeat(begin - total[:-1], size) + np.arange(len(out))] = gather(words.data, words.begin[ids], size)
+        decoded = pa.Array.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(out)])
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, decoded.cast(pa.binary())], names=["doc_id", "ids", "decoded"])
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n_tokens and digests of the ids (decimal, joined by commas) and of the decoded bytes."""
+    for b in batches:
+        ids = [x.as_py() or [] for x in b.column("ids")]
+        of_ids = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
+        of_bytes = [hashlib.sha256(x.as_buffer()).hexdigest() for x in b.column("decoded")]
+        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, starts): the tokens of each whole text by the rank file at path, and the byte at which each begins.
 
@@ -319,20 +362,8 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     require(docs, ["doc_id", "text"])
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast((read_vocabulary(spark, path), code_point_classes()))  # about 2 MB, whatever the corpus
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines, classes = sent.value
-        words = vocabulary(lines)
-        for b in batches:
-            for lo, hi, data, at in pieces(*string_bytes(b.column("text")), RUN_BYTES):
-                ids, starts = words.encode(data, at, classes)
-                cut = np.searchsorted(starts, at).astype(np.int32)
-                starts -= np.repeat(at[:-1], np.diff(cut))
-                lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(x)) for x in (ids, starts)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), *lists], names=["doc_id", "ids", "starts"])
-
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids array<int>, starts array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _encoded(batches, *sent.value), f"doc_id {kind}, ids array<int>, starts array<bigint>")
 
 
 def decode_documents(tokens: DataFrame, path: str) -> DataFrame:
@@ -340,23 +371,15 @@ def decode_documents(tokens: DataFrame, path: str) -> DataFrame:
     require(tokens, ["doc_id", "ids", "starts"])
     spark = tokens.sparkSession
     sent = spark.sparkContext.broadcast(read_vocabulary(spark, path))
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.select("doc_id", "ids", "starts").mapInArrow(lambda batches: _decoded(batches, sent.value), f"doc_id {kind}, ids array<int>, decoded binary")
 
-    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(sent.value)
-        for b in batches:
-            lists, starts = b.column("ids"), b.column("starts")
-            cut = np.concatenate(([0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)))).astype(np.int64)
-            ids, place = lists.flatten().to_numpy(), starts.flatten().to_numpy()
-            if len(ids) and (int(ids.min()) < 0 or int(ids.max()) >= len(words.size) or not words.size[ids].all()):
-                raise ValueError("an id is not in the vocabulary")
-            size = words.size[ids]
-            total = np.concatenate(([0], np.cumsum(size)))
-            at = total[cut]  # where each document's bytes begin
-            out = np.empty(int(total[-1]), np.uint8)
-            begin = place + np.repeat(at[:-1], np.diff(cut))
-            out[np.repeat(begin - total[:-1], size) + np.arange(len(out))] = gather(words.data, words.begin[ids], size)
-            decoded = pa.Array.from_buffers(pa.large_binary(), len(b), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(out)])
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), lists, decoded.cast(pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "ids", "starts").mapInArrow(decode, f"doc_id {kind}, ids array<int>, decoded binary")
+def digest_documents(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): what encode_documents and decode_documents give, digested where it arises: one Python worker does all, and tokens never leave it."""
+    require(docs, ["doc_id", "text"])
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast((read_vocabulary(spark, path), code_point_classes()))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    steps = lambda batches: _digests(_decoded(_encoded(batches, *sent.value), sent.value[0]))
+    return docs.select("doc_id", "text").mapInArrow(steps, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import decode_documents, encode_documents
+from .bpe import digest_documents
 from .collocations import mine_phrases
 from .fim import fill_in_middle
 from .hyperminhash import near_duplicates
@@ -114,9 +114,7 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path(VOCABULARY)
-    out = decode_documents(encode_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), path), path)
-    return out.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return digest_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path(VOCABULARY))
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op5_warc": op5_warc, "op7_minhash": op7_minhash, "op8_suffix_dedup": op8_suffix_dedup, "op11_fill_in_middle": op11_fill_in_middle, "op12_collocations": op12_collocations, "op13_bpe": op13_bpe}
