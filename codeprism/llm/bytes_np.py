@@ -126,13 +126,22 @@ def gather(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[np.arange(int(size.sum())) + np.repeat(begin - first, size)]
 
 
-def distinct_slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of the first slice of each value, each slice's value, 64 bits of each value); values with equal hashes are told apart by their bytes."""
-    size = end - begin
-    h, first, value = np.unique(word_hashes(data, begin, end, BYTE), return_index=True, return_inverse=True)
+def distinct_slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray, run: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of a slice of each value, each slice's value, 64 bits of each value); values with equal hashes are told apart by their bytes.
+
+    Slices are hashed and compared `run` at a time, so that the arrays over their bytes stay small.
+    """
+    n, size = len(begin), end - begin
+    runs = [slice(lo, lo + run) for lo in range(0, n, run)]
+    h = np.concatenate([word_hashes(data, begin[r], end[r], BYTE) for r in runs] or [np.zeros(0, np.uint64)])
+    order = np.argsort(h)
+    fresh = np.concatenate((np.ones(min(n, 1), bool), h[order[1:]] != h[order[:-1]]))
+    first = order[fresh]
+    value = np.empty(n, np.int64)
+    value[order] = np.cumsum(fresh) - 1
     like = first[value]
-    if (size == size[like]).all() and (gather(data, begin, size) == gather(data, begin[like], size)).all():
-        return first, value, h
+    if (size == size[like]).all() and all((gather(data, begin[r], size[r]) == gather(data, begin[like[r]], size[r])).all() for r in runs):
+        return first, value, h[first]
     # two values have one hash: by the bytes
     known: dict[bytes, int] = {}
     raw = data.tobytes()

@@ -14,7 +14,7 @@ from .bytes_np import U, distinct_slices, gather, mix, string_bytes, words
 from .common import materialise, require
 
 #: Text of a shard, whose words get one suffix array (at least one batch of rows).
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
 MOST_WORDS = 3
 LEAST = 10
 #: A phrase goes if a longer one around it has at least so many of a hundred of its occurrences.
@@ -51,7 +51,9 @@ class Shard:
         self.same = np.zeros(len(self.begin) + 1, bool)  # as the piece of the word before
         self.same[1:-1] = (broken[1:] == broken[:-1]) & (self.text[1:] == self.text[:-1])
         _, word, h = distinct_slices(self.data, self.begin, self.end)
-        _, self.word = np.unique(self.lang * (len(h) + 1) + word, return_inverse=True)
+        self.word = self.lang * len(h) + word
+        if len(self.langs) * len(h) >= 1 << 31:  # two numbers must fit 63 bits
+            _, self.word = np.unique(self.word, return_inverse=True)
         spoken = pa.array(self.langs, pa.string())
         raw, cut = string_bytes(spoken)
         _, value, seeds = distinct_slices(raw, cut[:-1], cut[1:])
@@ -94,17 +96,18 @@ def suffix_order(word: np.ndarray, length: np.ndarray, most: int) -> tuple[np.nd
     common is `most` at most.
     """
     n = len(word)
-    _, rank = np.unique(word, return_inverse=True)
-    rank = rank.astype(np.int64) + 1
-    order = np.argsort(rank, kind="stable")
+    rank = word + 1
+    order = np.argsort(rank) if most == 1 else None
     span = 1
     while span < most:
         behind = np.zeros(n, np.int64)
         there = np.flatnonzero(length[: max(n - span, 0)] > span)
         behind[there] = rank[there + span]
         key = rank * (int(rank.max(initial=0)) + 1) + behind
-        order = np.argsort(key, kind="stable")
-        rank[order] = np.cumsum(np.concatenate(([1], key[order][1:] != key[order][:-1])))[:n]
+        order = np.argsort(key)
+        if span * 2 < most:
+            sorted_ = key[order]
+            rank[order] = np.cumsum(np.concatenate(([1], sorted_[1:] != sorted_[:-1])))[:n]
         span *= 2
     common = np.zeros(n, np.int64)
     x, y = order[:-1], order[1:]
