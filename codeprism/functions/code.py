@@ -53,3 +53,11 @@ def body_metrics(body: pd.Series, language: pd.Series, name: pd.Series) -> pd.Da
 def test_strength(source: pd.Series) -> pd.DataFrame:
     """Test methods, assertions, disabling marks and skips of a test source, comments and literals apart."""
     return pd.DataFrame([brace.test_strength(t or "") for t in source], columns=["methods", "assertions", "disabled", "skips"])
+
+
+@pandas_udf(T.StringType())
+def rejection_kind(body: pd.Series) -> pd.Series:
+    """How a Java body refuses what it inherits (empty_override, unsupported_operation, empty_return, null_stub, constant_stub, logging_stub); null if it does not."""
+    from ..sources.java_model import rejection
+
+    return body.map(lambda t: rejection(t) or None)

@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import lexical, rules
+from ..functions import code, lexical, rules
+from . import java
 
 #: What a receiver is called when it is the method's own object.
 OWN = ("self", "cls", "this")
 SMELLS = ("long_method", "long_parameter_list", "nested_complexity", "switch_statements")
-# Names that frameworks call.
-LIFECYCLE = ("main", "readObject", "writeObject", "readResolve", "writeReplace", "readObjectNoData", "finalize")
 
 
 def function_findings(functions: DataFrame) -> DataFrame:
@@ -111,72 +110,31 @@ def clump_occurrences(functions: DataFrame, groups: DataFrame, members: str) ->
 
 
 def dead_code(methods: DataFrame, calls: DataFrame) -> DataFrame:
-    """Private methods without annotations that no call reaches: those of methods (owner, name, arity, private, annotated).
+    """Private methods without annotations that no call reaches, where only owners, names and arities are known: those of methods (owner, name, arity, private, annotated).
 
-    calls: owner (of the call), caller, name, arity. A call counts for a declaration if it is the only one of its owner,
-    name and arity, and is not made by itself; ambiguous calls count for none, so doubt leaves more findings.
+    calls: owner (of the call), caller, caller_arity, name, arity. A call counts for a declaration if it is the only one of
+    its owner, name and arity, and is not made by itself; ambiguous calls count for none, so doubt leaves more findings.
+    operators.java resolves calls by their arguments' types.
     """
     key = ["owner", "name", "arity"]
     only = methods.groupBy(*key).agg(F.count("*").alias("n")).where("n = 1").select(*key)
-    used = calls.where(F.col("caller") != F.col("name")).select(*key).distinct().join(only, key, "left_semi")
-    candidates = methods.where(F.col("private") & ~F.col("annotated") & ~F.col("name").isin(*LIFECYCLE))
+    itself = (F.col("caller") == F.col("name")) & (F.col("caller_arity") == F.col("arity"))
+    used = calls.where(~F.coalesce(itself, F.lit(False))).select(*key).distinct().join(only, key, "left_semi")
+    candidates = methods.where(F.col("private") & ~F.col("annotated") & ~F.col("name").isin(*java.SERIAL) & ~F.col("name").rlike(java.LIFECYCLE))
     return candidates.join(used, key, "left_anti")
 
 
-def rejection_kind(body: Column) -> Column:
-    """How a body refuses what it inherits: empty, unsupported, empty_return, null_return, constant_return, log_only; null if it does not."""
-    flat = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"(?s)/\*.*?\*/", " "), r"//[^\n]*", " "), r"\s+", " "))
-    inner = F.trim(F.regexp_extract(flat, r"(?s)^\{(.*)\}$", 1))
-    return (
-        F.when(inner == "", "empty")
-        .when(inner.rlike(r"^throw new (?:[\w.]+\.)?UnsupportedOperationException ?\([^;]*\) ?;$"), "unsupported")
-        .when(inner.rlike(r"^return ?;$"), "empty_return")
-        .when(inner.rlike(r"^return null ?;$"), "null_return")
-        .when(inner.rlike(r"^return (?:-?\d[\w.]*|true|false|\"[^\"]*\"|'[^']*') ?;$"), "constant_return")
-        .when(inner.rlike(r"^(?:(?:log|logger|LOG|LOGGER|System\.(?:out|err))\.\w+ ?\([^;]*\) ?; ?)+$"), "log_only")
-    )
-
-
 def refused_bequests(methods: DataFrame, ancestors: DataFrame) -> DataFrame:
     """methods (owner, name, arity, body) that override an ancestor's and refuse it: with parent (the nearest that declares it) and kind.
 
     ancestors: child, ancestor, depth. Of equally near parents the smallest name is taken.
     """
-    refusing = methods.withColumn("kind", rejection_kind(F.col("body"))).where("kind is not null")
+    refusing = methods.withColumn("kind", code.rejection_kind(F.col("body"))).where("kind is not null")
     declared = methods.select(F.col("owner").alias("ancestor"), "name", "arity").distinct()
     above = refusing.join(ancestors.withColumnRenamed("child", "owner"), "owner").join(declared, ["ancestor", "name", "arity"])
     return above.groupBy("owner", "name", "arity", "kind").agg(F.min(F.struct("depth", "ancestor")).alias("p")).select("owner", "name", "arity", "kind", F.col("p.ancestor").alias("parent"))
 
 
-def resolve_types(references: DataFrame, declared: DataFrame) -> DataFrame:
-    """references (file, package, imports, wildcards, name) with resolved: the qualified name, by the first rule that hits.
-
-    declared: package, name. Rules: a dotted name stays; explicit import; same package; java.lang; wildcard imports; else the
-    own package. Two hits of one rule are ambiguous, which is a value of its own, not null.
-    """
-    r = references.withColumn("_id", F.xxhash64(*[F.col(c).cast("string") for c in references.columns]))
-    lang = F.array(*[F.lit(x) for x in ("String", "Object", "Integer", "Long", "Boolean", "Exception", "RuntimeException", "Iterable", "Runnable", "Comparable")])
-    d = declared.select(F.col("package").alias("_p"), F.col("name").alias("_n")).distinct()
-    explicit = F.filter("imports", lambda i: F.substring_index(i, ".", -1) == F.col("name"))
-    rows = r.withColumn("_explicit", F.get(explicit, 0))
-    own = rows.join(d, (F.col("name") == F.col("_n")) & (F.col("package") == F.col("_p")), "left_semi").select("_id", F.lit(True).alias("_own"))
-    wild = rows.select("_id", "name", F.explode("wildcards").alias("_w")).join(d, (F.col("name") == F.col("_n")) & (F.col("_w") == F.col("_p"))).groupBy("_id").agg(F.count("*").alias("_hits"), F.min("_w").alias("_from"))
-    out = rows.join(own.distinct(), "_id", "left").join(wild, "_id", "left")
-    at = lambda p: F.concat_ws(".", F.nullif(p, F.lit("")), F.col("name"))
-    resolved = (
-        F.when(F.col("name").contains("."), F.col("name"))
-        .when(F.size(explicit) > 1, F.concat(F.lit("ambiguous:"), F.col("name")))
-        .when(F.col("_explicit").isNotNull(), F.col("_explicit"))
-        .when(F.col("_own"), at(F.col("package")))
-        .when(F.array_contains(lang, F.col("name")), F.concat(F.lit("java.lang."), F.col("name")))
-        .when(F.col("_hits") > 1, F.concat(F.lit("ambiguous:"), F.col("name")))
-        .when(F.col("_hits") == 1, at(F.col("_from")))
-        .when(F.size("wildcards") == 1, at(F.get("wildcards", 0)))
-        .otherwise(at(F.col("package")))
-    )
-    return out.withColumn("resolved", resolved).drop("_id", "_explicit", "_own", "_hits", "_from")
-
-
 def target_status(targets: DataFrame, found: DataFrame, on: Sequence[str]) -> DataFrame:
     """targets with match_count and status: missing, matched or ambiguous. Only a single match is a target."""
     n = found.groupBy(*on).agg(F.count("*").alias("match_count"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import settled
+
 
 def manifest_delta(before: DataFrame, after: DataFrame, key: str, digest: str) -> DataFrame:
     """key and status: added, changed, deleted or equal."""
@@ -36,28 +38,20 @@ def multiset_additions(before: DataFrame, after: DataFrame, fields: Sequence[str
 def ancestor_closure(edges: DataFrame, hops: int = 8, strict: bool = True) -> DataFrame:
     """child, ancestor and the least number of hops; each hop is an equi-join on the parent.
 
-    With `strict`, chains of more than `hops` hops are an error, not cut off; a cycle ends where it closes. Each frontier
-    is a checkpoint where the session has a checkpoint folder, so a hop does not compute the earlier ones again.
+    With `strict`, chains of more than `hops` hops are an error, not cut off; a cycle ends where it closes. The reach
+    doubles in each round (paths of up to 2, 4, 8 ... hops), and each round is a table, so no round computes earlier ones.
     """
-    context = edges.sparkSession.sparkContext
-    base = context.getConf().get("spark.checkpoint.dir")
-    if base and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(base)
-    cut = (lambda d: d.checkpoint()) if context._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d.persist())
-    step = edges.select(F.col("child").alias("_c"), F.col("parent").alias("_p")).distinct()
-    front = cut(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")).distinct())
-    reach = front
-    for depth in range(2, hops + 2):
-        front = front.join(step, F.col("ancestor") == F.col("_c")).select("child", F.col("_p").alias("ancestor"), F.lit(depth).alias("depth")).distinct()
-        front = cut(front.join(reach.select("child", "ancestor"), ["child", "ancestor"], "left_anti").where("child <> ancestor"))
-        if front.isEmpty():
-            break
-        if depth > hops:
-            if strict:
-                raise ValueError(f"a chain has more than {hops} hops")
-            break
-        reach = reach.unionByName(front)
-    return reach.select("child", "ancestor", F.col("depth").cast("long").alias("depth"))
+    reach = settled(edges.select("child", F.col("parent").alias("ancestor"), F.lit(1).cast("long").alias("depth")).where("child is not null and ancestor is not null").distinct(), "reach")
+    span, longest = 1, 1
+    while longest == span and span <= hops:
+        upper = reach.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("_top"), F.col("depth").alias("_more"))
+        further = reach.join(upper, "ancestor").where("child <> _top").select("child", F.col("_top").alias("ancestor"), (F.col("depth") + F.col("_more")).alias("depth"))
+        reach = settled(reach.unionByName(further).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")), "reach")
+        span *= 2
+        longest = reach.agg(F.max("depth")).head()[0] or 0
+    if strict and longest > hops:
+        raise ValueError(f"a chain has more than {hops} hops")
+    return reach.where(F.col("depth") <= hops)
 
 
 def overlaps(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:

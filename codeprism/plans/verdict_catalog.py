@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import code, gate, rules
-from ..operators import diffs, findings, ranking, relations
+from ..operators import diffs, findings, java, ranking, relations
 from ..sinks import files
 from ..sources import scans
+from ..storage import fresh_path
 from ..streaming import folds
 from . import generated
 from .catalog import _YEARLY, query, table
@@ -180,42 +178,52 @@ def valid_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.select_valid(_curated(spark, sf_dir), F.col("id") % 4 != 0)
 
 
-_METHODS = "ms AS (SELECT (o % 400)::INT AS owner, 'm' || (o % 23) AS name, d AS arity, o % 3 > 0 AS private, o % 5 = 0 AS annotated, o FROM s), cl AS (SELECT (o % 400)::INT AS owner, 'm' || (c % 23) AS caller, 'm' || ((o + c) % 23) AS name, d AS arity FROM s)"
+_METHODS = "ms AS (SELECT (o % 400)::INT AS owner, 'm' || (o % 23) AS name, d AS arity, o % 3 > 0 AS private, o % 5 = 0 AS annotated, o FROM s), cl AS (SELECT (o % 400)::INT AS owner, 'm' || (c % 23) AS caller, r AS caller_arity, 'm' || ((o + c) % 23) AS name, d AS arity FROM s)"
 
 
-@query(f"""{_SHAPES}, {_METHODS}, u AS (SELECT owner, name, arity FROM ms GROUP BY ALL HAVING count(*) = 1), r AS (SELECT DISTINCT owner, name, arity FROM cl WHERE caller <> name AND (owner, name, arity) IN (SELECT (owner, name, arity) FROM u))
+@query(f"""{_SHAPES}, {_METHODS}, u AS (SELECT owner, name, arity FROM ms GROUP BY ALL HAVING count(*) = 1), r AS (SELECT DISTINCT owner, name, arity FROM cl WHERE (caller <> name OR caller_arity <> arity) AND (owner, name, arity) IN (SELECT (owner, name, arity) FROM u))
 SELECT o, owner, name, arity FROM ms WHERE private AND NOT annotated AND (owner, name, arity) NOT IN (SELECT (owner, name, arity) FROM r)""")
 def dead_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = generated.order_shapes(spark, sf_dir)
     name = lambda c, n: F.concat(F.lit("m"), (c % 23).cast("string")).alias(n)
     methods = s.select((F.col("o") % 400).cast("int").alias("owner"), name(F.col("o"), "name"), F.col("d").alias("arity"), (F.col("o") % 3 > 0).alias("private"), (F.col("o") % 5 == 0).alias("annotated"), "o")
-    calls = s.select((F.col("o") % 400).cast("int").alias("owner"), name(F.col("c"), "caller"), name(F.col("o") + F.col("c"), "name"), F.col("d").alias("arity"))
+    calls = s.select((F.col("o") % 400).cast("int").alias("owner"), name(F.col("c"), "caller"), F.col("r").alias("caller_arity"), name(F.col("o") + F.col("c"), "name"), F.col("d").alias("arity"))
     return findings.dead_code(methods, calls).select("o", "owner", "name", "arity")
 
 
-@query(f"""WITH RECURSIVE {generated.SHAPES_SQL}, b AS (SELECT DISTINCT 'K' || (o % 40) AS owner, 'go' || (o % 6) AS name, d AS arity, o % 8 AS t FROM s),
-e AS (SELECT 'K' || i AS child, 'K' || (i // 2) AS parent FROM (SELECT unnest(range(1, 40)) AS i)), a AS (SELECT child, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT a.child, e.parent, depth + 1 FROM a JOIN e ON a.ancestor = e.child),
-k AS (SELECT *, ['empty', 'unsupported', 'empty_return', 'null_return', 'constant_return', 'log_only'][t + 1] AS kind FROM b WHERE t < 6), d AS (SELECT DISTINCT owner, name, arity FROM b)
-SELECT DISTINCT k.owner, k.name, k.arity, k.kind, first_value(a.ancestor) OVER (PARTITION BY k.owner, k.name, k.arity, k.kind ORDER BY depth, a.ancestor) AS parent FROM k JOIN a ON a.child = k.owner JOIN d ON d.owner = a.ancestor AND d.name = k.name AND d.arity = k.arity""")
+@query(f"""WITH RECURSIVE {generated.SHAPES_SQL}, b AS (SELECT DISTINCT 'K' || (o % 40) AS owner, 'go' || (o % 6) AS name, d AS arity, o % 14 AS t FROM s),
+e AS (SELECT 'K' || s_suppkey AS child, 'K' || (s_suppkey // 2) AS parent FROM supplier WHERE s_suppkey BETWEEN 1 AND 39), a AS (SELECT child, parent AS ancestor, 1 AS depth FROM e UNION ALL SELECT a.child, e.parent, depth + 1 FROM a JOIN e ON a.ancestor = e.child),
+k AS (SELECT *, ['empty_override', 'unsupported_operation', 'empty_return', 'null_stub', 'constant_stub', 'logging_stub', 'empty_override', 'unsupported_operation', 'constant_stub', NULL, NULL, NULL, NULL, NULL][t + 1] AS kind FROM b), d AS (SELECT DISTINCT owner, name, arity FROM b)
+SELECT DISTINCT k.owner, k.name, k.arity, k.kind, first_value(a.ancestor) OVER (PARTITION BY k.owner, k.name, k.arity, k.kind ORDER BY depth, a.ancestor) AS parent FROM k JOIN a ON a.child = k.owner JOIN d ON d.owner = a.ancestor AND d.name = k.name AND d.arity = k.arity WHERE kind IS NOT NULL""")
 def refused_bequests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bodies = ["{ // nothing\n }", "{ throw new UnsupportedOperationException(\"x\"); }", "{ return; }", "{ return null; }", "{ return -1; }", "{ LOG.warn(\"no\"); log.info(x); }", "{ return a + b; }", "{ x(); }"]
+    bodies = [
+        "{ // return null;\n }", '{ throw new UnsupportedOperationException("a;b"); }', "{ return /* 1 */ ; }", "{ return null; }", "{ return 1.5f; }", '{ LOG.warn("no; " + x); }', "{ ; }", "{ throw unsupported(new java.lang.UnsupportedOperationException()); }", '{ return "a + b"; }',
+        '{ LOG.warn("no"); log.info(x); }', "{ return -1; }", "{ return a + b; }", "{ x(); }", "{ if (a) { return null; } }",
+    ]
     s = generated.order_shapes(spark, sf_dir)
-    methods = s.select(F.concat(F.lit("K"), (F.col("o") % 40).cast("string")).alias("owner"), F.concat(F.lit("go"), (F.col("o") % 6).cast("string")).alias("name"), F.col("d").alias("arity"), F.get(F.array(*[F.lit(b) for b in bodies]), (F.col("o") % 8).cast("int")).alias("body")).distinct()
-    edges = spark.range(1, 40).select(F.concat(F.lit("K"), F.col("id").cast("string")).alias("child"), F.concat(F.lit("K"), F.expr("id div 2").cast("string")).alias("parent"))
+    methods = s.select(F.concat(F.lit("K"), (F.col("o") % 40).cast("string")).alias("owner"), F.concat(F.lit("go"), (F.col("o") % 6).cast("string")).alias("name"), F.col("d").alias("arity"), F.get(F.array(*[F.lit(b) for b in bodies]), (F.col("o") % 14).cast("int")).alias("body")).distinct()
+    k = lambda x: F.concat(F.lit("K"), x.cast("string"))
+    edges = table(spark, sf_dir, "supplier").where(F.col("s_suppkey").between(1, 39)).select(k(F.col("s_suppkey")).alias("child"), k(F.expr("s_suppkey div 2")).alias("parent"))
     return findings.refused_bequests(methods, relations.ancestor_closure(edges))
 
 
-@query("""WITH r AS (SELECT c_custkey AS file, 'p' || (c_nationkey % 4) AS package, CASE WHEN c_custkey % 3 = 0 THEN ['q.T' || (c_custkey % 9)] ELSE [] END AS imports, CASE c_custkey % 4 WHEN 0 THEN [] WHEN 1 THEN ['p1'] ELSE ['p1', 'p2'] END AS wildcards, CASE WHEN c_custkey % 11 = 0 THEN 'String' WHEN c_custkey % 13 = 0 THEN 'a.B' ELSE 'T' || (c_custkey % 9) END AS name FROM customer),
-d AS (SELECT DISTINCT 'p' || (s_suppkey % 4) AS p, 'T' || (s_suppkey % 7) AS n FROM supplier),
-x AS (SELECT *, (SELECT count(*) FROM d WHERE n = name AND p = package) AS own, (SELECT count(*) FROM d WHERE n = name AND list_contains(wildcards, p)) AS hits, (SELECT min(p) FROM d WHERE n = name AND list_contains(wildcards, p)) AS src FROM r)
-SELECT file, name, CASE WHEN contains(name, '.') THEN name WHEN list_contains(imports, 'q.' || name) THEN 'q.' || name WHEN own > 0 THEN package || '.' || name WHEN name = 'String' THEN 'java.lang.String' WHEN hits > 1 THEN 'ambiguous:' || name WHEN hits = 1 THEN src || '.' || name WHEN len(wildcards) = 1 THEN wildcards[1] || '.' || name ELSE package || '.' || name END AS resolved FROM x""")
+@query("""WITH r AS (SELECT c_custkey AS file, CASE WHEN c_nationkey % 6 = 5 THEN '' ELSE 'p' || (c_nationkey % 6) END AS package, CASE WHEN c_custkey % 3 = 0 THEN ['x.T' || (c_custkey % 9), 'q.T' || (c_custkey % 9)] ELSE [] END AS imports, CASE c_custkey % 4 WHEN 0 THEN [] WHEN 1 THEN ['p1'] WHEN 2 THEN ['z'] ELSE ['p1', 'p2'] END AS wildcards, CASE WHEN c_custkey % 8 = 2 THEN ['p3'] ELSE [] END AS statics,
+CASE WHEN c_custkey % 11 = 0 THEN ['String', '', ''] WHEN c_custkey % 13 = 0 THEN ['a.B', '', ''] WHEN c_custkey % 17 = 0 THEN ['int', '', '[][]'] WHEN c_custkey % 19 = 0 THEN ['T' || (c_custkey % 9), '.In', '[]'] WHEN c_custkey % 23 = 0 THEN ['E', '', '[]'] WHEN c_custkey % 5 = 0 THEN ['T' || (c_custkey % 9), '', '[]'] ELSE ['T' || (c_custkey % 9), '', ''] END AS w FROM customer),
+d AS (SELECT 'p' || (s_suppkey % 4) AS p, 'T' || (s_suppkey % 7) AS n FROM supplier WHERE s_suppkey BETWEEN 1 AND 26 AND s_suppkey % 4 <> 0),
+x AS (SELECT *, w[1] AS h, (SELECT count(*) FROM d WHERE n = w[1] AND p = package) AS own, (SELECT count(*) FROM d WHERE n = w[1] AND (list_contains(wildcards, p) OR list_contains(statics, p))) AS hits, (SELECT min(p) FROM d WHERE n = w[1] AND (list_contains(wildcards, p) OR list_contains(statics, p))) AS src FROM r),
+y AS (SELECT *, CASE WHEN h = 'E' THEN 'q.Bound' WHEN h = 'int' OR h = 'a.B' THEN h WHEN len(imports) > 0 AND imports[2] = 'q.' || h THEN imports[2] WHEN own = 1 THEN package || '.' || h WHEN own > 1 THEN '__ambiguous_java_type__' || h WHEN h = 'String' THEN 'java.lang.String' WHEN hits = 1 THEN src || '.' || h WHEN hits > 1 OR len(wildcards) > 1 THEN '__ambiguous_java_type__' || h WHEN len(wildcards) = 1 THEN wildcards[1] || '.' || h WHEN package <> '' THEN package || '.' || h ELSE h END AS o FROM x)
+SELECT file, w[1] || w[2] || w[3] AS name, CASE WHEN w[2] <> '' AND (starts_with(o, '__') OR o = h) THEN h ELSE o END || w[2] || w[3] AS resolved FROM y""")
 def resolved_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    c, k, p = table(spark, sf_dir, "customer"), F.col("c_custkey"), F.col("c_nationkey") % 6
     none = F.array().cast("array<string>")
     t = lambda x, m: F.concat(F.lit("T"), (x % m).cast("string"))
-    refs = c.select(k.alias("file"), F.concat(F.lit("p"), (F.col("c_nationkey") % 4).cast("string")).alias("package"), F.when(k % 3 == 0, F.array(F.concat(F.lit("q."), t(k, 9)))).otherwise(none).alias("imports"), F.when(k % 4 == 0, none).when(k % 4 == 1, F.array(F.lit("p1"))).otherwise(F.array(F.lit("p1"), F.lit("p2"))).alias("wildcards"), F.when(k % 11 == 0, "String").when(k % 13 == 0, "a.B").otherwise(t(k, 9)).alias("name"))
-    known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("p"), (F.col("s_suppkey") % 4).cast("string")).alias("package"), t(F.col("s_suppkey"), 7).alias("name"))
-    return findings.resolve_types(refs, known).select("file", "name", "resolved")
+    listed = lambda *x: F.array(*[F.lit(v) for v in x])
+    name = F.when(k % 11 == 0, "String").when(k % 13 == 0, "a.B").when(k % 17 == 0, "int[][]").when(k % 19 == 0, F.concat(t(k, 9), F.lit(".In[]"))).when(k % 23 == 0, "E[]").when(k % 5 == 0, F.concat(t(k, 9), F.lit("[]"))).otherwise(t(k, 9))
+    wild = F.when(k % 4 == 0, none).when(k % 4 == 1, listed("p1")).when(k % 4 == 2, listed("z")).otherwise(listed("p1", "p2"))
+    refs = c.select(k.alias("file"), F.when(p < 5, F.concat(F.lit("p"), p.cast("string"))).alias("package"), F.when(k % 3 == 0, F.array(F.concat(F.lit("x."), t(k, 9)), F.concat(F.lit("q."), t(k, 9)))).alias("imports"), wild.alias("wildcards"), F.when(k % 8 == 2, listed("p3")).otherwise(none).alias("static_wildcards"), F.create_map(F.lit("E"), F.lit("q.Bound")).alias("type_parameters"), name.alias("name"))
+    s = F.col("s_suppkey")
+    known = table(spark, sf_dir, "supplier").where(s.between(1, 26) & (s % 4 != 0)).select(F.concat(F.lit("p"), (s % 4).cast("string"), F.lit("."), t(s, 7)).alias("type"))
+    return java.resolve_types(refs, known).select("file", "name", "resolved")
 
 
 @query(f"""{_SHAPES} SELECT o, n AS methods, n + r AS assertions, (d > 1)::INT AS disabled, (r > 0)::INT AS skips, array_to_string(list_filter([CASE WHEN r > 1 THEN 'assertions_reduced' END, CASE WHEN d > 1 THEN 'disabled_increased' END], lambda x: x IS NOT NULL), '|') AS violations FROM s""")
@@ -256,28 +264,18 @@ def plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("plan_count", "completed", "success", F.element_at("category_counts", "PASS").alias("passed"), F.size("category_counts").cast("long").alias("n_categories"))
 
 
-def _work(spark: SparkSession) -> str:
-    """A folder below the shared checkpoint folder; in local mode without one a temporary folder."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="codeprism-")
-    return f"{base.rstrip('/')}/sink-{uuid.uuid4().hex[:12]}"
-
-
 @query(f"""{_CURATED} SELECT row_number() OVER (ORDER BY project, id) AS sample_id, project, file, begin_line, '{{"receiver_type":"r' || id || '","z":"say ""hi"", ok"}}' AS target_context_json FROM cu WHERE selected""".replace('""hi""', '\\"hi\\"'))
 def sample_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _curated(spark, sf_dir).where("selected").withColumn("receiver", F.concat(F.lit("r"), F.col("id").cast("string")))
     rows = files.sample_rows(rows, ["project", "id"], {"z": F.lit('say "hi", ok'), "receiver_type": F.col("receiver")})
-    path = _work(spark)
+    path = fresh_path(spark, "sink")
     files.write_csv(rows.select("sample_id", "project", "file", "begin_line", "target_context_json"), path)
     return files.read_csv(spark, path, "sample_id long, project string, file string, begin_line int, target_context_json string")
 
 
 @query("""SELECT c_custkey, c_mktsegment, 0::BIGINT AS broken FROM customer""")
 def sealed_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _work(spark)
+    path = fresh_path(spark, "sink")
     files.capture_baseline(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), path)
     back = spark.read.parquet(path)
     return back.select("c_custkey", "c_mktsegment", F.lit(files.broken_seals(back).count()).cast("long").alias("broken"))
