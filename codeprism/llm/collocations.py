@@ -14,7 +14,7 @@ from .bytes_np import U, distinct_slices, gather, mix, string_bytes, words
 from .common import materialise, require
 
 #: Text of a shard, whose words get one suffix array (at least one batch of rows).
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 MOST_WORDS = 3
 LEAST = 10
 #: A phrase goes if a longer one around it has at least so many of a hundred of its occurrences.
@@ -47,7 +47,7 @@ class Shard:
         tongue = lang.dictionary_encode()
         self.langs = tongue.dictionary.to_pylist()
         self.lang = tongue.indices.to_numpy()[self.text].astype(np.int64)
-        broken = np.cumsum(_breaks[self.data])[self.begin]
+        broken = np.searchsorted(np.flatnonzero(_breaks[self.data]), self.begin)
         self.same = np.zeros(len(self.begin) + 1, bool)  # as the piece of the word before
         self.same[1:-1] = (broken[1:] == broken[:-1]) & (self.text[1:] == self.text[:-1])
         _, word, h = distinct_slices(self.data, self.begin, self.end)
@@ -137,7 +137,8 @@ def gram_counts(shard: Shard, least: int, most: int, wanted: np.ndarray | None =
             yield k, order[at[head]], np.diff(np.append(head, len(at)))
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Rows of about SHARD_BYTES of text. A shard is made by who takes them, and gone before the next ones come."""
     kept, size = [], 0
     for b in batches:
         for lo in range(0, b.num_rows, 512):
@@ -145,10 +146,11 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
             kept.append(part)
             size += part.column("text").nbytes
             if size >= SHARD_BYTES:
-                yield _shard(kept)
+                yield kept
                 kept, size = [], 0
+                pa.default_memory_pool().release_unused()
     if kept:
-        yield _shard(kept)
+        yield kept
 
 
 def _shard(kept: list[pa.RecordBatch]) -> Shard:
@@ -159,13 +161,34 @@ def _shard(kept: list[pa.RecordBatch]) -> Shard:
 _COUNTS = "lang string, k int, phrase string, n bigint"
 
 
-def _rows(shard: Shard, k: int, first: np.ndarray, count: np.ndarray, step: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+def _rows(shard: Shard, k: int, first: np.ndarray, count: np.ndarray, step: int = 1 << 15) -> Iterator[pa.RecordBatch]:
     langs = np.array(shard.langs, object)
     for lo in range(0, len(first), step):
         at = first[lo : lo + step]
         yield pa.RecordBatch.from_arrays([pa.array(langs[shard.lang[at]], pa.string()), pa.array(np.full(len(at), k, np.int32)), shard.phrases(at, k).cast(pa.string()), pa.array(count[lo : lo + step].astype(np.int64))], names=["lang", "k", "phrase", "n"])
 
 
+def _short_counts(shard: Shard, most: int) -> Iterator[pa.RecordBatch]:
+    """All words of each language (k = 0), and the words and pairs."""
+    n = len(shard.langs)
+    total = np.bincount(shard.lang, minlength=n).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(shard.langs, pa.string()), pa.array(np.zeros(n, np.int32)), pa.array([""] * n, pa.string()), pa.array(total)], names=["lang", "k", "phrase", "n"])
+    for k, first, count in gram_counts(shard, 1, min(2, most)):
+        yield from _rows(shard, k, first, count)
+
+
+def _long_counts(shard: Shard, k: int, flags: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """The phrases of k words whose two phrases of one word less the filter knows."""
+    if len(shard) == 0:
+        return
+    h = (shard.gram_hashes(k - 1) >> U(64 - bits)).astype(np.int64)
+    known = (flags[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1
+    wanted = known.copy()
+    wanted[:-1] &= known[1:]
+    for _, first, count in gram_counts(shard, k, k, wanted):
+        yield from _rows(shard, k, first, count)
+
+
 def _merged(counts: DataFrame) -> DataFrame:
     return counts.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("n"))
 
@@ -208,12 +231,8 @@ def frequent_phrases(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST
     spark = docs.sparkSession
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches):
-            total = np.bincount(shard.lang, minlength=len(shard.langs)).astype(np.int64)
-            n = len(shard.langs)
-            yield pa.RecordBatch.from_arrays([pa.array(shard.langs, pa.string()), pa.array(np.zeros(n, np.int32)), pa.array([""] * n, pa.string()), pa.array(total)], names=["lang", "k", "phrase", "n"])
-            for k, first, count in gram_counts(shard, 1, min(2, most)):
-                yield from _rows(shard, k, first, count)
+        for kept in _runs(batches):
+            yield from _short_counts(_shard(kept), most)
 
     counted = materialise(_merged(docs.select("lang", "text").mapInArrow(short, _COUNTS)).where((F.col("k") == 0) | (F.col("n") >= least)), "phrases-short")
     frequent = counted.where("k > 0")
@@ -225,15 +244,8 @@ def frequent_phrases(docs: DataFrame, most: int = MOST_WORDS, least: int = LEAST
 
         def longer(batches: Iterator[pa.RecordBatch], k: int = k, sent=sent) -> Iterator[pa.RecordBatch]:
             flags, bits = sent.value
-            for shard in _shards(batches):
-                if len(shard) == 0:
-                    continue
-                h = (shard.gram_hashes(k - 1) >> U(64 - bits)).astype(np.int64)
-                known = (flags[h >> 3] >> (7 - (h & 7)).astype(np.uint8)) & 1 == 1
-                wanted = known.copy()
-                wanted[:-1] &= known[1:]
-                for _, first, count in gram_counts(shard, k, k, wanted):
-                    yield from _rows(shard, k, first, count)
+            for kept in _runs(batches):
+                yield from _long_counts(_shard(kept), k, flags, bits)
 
         found = _merged(docs.select("lang", "text").mapInArrow(longer, _COUNTS)).where(F.col("n") >= least)
         frequent = frequent.unionByName(materialise(found, f"phrases-{k}"))
