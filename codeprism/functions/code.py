@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
+import regex
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..sources import brace
+from .text import TOKEN
 
 
 @pandas_udf(T.StringType())
@@ -61,3 +65,19 @@ def rejection_kind(body: pd.Series) -> pd.Series:
     from ..sources.java_model import rejection
 
     return body.map(lambda t: rejection(t) or None)
+
+
+@pandas_udf(T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType())])))
+def clone_tokens_with_lines(text: pd.Series, language: pd.Series) -> pd.Series:
+    """Tokens of the text without comments and white space, each with the first and last line that it touches; a token may go on over line ends."""
+
+    def located(t: str | None, kind: str | None) -> list[dict]:
+        bare = re.sub(r"#[^\n]*", "", t or "") if kind == "python" else re.sub(r"//[^\n]*", "", re.sub(r"/\*.*?\*/", lambda m: "\n" * m[0].count("\n"), t or "", flags=re.S))
+        packed, lines = [], []
+        for k, line in enumerate(bare.split("\n"), 1):
+            word = re.sub(r"[\x20\x09-\x0d]+", "", line)
+            packed.append(word)
+            lines += [k] * len(word)
+        return [{"token": m[0], "first": lines[m.start()], "last": lines[m.end() - 1]} for m in regex.finditer(TOKEN, "".join(packed))]
+
+    return pd.Series([located(t, k) for t, k in zip(text, language, strict=True)])
