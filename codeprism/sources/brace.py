@@ -175,7 +175,7 @@ def scan(text: str, language: str) -> tuple[list[Callable_], list[Type_]]:
     if language in ("c", "cpp"):
         masked = first_branch(masked)
     tokens = tokenize(masked)
-    functions, types = [], []
+    functions, types, enums = [], [], []
     # (kind, name, last token)
     scopes: list[tuple[str, str, int]] = []
     start = i = 0
@@ -199,22 +199,36 @@ def scan(text: str, language: str) -> tuple[list[Callable_], list[Type_]]:
             start = i + 1
         elif t == "{":
             head = tokens[start:i]
-            words = [h.text for h in head]
+            words = _behind_template([h.text for h in head]) if language == "cpp" else [h.text for h in head]
             end = _closing(tokens, i)
             if language == "cpp" and ")" in words and ":" in words[words.index(")") :] and re.match(r"[A-Za-z_]", words[-1]) and words[-1] not in ("const", "override", "final", "noexcept", "try"):
                 i = end + 1  # a value in a constructor's list of initial ones
                 continue
             inside = scopes[-1][0] if scopes else "top"
-            kind, name = _opens(words, inside, language)
+            if inside == "type" and enums and scopes[-1][2] == enums[-1][0] and i < enums[-1][1]:
+                kind, name = "type", ""  # the body of an enum's constant
+            elif inside == "type" and language == "java" and words and words[-1] == scopes[-1][1] and set(words[:-1]) <= MODIFIERS:
+                kind, name = "compact", words[-1]  # a record's constructor without a list of parameters
+            else:
+                kind, name = _opens(words, inside, language)
             last = tokens[end] if end < len(tokens) else tokens[-1]
             if kind == "type":
                 path = [s[1] for s in scopes if s[0] == "type" and s[1]]
                 types.append(_type(words, ".".join([*path, name]), head, last, end))
+                if "enum" in words and language == "java":
+                    enums.append((end, _constants_end(tokens, i, end)))
+            elif kind == "compact":
+                path = [s[1] for s in scopes if s[0] == "type" and s[1]]
+                functions.append(Callable_(name, ".".join(path), tokens[start].at, tokens[start].line, (tokens[i].at, last.at + 1), last.line, " ".join(words), [], text[tokens[i].at : last.at + 1], set(words) & MODIFIERS, []))
+                kind = "function"
             elif kind == "function":
                 open_ = next(j for j in range(start, i) if tokens[j].text == "(" and j > start and _is_name(tokens, j - 1, start, name))
+                if name.endswith("operator()"):
+                    open_ = next(j for j in range(open_ + 1, i) if tokens[j].text == "(")
                 close = _closing(tokens, open_)
                 path = [s[1] for s in scopes if s[0] == "type" and s[1]]
-                bare = name.split("::")
+                bare = name.split("::") if "operator" not in name else [*name.split("operator")[0].rstrip(":").split("::"), "operator" + name.split("operator", 1)[1]]
+                bare = [x for x in bare if x]
                 functions.append(Callable_(bare[-1], ".".join([*path, *bare[:-1]]), tokens[start].at, tokens[start].line, (tokens[i].at, last.at + 1), last.line, " ".join(text[tokens[start].at : tokens[i].at].split()), _params(tokens, masked, open_, close), text[tokens[i].at : last.at + 1], set(words) & (MODIFIERS | {"synchronized"}), [words[k + 1] for k, w in enumerate(words[:-1]) if w == "@"]))
             scopes.append((kind, name, end))
             start, depth = i + 1, 0
@@ -222,6 +236,27 @@ def scan(text: str, language: str) -> tuple[list[Callable_], list[Type_]]:
     return functions, types
 
 
+def _behind_template(words: list[str]) -> list[str]:
+    """The words behind `template <...>`, once or more."""
+    while words[:2] == ["template", "<"]:
+        depth, k = 0, 1
+        while k < len(words):
+            depth += (words[k] == "<") - (words[k] == ">")
+            k += 1
+            if depth == 0:
+                break
+        words = words[k:]
+    return words
+
+
+def _constants_end(tokens: list[Token], i: int, end: int) -> int:
+    """The place of the semicolon behind the constants of an enum that opens at i, or its end."""
+    k = i + 1
+    while k < min(end, len(tokens)) and tokens[k].text != ";":
+        k = _closing(tokens, k) + 1 if tokens[k].text in _PAIR else k + 1
+    return k
+
+
 def _is_name(tokens: list[Token], at: int, start: int, name: str) -> bool:
     return at >= start and (tokens[at].text == name.split("::")[-1].lstrip("~") or "operator" in name)
 
@@ -239,7 +274,7 @@ def _opens(words: list[str], inside: str, language: str) -> tuple[str, str]:
         else:
             flat.append((w, depth))
     top = [w for w, d in flat if d == 0]
-    if "new" in top and inside in ("function", "block"):
+    if "new" in top and (inside in ("function", "block") or "=" in top):
         return "type", ""
     for k, w in enumerate(top):
         if w in TYPE_WORDS and (w != "record" or language == "java") and "=" not in top[:k]:
@@ -256,7 +291,12 @@ def _opens(words: list[str], inside: str, language: str) -> tuple[str, str]:
         return "block", ""
     if "operator" in words[:k]:
         at = words.index("operator")
-        return "function", "operator" + "".join(words[at + 1 : k])
+        if words[at + 1 : k] == [] and words[k : k + 3] == ["(", ")", "("]:
+            k += 2  # operator()
+        owner = []
+        while at >= 2 and words[at - 1] == "::":
+            owner, at = [words[at - 2], *owner], at - 2
+        return "function", "".join(f"{x}::" for x in owner) + "operator" + "".join(words[words.index("operator") + 1 : k])
     # annotations with arguments come before the name
     while k is not None and k >= 2 and words[k - 2] == "@":
         k = next((j for j in range(k + 1, len(flat)) if flat[j][0] == "(" and flat[j][1] == 0 and re.match(r"[A-Za-z_$]", flat[j - 1][0])), None)
@@ -266,7 +306,15 @@ def _opens(words: list[str], inside: str, language: str) -> tuple[str, str]:
     if j >= 0 and words[j] == "~":
         name, j = "~" + name, j - 1
     while j >= 1 and words[j] == "::":
-        name, j = f"{words[j - 1]}::{name}", j - 2
+        j -= 1
+        if words[j] == ">":  # the owner's template arguments
+            depth = 0
+            while j > 0:
+                depth += (words[j] == ">") - (words[j] == "<")
+                j -= 1
+                if depth == 0:
+                    break
+        name, j = f"{words[j]}::{name}", j - 1
     return "function", name
 
 

@@ -13,6 +13,7 @@ from pyspark.sql.functions import udtf
 
 from ..functions.text import language_of
 from . import brace
+from .batches import parsed
 
 # Directories whose files are no production sources.
 SKIPPED = (".git", ".hg", ".svn", ".idea", ".opencode", "__pycache__", ".pytest_cache", ".mypy_cache", ".venv", "venv", "env", "node_modules", "test", "tests", "build", "build-refactoragent", "dist", "target", "cmake-build-debug", "cmake-build-release")
@@ -54,7 +55,8 @@ def tool_events(lines: DataFrame) -> DataFrame:
 def parse_patch(patch: str) -> Iterator[tuple]:
     """(file, hunk, kind, old_line, new_line, content) of each line of a unified diff's hunks; kind is ' ', '-' or '+'."""
     file, hunk, old, new, left_old, left_new = None, 0, 0, 0, 0, 0
-    for line in patch.splitlines():
+    lines = re.split(r"\r?\n", patch)  # other separators stand within lines
+    for line in lines[:-1] if lines[-1] == "" else lines:
         if left_old > 0 or left_new > 0:
             kind, content = line[:1] or " ", line[1:]
             if kind == "\\":
@@ -169,7 +171,7 @@ def code_functions(content: str, language: str) -> Iterator[tuple]:
     """
     if language == "python":
         tree = _parsed(content)
-        lines = content.splitlines()
+        lines = re.split(r"\r\n|\r|\n", content)  # as the parser counts them
         for f, owner in _python_owners(tree) if tree else ():
             a = f.args
             params = [("*" if x is a.vararg else "**" if x is a.kwarg else "") + x.arg + (f": {ast.unparse(x.annotation)}" if x.annotation else "") for x in (*a.posonlyargs, *a.args, a.vararg, *a.kwonlyargs, a.kwarg) if x is not None]
@@ -290,7 +292,7 @@ def code_identifiers(content: str, language: str) -> Iterator[tuple]:
         for p in f.params:
             if _c_name(p):
                 yield "param", _c_name(p), f.line, f.owner, f.name
-        first = content.count("\n", 0, f.body[0]) + 1
+        first = f.line + content.count("\n", f.begin, f.body[0])
         for name, line in brace.local_names(f.body_text, first):
             yield "local", name, line, f.owner, f.name
 
@@ -304,7 +306,7 @@ def code_accesses(content: str, language: str) -> Iterator[tuple]:
                 yield owner, f.name, f.lineno, *x
         return
     for f in brace.scan(content, language)[0]:
-        first = content.count("\n", 0, f.body[0]) + 1
+        first = f.line + content.count("\n", f.begin, f.body[0])
         for x in brace.accesses(f.body_text, first):
             yield f.owner, f.name, f.line, *x
 
@@ -330,7 +332,7 @@ def code_classes(content: str, language: str) -> Iterator[tuple]:
     """
     if language == "python":
         tree = _parsed(content)
-        lines = content.splitlines()
+        lines = re.split(r"\r\n|\r|\n", content)
         for node in ast.walk(tree) if tree else ():
             if isinstance(node, ast.ClassDef):
                 methods = [s for s in node.body if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef))]
@@ -405,15 +407,27 @@ def functions(spark: SparkSession, files: DataFrame) -> DataFrame:
     return spark.sql("SELECT f.path, p.* FROM {files} f, LATERAL python_functions(f.content) p WHERE f.language = 'python'", files=files)
 
 
+IDENTIFIER_FIELDS = "kind string, name string, line int, owner string, function string"
+ACCESS_FIELDS = "owner string, function string, begin_line int, receiver string, member string, line int, written boolean, called boolean"
+_SCANS = {"functions": (code_functions, FUNCTION_FIELDS), "identifiers": (code_identifiers, IDENTIFIER_FIELDS), "accesses": (code_accesses, ACCESS_FIELDS), "classes": (code_classes, CLASS_FIELDS)}
+
+
 def scan_code(spark: SparkSession, files: DataFrame, what: str = "functions") -> DataFrame:
-    """functions, identifiers, accesses or classes of files (path, language, content): path, language and the columns of the table function.
+    """functions, identifiers, accesses or classes of files (path, language, content): path, language and the columns of that scan.
 
-    One call for each file, in the task that has it; a file is parsed whole, files not together.
+    Files go to a few tasks for each core, and each is parsed whole, in Arrow batches. Null content counts as empty, other
+    languages give nothing.
     """
-    register(spark)
-    if what not in ("functions", "identifiers", "accesses", "classes"):
+    if what not in _SCANS:
         raise ValueError(f"unknown scan: {what}")
-    return spark.sql(f"SELECT f.path, f.language, p.* FROM {{files}} f, LATERAL code_{what}(f.content, f.language) p", files=files)
+    scan, fields = _SCANS[what]
+
+    def rows(path: str, language: str | None, content: str | None) -> Iterator[tuple]:
+        for r in scan(content or "", language or ""):
+            yield path, language, *r
+
+    known = files.where(F.col("language").isin("python", "java", "c", "cpp"))
+    return parsed(known, ["path", "language", "content"], rows, f"path string, language string, {fields}")
 
 
 def name_status(payload: Column) -> Column:

@@ -6,7 +6,7 @@ import random
 import pytest
 
 from codeprism.operators import java, relations
-from codeprism.sources import java_model
+from codeprism.sources import java_model, scans
 from codeprism.sources.java_model import parse, rejection
 
 SOURCE = """package p.q;
@@ -165,3 +165,21 @@ def test_dead_code_from_sources(spark):
     assert dead == {("SameNameTarget", "helper"), ("Over", "select", "int"), ("Over", "mixed", "int"), ("Over", "unsure", "java.lang.Object"), ("Below", "inherited", "int"), ("Loop", "loop")}
     types, methods, calls = java_model.project_model(files.limit(0))
     assert java.dead_methods(calls, methods, types).collect() == []
+
+
+def named(source, language):
+    return [(f[0], f[1], f[4]) for f in scans.code_functions(source, language)]
+
+
+def test_scans_of_templates_enums_and_anonymous_types():
+    cpp = "template <class T> class A { T f(int a) { return a; } };\ntemplate<class U, class V = B<U>> U g(V v) { return v; }\nstruct S { T operator()(int x) { return x; } bool operator==(const S& o) const { return true; } };\nT N::S::operator+(int y) { return y; }\ntemplate <> int A<int>::h(int z) { return z; }"
+    assert named(cpp, "cpp") == [("A", "f", 1), ("", "g", 1), ("S", "operator()", 1), ("S", "operator==", 1), ("N.S", "operator+", 1), ("A", "h", 1)]
+    assert [c[1] for c in scans.code_classes(cpp, "cpp")] == ["A", "S"]
+    source = "enum E { A(1) { void f() { x(); } }, B { int g() { return 1; } }; E(int a) { } void h() { } }\nrecord P(int x) { P { check(x); } }\nclass C { Runnable r = new Runnable() { public void run() { go(); } }; int q = 1; void m() { } }"
+    assert named(source, "java") == [("E", "f", 0), ("E", "g", 0), ("E", "E", 1), ("E", "h", 0), ("P", "P", 0), ("C", "run", 0), ("C", "m", 0)]
+    assert named("int f(int a) { return a; }\nstruct s { int x; };\nstatic struct s g(void) { struct s v = { 1 }; return v; }", "c") == [("", "f", 1), ("", "g", 0)]
+
+
+def test_lines_end_at_line_feeds_alone():
+    assert list(scans.parse_patch("--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@\n a\x0cb\n-c\u2028\n+d\n")) == [("x", 1, " ", 1, 1, "a\x0cb"), ("x", 1, "-", 2, None, "c\u2028"), ("x", 1, "+", None, 2, "d")]
+    assert [(f[1], f[12], f[13]) for f in scans.code_functions("x = 1\n\x0c\ndef f(a):\n    return a\n", "python")] == [("f", "def f(a):", "    return a")]
