@@ -192,3 +192,16 @@ def failure_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     native = F.when(k % 4 == 0, "Segmentation fault (core dumped)").when(k % 4 == 1, "FAILED: obj/x.o\nninja: build stopped: subcommand failed").otherwise("fine")
     long = F.concat(F.repeat(F.lit("a"), 400), F.repeat(F.lit("b"), 400))
     return generated.event_steps(spark, sf_dir).select("event_id", logs.failure_fingerprint(k, text).alias("fingerprint"), logs.infra_kind(k % 4 != 3, status, F.when(k % 10 == 2, 137).otherwise(1), infra).alias("infra"), F.array_join(logs.native_diagnostics(native), "|").alias("native"), logs.bounded_text(long, 100).alias("bounded"))
+
+
+@query(f"""{_SHAPES} SELECT 'c' AS language, '' AS owner, 'f' || o AS name, n AS n_params, greatest(d, 0) + {_SW} AS nesting, {_SW} AS switches, r AS branches FROM s UNION ALL SELECT 'c', '', 'g', 0, 0, 0, 0 FROM s
+UNION ALL SELECT 'cpp', 'ns' || (o % 3) || '.C' || o, 'C' || o, 1, 0, 0, 0 FROM s UNION ALL SELECT 'cpp', 'ns' || (o % 3) || '.C' || o, 'm', n, d, 0, 0 FROM s UNION ALL SELECT 'cpp', 'ns' || (o % 3) || '.C' || o, 'operator()', 1, 0, 0, 0 FROM s UNION ALL SELECT 'cpp', 'ns' || (o % 3) || '.C' || o, 'out', 2, 2, 0, 0 FROM s""")
+def native_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C and C++: the switch lies within the innermost if."""
+    return scans.scan_code(spark, generated.native_source(generated.order_shapes(spark, sf_dir)), "functions").select("language", "owner", "name", "n_params", "nesting", "switches", "branches")
+
+
+@query(f"""{_SHAPES} SELECT 'c' AS language, 'module' AS kind, '' AS name, 2 AS nom, '' AS supers, count(*) AS n FROM s UNION ALL SELECT 'cpp', 'class', 'ns' || (o % 3) || '.C' || o, 4, 'Base', 1 FROM s UNION ALL SELECT 'cpp', 'enum', 'ns' || (o % 3) || '.C' || o || '.E', 0, '', 1 FROM s""")
+def native_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scans.scan_code(spark, generated.native_source(generated.order_shapes(spark, sf_dir)), "classes")
+    return found.groupBy("language", "kind", "name", "nom", F.array_join("supers", "|").alias("supers")).agg(F.count("*").alias("n"))

@@ -53,6 +53,22 @@ def python_source(s: DataFrame) -> DataFrame:
     return s.select("o", "c", "n", "r", "d", F.concat(F.lit("lib/c"), _text(F.col("c")), F.lit(".py")).alias("path"), F.lit("python").alias("language"), content.alias("content"))
 
 
+def native_source(s: DataFrame) -> DataFrame:
+    """A C and a C++ file of each order: a function behind a preprocessor branch, initialisers, a template class in a namespace, operators, a method outside of its class."""
+    o, k = _text(F.col("o")), _text(F.col("o") % 3)
+    params = F.array_join(F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.concat(F.when(i % 2 == 0, "const struct s *a").otherwise("unsigned long a"), _text(i))), ", ")
+    ifs = _each(F.col("d"), lambda i: F.concat(F.lit("  if (a1 > "), _text(i), F.lit(") { /* { */\n")))
+    close = F.repeat(F.lit("  }\n"), F.col("d"))
+    cases = F.when(F.col("r") > 0, F.concat(F.lit("  switch (a1) {\n"), _each(F.col("r"), lambda i: F.concat(F.lit("  case "), _text(i), F.lit(": break;\n"))), F.lit("  }\n"))).otherwise("")
+    c = F.concat(F.lit("#include <x.h>\n#define OPEN {\n#if A\nint f"), o, F.lit("("), params, F.lit(")\n{\n#else\nint f"), o, F.lit("(void) {\n#endif\n"), ifs, cases, close, F.lit('  return s("}");\n}\nstatic struct s g(void) { struct s v = { 1, { 2 } }; return v; }\n'))
+    cpp = F.concat(
+        F.lit("namespace ns"), k, F.lit(" {\ntemplate <class T, class U = V<T>> class C"), o, F.lit(" : public Base<T> {\n public:\n  C"), o, F.lit("(int a) : x(a), y{a} { }\n  T m("), params, F.lit(") const {\n"), ifs, close, F.lit("  return [&](int q) { return q; }(1);\n  }\n  bool operator()(int z) { return z > 0; }\n  enum E { A, B };\n};\n}\n"),
+        F.lit("template <class T> int ns"), k, F.lit("::C"), o, F.lit("<T>::out(int q, T t) { for (;;) { while (q) { q--; } } return 0; }\n"),
+    )
+    files = F.array(F.struct(F.lit("c").alias("language"), F.concat(F.lit("src/f"), o, F.lit(".c")).alias("path"), c.alias("content")), F.struct(F.lit("cpp").alias("language"), F.concat(F.lit("src/c"), o, F.lit(".cpp")).alias("path"), cpp.alias("content")))
+    return s.select("o", "n", "r", "d", F.explode(files).alias("x")).select("o", "n", "r", "d", "x.*")
+
+
 def event_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, k (of props) and event_type of the events, for logs of build and test steps."""
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("int").alias("k"), "user_id")

@@ -132,6 +132,7 @@ class Callable_:
     signature: str
     params: list[str]
     body_text: str
+    code: str  # the body with only the first branch of each #if, and no directives
     modifiers: set[str] = field(default_factory=set)
     annotations: list[str] = field(default_factory=list)
 
@@ -171,9 +172,9 @@ def scan(text: str, language: str) -> tuple[list[Callable_], list[Type_]]:
     What a brace opens follows from the tokens since the last ; or brace: a type, a function (a name and its parameter
     list, outside of functions), or a block. Types within functions (anonymous ones too) hold functions of their own.
     """
-    masked = mask(text)
+    masked, code = mask(text), text
     if language in ("c", "cpp"):
-        masked = first_branch(masked)
+        masked, code = first_branch(masked), first_branch(text)
     tokens = tokenize(masked)
     functions, types, enums = [], [], []
     # (kind, name, last token)
@@ -219,7 +220,7 @@ def scan(text: str, language: str) -> tuple[list[Callable_], list[Type_]]:
                     enums.append((end, _constants_end(tokens, i, end)))
             elif kind == "compact":
                 path = [s[1] for s in scopes if s[0] == "type" and s[1]]
-                functions.append(Callable_(name, ".".join(path), tokens[start].at, tokens[start].line, (tokens[i].at, last.at + 1), last.line, " ".join(words), [], text[tokens[i].at : last.at + 1], set(words) & MODIFIERS, []))
+                functions.append(Callable_(name, ".".join(path), tokens[start].at, tokens[start].line, (tokens[i].at, last.at + 1), last.line, " ".join(words), [], text[tokens[i].at : last.at + 1], text[tokens[i].at : last.at + 1], set(words) & MODIFIERS, []))
                 kind = "function"
             elif kind == "function":
                 open_ = next(j for j in range(start, i) if tokens[j].text == "(" and j > start and _is_name(tokens, j - 1, start, name))
@@ -229,7 +230,7 @@ def scan(text: str, language: str) -> tuple[list[Callable_], list[Type_]]:
                 path = [s[1] for s in scopes if s[0] == "type" and s[1]]
                 bare = name.split("::") if "operator" not in name else [*name.split("operator")[0].rstrip(":").split("::"), "operator" + name.split("operator", 1)[1]]
                 bare = [x for x in bare if x]
-                functions.append(Callable_(bare[-1], ".".join([*path, *bare[:-1]]), tokens[start].at, tokens[start].line, (tokens[i].at, last.at + 1), last.line, " ".join(text[tokens[start].at : tokens[i].at].split()), _params(tokens, masked, open_, close), text[tokens[i].at : last.at + 1], set(words) & (MODIFIERS | {"synchronized"}), [words[k + 1] for k, w in enumerate(words[:-1]) if w == "@"]))
+                functions.append(Callable_(bare[-1], ".".join([*path, *bare[:-1]]), tokens[start].at, tokens[start].line, (tokens[i].at, last.at + 1), last.line, " ".join(text[tokens[start].at : tokens[i].at].split()), _params(tokens, masked, open_, close), text[tokens[i].at : last.at + 1], code[tokens[i].at : last.at + 1], set(words) & (MODIFIERS | {"synchronized"}), [words[k + 1] for k, w in enumerate(words[:-1]) if w == "@"]))
             scopes.append((kind, name, end))
             start, depth = i + 1, 0
         i += 1

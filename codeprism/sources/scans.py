@@ -183,10 +183,10 @@ def code_functions(content: str, language: str) -> Iterator[tuple]:
             yield owner, f.name, f.lineno, f.end_lineno, len(params), loc, deep, total, switches, branches, 0, params, signature, body, [], [ast.unparse(d) for d in f.decorator_list]
         return
     for f in brace.scan(content, language)[0]:
-        nodes = brace.parse_body(f.body_text)
+        nodes = brace.parse_body(f.code)
         inner = f.body_text.strip()[1:-1]
         bare = re.sub(r"//[^\n]*", "", re.sub(r"(?s)/\*.*?\*/", "", inner))
-        switches, _, _ = brace.switch_metrics(f.body_text)
+        switches, _, _ = brace.switch_metrics(f.code)
         total = brace.cognitive(nodes, f.name) if language == "java" else brace.complexity(nodes, language)
         branches = len(re.findall(r"(?m)^\s*(?:case\b|default\s*:)", bare))
         yield f.owner, f.name, f.line, f.end_line, len(f.params), sum(1 for x in bare.splitlines() if x.strip()), brace.nesting(nodes, language), total, switches, branches, brace.ncss(nodes) + 1, f.params, f.signature, f.body_text, sorted(f.modifiers), f.annotations
@@ -293,7 +293,7 @@ def code_identifiers(content: str, language: str) -> Iterator[tuple]:
             if _c_name(p):
                 yield "param", _c_name(p), f.line, f.owner, f.name
         first = f.line + content.count("\n", f.begin, f.body[0])
-        for name, line in brace.local_names(f.body_text, first):
+        for name, line in brace.local_names(f.code, first):
             yield "local", name, line, f.owner, f.name
 
 
@@ -307,7 +307,7 @@ def code_accesses(content: str, language: str) -> Iterator[tuple]:
         return
     for f in brace.scan(content, language)[0]:
         first = f.line + content.count("\n", f.begin, f.body[0])
-        for x in brace.accesses(f.body_text, first):
+        for x in brace.accesses(f.code, first):
             yield f.owner, f.name, f.line, *x
 
 
@@ -341,7 +341,7 @@ def code_classes(content: str, language: str) -> Iterator[tuple]:
                 yield "class", node.name, node.lineno, node.end_lineno, len(methods), len(_python_fields(node)), wmc, loc, [ast.unparse(b) for b in node.bases], []
         return
     functions, types = brace.scan(content, language)
-    weight = lambda f: max(1, brace.control_nodes(brace.parse_body(f.body_text)))
+    weight = lambda f: max(1, brace.control_nodes(brace.parse_body(f.code)))
     if language == "c":
         loc = brace.non_comment_loc(content)
         yield "module", "", 1, content.count("\n") + 1, len(functions), 0, sum(map(weight, functions)), loc, [], []
