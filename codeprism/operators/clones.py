@@ -6,14 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clone_tokens, fingerprint, lexical_tokens, sketch
-
-#: Sides of at most so many rows are broadcast, after counting; others are shuffled.
-SMALL = 200_000
-
-
-def small(side: DataFrame, rows: int = SMALL) -> DataFrame:
-    """side, to be broadcast if a count shows at most so many rows."""
-    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+from ..storage import small_side
 
 
 def fingerprints(rows: DataFrame, key: str, text: str, language: Column | None = None) -> DataFrame:
@@ -64,8 +57,8 @@ def containment(left: DataFrame, left_key: str, right: DataFrame, right_key: str
     kept = right.select(right_key, F.explode(sketch(lexical_tokens(F.col(text)))).alias("h"))
     marks = marks.join(kept, [right_key, "h"], "left_semi")
     n = marks.groupBy(right_key).agg(F.count("*").alias("n_sketch"))
-    hits = _windows(left, left_key, text, 5, "p").join(small(marks), "w").where(F.slice("tokens", F.col("p") + 1, F.lit(5)) == F.col("shingle"))
-    both = hits.select(left_key, right_key, "h").distinct().groupBy(left_key, right_key).agg(F.count("*").alias("n_shared")).join(small(n), right_key)
+    hits = _windows(left, left_key, text, 5, "p").join(small_side(marks, "marks"), "w").where(F.slice("tokens", F.col("p") + 1, F.lit(5)) == F.col("shingle"))
+    both = hits.select(left_key, right_key, "h").distinct().groupBy(left_key, right_key).agg(F.count("*").alias("n_shared")).join(small_side(n, "sizes"), right_key)
     return both.withColumn("coverage", F.col("n_shared") / F.col("n_sketch")).where(F.col("coverage") >= least).select(left_key, right_key, "n_shared", "n_sketch", "coverage")
 
 
@@ -74,7 +67,7 @@ def _shared(left: DataFrame, left_key: str, right: DataFrame, right_key: str, te
     marks = _windows(right, right_key, text, n, "right_at").withColumn("window", F.slice("tokens", F.col("right_at") + 1, F.lit(n)))
     first = F.min("right_at").over(Window.partitionBy(right_key, "window"))
     marks = marks.select(right_key, "right_at", "w", "window", first.alias("same"))
-    hits = _windows(left, left_key, text, n, "left_at").join(small(marks), "w").where(F.slice("tokens", F.col("left_at") + 1, F.lit(n)) == F.col("window"))
+    hits = _windows(left, left_key, text, n, "left_at").join(small_side(marks, "marks"), "w").where(F.slice("tokens", F.col("left_at") + 1, F.lit(n)) == F.col("window"))
     return hits.select(left_key, right_key, F.col("left_at").cast("long").alias("left_at"), F.col("right_at").cast("long").alias("right_at"), F.col("same").cast("long").alias("same"))
 
 

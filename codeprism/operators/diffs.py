@@ -11,12 +11,14 @@ from ..functions.logs import strip
 def _placed(lines: DataFrame) -> DataFrame:
     """lines with `block`, the number of context lines before each within its hunk: a replacement block has one number.
 
-    Within a block removed lines come before added ones, as patches write them; a hunk is one task's work.
+    Within a block removed lines come before added ones, as patches write them. Context lines are counted along the old and
+    along the new lines of a hunk, so a hunk of any length takes one sort.
     """
-    w = Window.partitionBy("file", "hunk")
-    marks = lines.withColumn("_marks", F.array_sort(F.collect_list(F.when(F.col("kind") == " ", F.struct("old_line", "new_line"))).over(w)))
-    before = F.size(F.filter("_marks", lambda m: F.when(F.col("kind") == "+", m["new_line"] < F.col("new_line")).otherwise(m["old_line"] < F.col("old_line"))))
-    return marks.withColumn("block", before).drop("_marks")
+    old = lines.where("kind <> '+'").withColumns({"_side": F.lit(0), "_at": F.col("old_line")})
+    new = lines.where("kind <> '-'").withColumns({"_side": F.lit(1), "_at": F.col("new_line")})
+    w = Window.partitionBy("file", "hunk", "_side").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    counted = old.unionByName(new).withColumn("block", F.coalesce(F.sum((F.col("kind") == " ").cast("int")).over(w), F.lit(0)).cast("int"))
+    return counted.where("_side = 0 or kind = '+'").drop("_side", "_at")
 
 
 def changed_ranges(lines: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import code, lexical, rules
+from ..storage import small_side
 from . import java
 
 #: What a receiver is called when it is the method's own object.
@@ -104,7 +105,7 @@ def clump_occurrences(functions: DataFrame, groups: DataFrame, members: str) ->
     params = F.array_distinct(lexical.parameter_fingerprints(F.col("signature"), F.col("language")))
     f = functions.withColumn("_param", F.explode(F.array_distinct(F.concat(params, F.transform(params, lambda p: F.substring_index(p, ":", -1))))))
     wanted = g.select(*groups.columns, "_need", F.explode("_set").alias("_param"))
-    hit = f.join(F.broadcast(wanted) if wanted.limit(100_001).count() <= 100_000 else wanted, "_param")
+    hit = f.join(small_side(wanted, "groups"), "_param")
     keys = ["path", "language", "owner", "name", "begin_line", "signature", *groups.columns]
     return hit.groupBy(*keys, "_need").agg(F.countDistinct("_param").alias("_n")).where("_n = _need").drop("_n", "_need")
 

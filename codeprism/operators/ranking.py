@@ -32,11 +32,13 @@ def dominant(rows: DataFrame, by: str, value: str) -> DataFrame:
 def audit_rollup(rows: DataFrame, by: str, captured: Column, seconds: Column) -> DataFrame:
     """Overall (null) and by group: n_rows, captured, rate, total, mean, median and nearest-rank 90th percentile of seconds."""
     base = rows.select(F.col(by).alias("grp"), captured.cast("long").alias("c"), seconds.alias("s"))
-    base.createOrReplaceTempView("_audit_rows")
-    return base.sparkSession.sql("""
+    return base.sparkSession.sql(
+        """
         SELECT grp, count(*) AS n_rows, sum(c) AS captured, sum(c) / count(*) AS rate, cast(sum(cast(s AS decimal(18,2))) AS double) AS total,
           cast(sum(cast(s AS decimal(18,2))) AS double) / count(*) AS mean, median(s) AS median, percentile_disc(0.9) WITHIN GROUP (ORDER BY s) AS p90
-        FROM _audit_rows GROUP BY GROUPING SETS ((), (grp))""")
+        FROM {rows} GROUP BY GROUPING SETS ((), (grp))""",
+        rows=base,
+    )
 
 
 def best_so_far(rows: DataFrame, by: str, order: Sequence[str], rank: str, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import code, lexical, logs, text
-from ..operators import findings
+from ..operators import failures, findings
 from ..sources import scans
 from . import generated
 from .catalog import _LOW, _SHORT, query, table
@@ -205,3 +205,31 @@ def native_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def native_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scans.scan_code(spark, generated.native_source(generated.order_shapes(spark, sf_dir)), "classes")
     return found.groupBy("language", "kind", "name", "nom", F.array_join("supers", "|").alias("supers")).agg(F.count("*").alias("n"))
+
+
+_CASES = f"""{_STEPS}, x AS (SELECT event_id, user_id, k, k % 10 >= 8 AS skipped, k % 5 AS t FROM e),
+c AS (SELECT user_id, event_id, 1 AS rank, 'a/b.' || (k % 3) AS test, k % 4 AS code, 'exit=' || (k % 4) || ' | error ' || k AS f FROM x WHERE t = 0 AND NOT skipped UNION ALL SELECT user_id, event_id, 1, 'same', 1, repeat('z', k % 3 + 1) FROM x WHERE t = 0 AND NOT skipped
+UNION ALL SELECT user_id, event_id, 2, 'one-' || (k % 6), -1, 'exit=-1 | error: bad <tmp>' FROM x WHERE t = 1 AND NOT skipped UNION ALL SELECT user_id, event_id, 2, 'two', 3, 'exit=3 | plain | lines' FROM x WHERE t = 1 AND NOT skipped
+UNION ALL SELECT user_id, event_id, 3, CASE WHEN k % 2 = 0 THEN 'test' ELSE 'sample_test' END, 7, 'exit=7 | no marks' FROM x WHERE t = 2 AND NOT skipped)"""
+
+
+@query(f"""{_CASES}, b AS (SELECT user_id, test, code, arg_min(f, (-length(f), f)) AS f FROM c WHERE rank = 1 GROUP BY ALL UNION ALL SELECT user_id, test, code, arg_min(f, (-length(f), f)) FROM c WHERE rank = 2 AND user_id NOT IN (SELECT user_id FROM c WHERE rank = 1) GROUP BY ALL
+UNION ALL SELECT user_id, test, code, arg_min(f, (-length(f), f)) FROM c WHERE rank = 3 AND user_id NOT IN (SELECT user_id FROM c WHERE rank < 3) GROUP BY ALL),
+g AS (SELECT user_id, list({{'t': test, 'c': code, 'f': f}} ORDER BY test, code) AS l FROM b GROUP BY user_id), h AS (SELECT *, len(l) AS n, 'tests=' || len(l) || ':' AS p FROM g)
+SELECT user_id AS run, n::BIGINT AS n_tests, array_to_string(list_transform(l, lambda x: x.t || '|' || x.c || '|' || x.f), '~') AS signature,
+(p || array_to_string(list_transform(l[:8], lambda x: (x.t || '@' || x.c || ':' || x.f)[:greatest(8, (128 - length(p) - least(n, 8) + 1) // least(n, 8))]), ';'))[:128] AS compact FROM h""")
+def failing_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("k")
+    n = lambda m: (k % m).cast("string")
+    marked = F.concat(
+        F.lit('noise TMUX_FAIL_CASE {"test": "a/b.'), n(3), F.lit('", "exit_code": '), n(4), F.lit(', "diagnostic_fingerprint": "exit='), n(4), F.lit(" | error "), k.cast("string"), F.lit('"} tail\nFAIL other: exit 2\nTMUX_FAIL_CASE {broken\nTMUX_FAIL_CASE {"test": "bad name", "exit_code": 1, "diagnostic_fingerprint": "x"}\n'),
+        F.lit('TMUX_FAIL_CASE {"test": "same", "exit_code": 1, "diagnostic_fingerprint": "'), F.repeat(F.lit("z"), k % 3 + 1), F.lit('"}\nTMUX_FAIL_CASE [1]\n'),
+    )
+    headed = F.concat(F.lit("start\n[x] FAIL one-"), n(6), F.lit(": exit -1 now\n  error:  bad /tmp/q/1\nFAIL: two\nFAIL two: exit 3\nplain\nlines\n"))
+    log = F.when(k % 5 == 0, marked).when(k % 5 == 1, headed).when(k % 5 == 2, "no marks")
+    e = generated.event_steps(spark, sf_dir)
+    skipped = k % 10 >= 8
+    steps = e.where(k % 5 < 3).select(F.col("user_id").alias("run"), F.when(skipped, "build").when(k % 2 == 0, "test").otherwise("sample_test").alias("step"), F.lit(None).cast("boolean").alias("success"), F.lit("Failed ").alias("status"), F.lit(7).alias("returncode"), log.alias("text"))
+    passed = e.where(k % 5 == 3).select(F.col("user_id").alias("run"), F.lit("test").alias("step"), F.lit(True).alias("success"), F.lit("ok").alias("status"), F.lit(0).alias("returncode"), F.lit("FAIL ghost: exit 1").alias("text"))
+    s = failures.failure_signatures(failures.failing_tests(steps.unionByName(passed)))
+    return s.select("run", "n_tests", F.array_join("signature", "~").alias("signature"), "compact")
