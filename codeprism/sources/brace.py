@@ -82,7 +82,7 @@ def thin_forwarder(body: str) -> bool:
     return bool(re.fullmatch(r"\{\s*(?:return\s+)?[A-Za-z_$][\w$.]*\s*\([^;{}]*\)\s*;\s*\}", flat))
 
 
-@dataclass
+@dataclass(slots=True)
 class Token:
     text: str
     at: int
