@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Sides of at most so many rows and bytes of Parquet are broadcast, once they are written; larger ones are shuffled.
+#: Sides of at most so many rows and bytes, in files and as texts, are broadcast, once they are written; larger ones are shuffled.
 SMALL_ROWS = 200_000
 SMALL_BYTES = 8 << 20
 
@@ -38,10 +38,13 @@ def settled(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_side(df: DataFrame, name: str = "side") -> DataFrame:
-    """df, computed once; to be broadcast if its files show that it is small in bytes and rows."""
+    """df, computed once; to be broadcast if it is small in rows and bytes, else to be merged, since files that compress well hide what a broadcast holds."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
-    return F.broadcast(out) if size <= SMALL_BYTES and out.count() <= SMALL_ROWS else out
+    small = size <= SMALL_BYTES and out.count() <= SMALL_ROWS
+    if small:
+        small = (out.agg(F.sum(F.octet_length(F.to_json(F.struct(*out.columns))))).head()[0] or 0) <= SMALL_BYTES
+    return F.broadcast(out) if small else out.hint("merge")
