@@ -90,6 +90,35 @@ _SCOPES = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Lambda)
 _CONTROL = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler)
 
 
+#: Where statements, handlers and cases stand; no expression holds a statement, so walks for these leave expressions out.
+_INSIDE = ("body", "handlers", "orelse", "finalbody", "cases")
+
+
+def _within(node: ast.AST) -> Iterator[tuple[str, ast.AST]]:
+    """(field, child) of the statements, handlers and cases directly within a node."""
+    for name in _INSIDE:
+        value = getattr(node, name, None)
+        if value.__class__ is list:
+            for child in value:
+                yield name, child
+
+
+def _every(node: ast.AST) -> Iterator[ast.AST]:
+    """All nodes of a tree, in no order; contexts apart."""
+    stack = [node]
+    while stack:
+        node = stack.pop()
+        yield node
+        for name in node._fields:
+            if name == "ctx":
+                continue
+            value = getattr(node, name, None)
+            if value.__class__ is list:
+                stack += [x for x in value if isinstance(x, ast.AST)]
+            elif isinstance(value, ast.AST):
+                stack.append(value)
+
+
 def _elifs(node: ast.If) -> int:
     """How many elif branches an if has."""
     n = 0
@@ -129,10 +158,8 @@ def python_metrics(body: list[ast.stmt]) -> tuple[int, int, int, int]:
         if isinstance(node, ast.Match):
             branches, switches = max(branches, len(node.cases)), switches + (len(node.cases) > 0)
         inside = own and not isinstance(node, _SCOPES)
-        for name, value in ast.iter_fields(node):
-            for child in value if isinstance(value, list) else [value]:
-                if isinstance(child, ast.AST):
-                    stack.append((child, inner, _chained(node, name, child), inside))
+        for name, child in _within(node):
+            stack.append((child, inner, _chained(node, name, child), inside))
     return deep, total, switches, branches
 
 
@@ -146,7 +173,7 @@ def _python_owners(tree: ast.AST) -> Iterator[tuple[ast.AST, str]]:
     stack = [(tree, "")]
     while stack:
         node, owner = stack.pop()
-        for child in ast.iter_child_nodes(node):
+        for _, child in _within(node):
             if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 yield child, owner
             name = f"{owner}.{child.name}".lstrip(".") if isinstance(child, ast.ClassDef) else owner
@@ -183,7 +210,7 @@ def code_functions(content: str, language: str) -> Iterator[tuple]:
             yield owner, f.name, f.lineno, f.end_lineno, len(params), loc, deep, total, switches, branches, 0, params, signature, body, [], [ast.unparse(d) for d in f.decorator_list]
         return
     for f in brace.scan(content, language)[0]:
-        nodes = brace.parse_body(f.code)
+        nodes = brace.parse_body(f.code, f.tokens)
         inner = f.body_text.strip()[1:-1]
         bare = re.sub(r"//[^\n]*", "", re.sub(r"(?s)/\*.*?\*/", "", inner))
         switches, _, _ = brace.switch_metrics(f.code)
@@ -307,7 +334,7 @@ def code_accesses(content: str, language: str) -> Iterator[tuple]:
         return
     for f in brace.scan(content, language)[0]:
         first = f.line + content.count("\n", f.begin, f.body[0])
-        for x in brace.accesses(f.code, first):
+        for x in brace.accesses(f.code, first, f.tokens):
             yield f.owner, f.name, f.line, *x
 
 
@@ -316,9 +343,9 @@ def _python_fields(node: ast.ClassDef) -> set[str]:
     out = set()
     for s in node.body:
         targets = s.targets if isinstance(s, ast.Assign) else [s.target] if isinstance(s, ast.AnnAssign) else []
-        out |= {x.id for t in targets for x in ast.walk(t) if isinstance(x, ast.Name)}
+        out |= {x.id for t in targets for x in _every(t) if isinstance(x, ast.Name)}
         if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            out |= {x.attr for x in ast.walk(s) if isinstance(x, ast.Attribute) and isinstance(x.ctx, ast.Store) and isinstance(x.value, ast.Name) and x.value.id in ("self", "cls")}
+            out |= {x.attr for x in _every(s) if isinstance(x, ast.Attribute) and isinstance(x.ctx, ast.Store) and isinstance(x.value, ast.Name) and x.value.id in ("self", "cls")}
     return out
 
 
@@ -333,7 +360,9 @@ def code_classes(content: str, language: str) -> Iterator[tuple]:
     if language == "python":
         tree = _parsed(content)
         lines = re.split(r"\r\n|\r|\n", content)
-        for node in ast.walk(tree) if tree else ():
+        level = [tree] if tree else []
+        for node in level:
+            level += [child for _, child in _within(node)]
             if isinstance(node, ast.ClassDef):
                 methods = [s for s in node.body if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef))]
                 wmc = sum(max(1, _python_controls(m)) for m in methods)
@@ -341,7 +370,7 @@ def code_classes(content: str, language: str) -> Iterator[tuple]:
                 yield "class", node.name, node.lineno, node.end_lineno, len(methods), len(_python_fields(node)), wmc, loc, [ast.unparse(b) for b in node.bases], []
         return
     functions, types = brace.scan(content, language)
-    weight = lambda f: max(1, brace.control_nodes(brace.parse_body(f.code)))
+    weight = lambda f: max(1, brace.control_nodes(brace.parse_body(f.code, f.tokens)))
     if language == "c":
         loc = brace.non_comment_loc(content)
         yield "module", "", 1, content.count("\n") + 1, len(functions), 0, sum(map(weight, functions)), loc, [], []
@@ -361,7 +390,7 @@ def _python_controls(f: ast.AST) -> int:
         if isinstance(node, _SCOPES):
             continue
         n += isinstance(node, _CONTROL)
-        stack.extend(ast.iter_child_nodes(node))
+        stack += [child for _, child in _within(node)]
     return n
 
 
@@ -412,11 +441,11 @@ ACCESS_FIELDS = "owner string, function string, begin_line int, receiver string,
 _SCANS = {"functions": (code_functions, FUNCTION_FIELDS), "identifiers": (code_identifiers, IDENTIFIER_FIELDS), "accesses": (code_accesses, ACCESS_FIELDS), "classes": (code_classes, CLASS_FIELDS)}
 
 
-def scan_code(spark: SparkSession, files: DataFrame, what: str = "functions") -> DataFrame:
+def scan_code(spark: SparkSession, files: DataFrame, what: str = "functions", apart: bool = False) -> DataFrame:
     """functions, identifiers, accesses or classes of files (path, language, content): path, language and the columns of that scan.
 
-    Files go to a few tasks for each core, and each is parsed whole, in Arrow batches. Null content counts as empty, other
-    languages give nothing.
+    Files go to a few tasks for each core (they stay where they are if they lie `apart` already), and each is parsed
+    whole, in Arrow batches. Null content counts as empty, other languages give nothing.
     """
     if what not in _SCANS:
         raise ValueError(f"unknown scan: {what}")
@@ -427,7 +456,7 @@ def scan_code(spark: SparkSession, files: DataFrame, what: str = "functions") ->
             yield path, language, *r
 
     known = files.where(F.col("language").isin("python", "java", "c", "cpp"))
-    return parsed(known, ["path", "language", "content"], rows, f"path string, language string, {fields}")
+    return parsed(known, ["path", "language", "content"], rows, f"path string, language string, {fields}", apart)
 
 
 def name_status(payload: Column) -> Column:

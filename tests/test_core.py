@@ -281,3 +281,17 @@ def test_entry_schema(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).columns == ["fingerprint", "n_members", "first_member", "last_member", "n_tokens"]
     assert all(re.fullmatch(r"\w+", k) for k in e.queries())
+
+
+def test_sources_are_made_where_they_are_parsed(spark):
+    plan = code_catalog.code_classes(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "REPARTITION_BY_NUM" in line]
+    # short rows are dealt out, by a hash that a join's partitioning doesn't make needless; texts are not
+    assert moved and all("xxhash64" in line for line in moved)
+    text = "class A { int f(int a) {\n if (a > 1) { a--; } return this.x; } }"
+    f = brace.scan(text, "java")[0][0]
+    again = brace.tokenize(brace.mask(f.code))
+    assert [t.text for t in f.tokens] == [t.text for t in again] and f.tokens.pairs == again.pairs
+    assert list(brace.accesses(f.code, 1, f.tokens)) == list(brace.accesses(f.code, 1))
+    # a body that is never closed is read again from its text
+    assert brace.scan("class A { void f() { this.xy", "java")[0][0].tokens == []
