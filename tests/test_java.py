@@ -182,3 +182,20 @@ def test_scans_of_templates_enums_and_anonymous_types():
 def test_lines_end_at_line_feeds_alone():
     assert list(scans.parse_patch("--- a/x\n+++ b/x\n@@ -1,2 +1,2 @@\n a\x0cb\n-c\u2028\n+d\n")) == [("x", 1, " ", 1, 1, "a\x0cb"), ("x", 1, "-", 2, None, "c\u2028"), ("x", 1, "+", None, 2, "d")]
     assert [(f[1], f[12], f[13]) for f in scans.code_functions("x = 1\n\x0c\ndef f(a):\n    return a\n", "python")] == [("f", "def f(a):", "    return a")]
+
+
+def test_only_calls_that_may_reach_a_candidate_are_resolved(spark, monkeypatch):
+    files = spark.createDataFrame([("A.java", "class A { private void f(int x) {} private void g() {} void r() { f(1); open(); B.f(2); } } class B { static void f(int x) {} void q() { g(); r(); } }")], "path string, content string")
+    types, methods, calls = java_model.project_model(files)
+    seen, whole = [], java.resolve_calls
+    monkeypatch.setattr(java, "resolve_calls", lambda c, *rest: seen.append(c) or whole(c, *rest))
+    assert [(r.owner, r.name) for r in java.dead_methods(calls, methods, types).collect()] == [("A", "g")]
+    assert sorted((r.name, r.caller_owner) for r in seen[0].collect()) == [("f", "A"), ("f", "A")] and calls.count() == 5
+
+
+def test_pairs_of_types_are_made_once(spark):
+    types = spark.createDataFrame([("p.A", [])], "type string, supers array<string>")
+    pairs = spark.createDataFrame([("int", "long"), ("p.A", "p.B")], "argument string, parameter string").withColumn("argument", java.F.concat("argument", java.F.substring(java.F.uuid(), 1, 0)))
+    told = java.conversions(pairs, types, java.hierarchy(types))
+    assert "uuid" not in told._jdf.queryExecution().toString()
+    assert {tuple(r) for r in told.collect()} == {("int", "long", "compatible", "compatible"), ("p.A", "p.B", "unknown", "unknown")}
