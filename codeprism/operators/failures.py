@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.logs import failure_fingerprint
+from ..sources.batches import spread
+from ..storage import settled
 
 # The marker before a case's JSON, the line that heads a case's log, names of cases, steps that run tests, and states that mean failure.
 MARKER = "TMUX_FAIL_CASE "
@@ -43,7 +45,8 @@ def failing_tests(steps: DataFrame, by: str = "run") -> DataFrame:
     headed = F.transform(blocks, lambda x: case(2, F.regexp_extract(x, HEADER, 1), code(x).cast("long"), failure_fingerprint(code(x).cast("long"), F.regexp_replace(x, "^" + HEADER.removeprefix(r"\b"), ""))))
     bare = (F.size(blocks) == 0) & ~F.col("text").contains(MARKER)
     whole = F.when(bare, F.array(case(3, F.col("step"), F.col("code"), failure_fingerprint(F.col("code"), F.col("text"))))).otherwise(F.slice(headed, 1, 0))
-    found = rows.select(by, F.explode(F.concat(marked, headed, whole)).alias("c")).select(by, "c.*")
+    # cutting a log is dear and its rows are few to a task's liking: over many tasks, and once, though the cases are read twice
+    found = settled(spread(rows).select(by, F.explode(F.concat(marked, headed, whole)).alias("c")).select(by, "c.*"), "cases")
     first = found.groupBy(by).agg(F.min("rank").alias("rank"))
     best = F.min_by("fingerprint", F.struct(-F.length("fingerprint"), "fingerprint"))
     return found.join(first, [by, "rank"]).groupBy(by, "test", "exit_code").agg(best.alias("fingerprint"))

@@ -76,3 +76,25 @@ def test_failing_tests(spark):
     assert got[1] == (1, ["a|1|longer"], "tests=1:a@1:longer") and got[2][0] == 2 and got[2][2] == "tests=2:b/c@3:exit;d@-2:exit="
     drift = spark.createDataFrame([("r", 1, ["a"]), ("r", 2, ["a", "b"]), ("r", 3, ["b"])], "run string, n int, signature array<string>")
     assert [(r.appeared, r.cleared) for r in failures.signature_drift(drift, "run", "n").orderBy("n").collect()] == [(["a"], []), (["b"], []), ([], ["a"])]
+
+
+def test_logs_are_cut_once_over_many_tasks(spark):
+    rows = spark.createDataFrame([(i, "test", False, "", 1, f"FAIL t{i % 3}: exit 1\nerror: e{i}") for i in range(64)], "run int, step string, success boolean, status string, returncode int, text string").coalesce(1)
+    cases = failures.failing_tests(rows)
+    assert "regexp" not in cases._jdf.queryExecution().optimizedPlan().toString().lower() and cases.count() == 64
+    files = {f for f in cases.inputFiles()}
+    assert len(files) >= 4
+
+
+def test_replayed_rows_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            made.add(len(b))
+            yield b
+
+    rows = spark.createDataFrame([(i, START + dt.timedelta(seconds=i)) for i in range(50)], "seq long, ts timestamp").mapInPandas(seen, "seq long, ts timestamp")
+    stream = loop.replayed(rows, "ts", 5)
+    assert made.value == 50
+    assert sorted(r.seq for r in loop.run_to_end(spark, stream, "again").collect()) == list(range(50))
