@@ -83,9 +83,15 @@ class Machine:
         return out
 
 
-def scales(places: np.ndarray, labels: np.ndarray, rows: int, positive: float, m: int, rank: int) -> np.ndarray:
-    """The scales of the weight and the factors of each of m terms. places, labels: a term and its row's label, for each term of each row."""
-    total, hit, p = np.bincount(places, minlength=m), np.bincount(places, labels, m), positive / rows
+def scales(places: list[np.ndarray], labels: np.ndarray, m: int, rank: int) -> np.ndarray:
+    """The scales of the weight and the factors of each of m terms: places[i] are the terms of row i, labels[i] its label."""
+    rows, total, hit = len(labels), np.zeros(m), np.zeros(m)
+    for lo in range(0, rows, BATCH):  # a batch at a time: wide copies of all terms would hold many times the sample
+        part = places[lo : lo + BATCH]
+        place = np.concatenate(part)
+        total += np.bincount(place, minlength=m)
+        hit += np.bincount(place, np.repeat(labels[lo : lo + BATCH], [len(t) for t in part]), m)
+    p = labels.sum() / rows
     spread = np.sqrt(np.maximum(total * p * (1 - p) * np.maximum(1 - total / rows, 1e-3), 0.25))
     strong = np.clip(np.abs(hit - total * p) / spread / 2 - 1, 0, 1)
     pairs = np.maximum(PAIRS_LEAST, PAIRS * np.minimum(1, 5 * total / rows))
@@ -111,9 +117,7 @@ def fit(places: list[np.ndarray], labels: np.ndarray, known: np.ndarray | None =
     slot[known] = np.arange(len(known))
     m = max(len(known), 1)
     count = np.array([len(t) for t in places])
-    begins = np.concatenate(([0], np.cumsum(count)))
-    place = np.concatenate([*places, np.zeros(0, np.int32)]).astype(np.int32)
-    scale = scales(place, np.repeat(labels, count), n, pos, m, rank)
+    scale = scales(places, labels, m, rank)
     rng = np.random.Generator(np.random.PCG64(seed))
     # a term's weight and factors side by side; column 0 is the weight
     table = np.concatenate((np.zeros((m, 1)), rng.normal(0, 0.01, (m, rank))), axis=1).astype(np.float32)
@@ -123,8 +127,7 @@ def fit(places: list[np.ndarray], labels: np.ndarray, known: np.ndarray | None =
         for rows in np.array_split(rng.permutation(n), batches):
             size = count[rows]
             local = np.repeat(np.arange(len(rows)), size)
-            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begins[rows], size)
-            term, of = np.unique(place[at], return_inverse=True)
+            term, of = np.unique(np.concatenate([places[i] for i in rows]), return_inverse=True)
             own = scale[term]
             x = table[term] * own
             gathered = x[of]
@@ -205,8 +208,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least: int
 
     got = found.mapInArrow(placed, "doc_id long, toxic int, places binary").toArrow()
     order = np.argsort(got["doc_id"].to_numpy())
-    lists = got["places"].to_pylist()
-    return fit([np.frombuffer(lists[i], np.int32) for i in order], got["toxic"].to_numpy().astype(float)[order], some)
+    toxic = got["toxic"].to_numpy().astype(float)[order]
+    lists = [np.frombuffer(t.as_buffer(), np.int32) for t in got["places"]]  # views: what was collected is held once
+    machine = fit([lists[i] for i in order], toxic, some)
+    del got, lists
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, column: str = "toxicity", keep: list[str] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -93,6 +94,18 @@ def test_pairs_of_neutral_terms_are_learned():
     assert abs(auc(Machine(whole.slot, whole.bias, whole.w, np.zeros_like(whole.v))) - 0.5) < 0.1
 
 
+def test_fit_holds_no_wide_copy_of_the_sample():
+    """Beside the rows it is given, a fit needs memory for one batch: the driver's is small."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 3000, 250)).astype(np.int32) for _ in range(20_000)]
+    labels = (rng.random(20_000) < 0.1).astype(float)
+    tracemalloc.start()
+    fit(rows, labels, np.arange(3000), epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(r.nbytes for r in rows)
+
+
 def test_interactions_equal_sum_over_pairs():
     rng = np.random.default_rng(5)
     machine = Machine(np.zeros(0), 0.0, rng.normal(size=20), rng.normal(size=(20, 8)))
