@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bytes_np import BYTE_FOLDED, LETTERS, U, mix, pieces, powers, string_bytes, word_hashes, words
-from .common import materialise, require
+from .common import materialise, release_memory, require
 
 BITS = 20
 #: At most so many labelled rows fit the model: those whose hash of doc_id is smallest.
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, least: int
     lists = [np.frombuffer(t.as_buffer(), np.int32) for t in got["places"]]  # views: what was collected is held once
     machine = fit([lists[i] for i in order], toxic, some)
     del got, lists
-    pa.default_memory_pool().release_unused()
+    release_memory()
     return machine
 
 
