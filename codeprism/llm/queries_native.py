@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import find_overlaps
 from .exact import batch_bytes, exact_dedup
-from .licenses import COSINE_SQUARED, TEMPLATES, scan_licenses
+from .licenses import COSINE_SQUARED, TEMPLATES, scan_lines, scan_licenses
 from .lines import LONG, RUN, dedup_lines
 from .mix import MAX_EPOCHS, SCHEDULES, WEIGHTS, plan_mix
 from .shard import shard_documents
@@ -37,8 +37,15 @@ def document_path() -> F.Column:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By single lines, as its SQL fixes it; op3_license_texts runs the whole method."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", document_path().alias("path"), "text")
-    return scan_licenses(docs).select("doc_id", "path", "license", "how", "cosine", "from_dir")
+    return scan_licenses(docs, TEMPLATES, scan_lines).select("doc_id", "path", "license", "how", "cosine", "from_dir")
+
+
+def op3_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files, headers, paragraphs, sentences and lines against sentences, notices and texts of licenses."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", document_path().alias("path"), "text")
+    return scan_licenses(docs).select("doc_id", "path", "license", "how", "unit", "cosine", "from_dir")
 
 
 def _op3_sql() -> str:
@@ -157,5 +164,5 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copi
 """
 
 
-QUERIES = {"op2_decontamination": op2_decontamination, "op3_license_scan": op3_license_scan, "op4_exact_dedup": op4_exact_dedup, "op6_line_dedup": op6_line_dedup, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
+QUERIES = {"op2_decontamination": op2_decontamination, "op3_license_scan": op3_license_scan, "op3_license_texts": op3_license_texts, "op4_exact_dedup": op4_exact_dedup, "op6_line_dedup": op6_line_dedup, "op9_sharding": op9_sharding, "op10_mixing": op10_mixing}
 SQL = {"op2_decontamination": OP2_SQL, "op3_license_scan": _op3_sql(), "op4_exact_dedup": OP4_SQL, "op6_line_dedup": OP6_SQL, "op9_sharding": _op9_sql(), "op10_mixing": _op10_sql()}

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import re
 import tracemalloc
 import zlib
@@ -17,7 +18,7 @@ from codeprism.llm.decontaminate import MASKS, SHORT_MASKS, decontaminate, find_
 from codeprism.llm.exact import exact_dedup
 from codeprism.llm.graph import components
 from codeprism.llm.hyperminhash import meeting_keys, near_duplicates, registers
-from codeprism.llm.licenses import scan_licenses
+from codeprism.llm.licenses import UNITS, license_texts, scan_licenses
 from codeprism.llm.lines import dedup_lines
 from codeprism.llm.mix import SCHEDULES, mix, plan_mix
 from codeprism.llm.shard import assign_shards, number_slots, shard_documents
@@ -163,6 +164,104 @@ def test_licenses(spark):
     assert scan_licenses(files.limit(0)).count() == 0
 
 
+def license_units(text):
+    """The units of a text, by a plain walk."""
+    lines = text.split("\n")
+    closer, n = "", 0
+    for line in (x.strip() for x in lines):
+        if closer:
+            closer = "" if closer in line else closer
+        elif m := re.match(r'/\*|<!--|"""|\'\'\'', line):
+            closer = {"/*": "*/", "<!--": "-->"}.get(m[0], m[0])
+            closer = "" if closer in line[m.end():] else closer
+        elif line and not re.match(r"#|//|\*|--|;|%|\.\.( |$)", line):
+            break
+        n += 1
+    paragraphs = re.split(r"\n[\W_]*\n", text)
+    sentences = [x for p in paragraphs for x in re.split(r"(?<=[.!?])[\s#*/;%-]+(?=[A-Z])", p)]
+    return [(k, u) for k, us in enumerate(([text], ["\n".join(lines[:n])], paragraphs, sentences, lines)) for u in us]
+
+
+def license_statements(files):
+    """{path: (license, unit, cosine)} by brute force over all units, templates and terms."""
+    words = lambda t: Counter(re.findall("[a-z0-9]+", (t or "").lower()))
+    df = Counter(t for _, text in files for t in words(text))
+    w = lambda t: math.floor(1000 * (1 + math.log((1 + len(files)) / (1 + df[t]))) + 0.5)
+    vector = lambda text: {t: c * w(t) for t, c in words(text).items()}
+    templates = [(k, v, sum(x * x for x in v.values())) for k, ts in license_texts().items() for v in map(vector, ts)]
+    out = {}
+    for path, text in files:
+        for pos, (kind, unit) in enumerate(license_units(text or "")):
+            u = vector(unit)
+            norm = sum(x * x for x in u.values())
+            for k, v, t_norm in templates:
+                dot = sum(x * v[t] for t, x in u.items() if t in v)
+                if dot and 25 * dot * dot >= 16 * norm * t_norm:
+                    square = float(dot) * float(dot) / (float(norm) * float(t_norm))
+                    out[path] = min(out.get(path, (9,)), (kind, -square, pos, k))
+    return {p: (k, UNITS[kind], math.sqrt(-s)) for p, (kind, s, _, k) in out.items()}
+
+
+def test_license_headers_and_files(spark):
+    texts = license_texts()
+    mark = lambda t, m: "\n".join(f"{m} {x}".rstrip() for x in t.split("\n"))
+    mit, bsd, apache = texts["MIT"][-1], texts["BSD-3-Clause"][-1], texts["Apache-2.0"][-1]
+    code = "\n\nimport os\n\ndef run(path):\n    return os.listdir(path)  # the list of all files in the path\n"
+    notice = "Licensed under the Apache License, Version 2.0 (the\n\"License\"); you may not use this file except in\ncompliance with the License."
+    later = texts["GPL-2.0-or-later"][0].split(" ")
+    later = " ".join(later[:12]) + "\n" + " ".join(later[12:])
+    files = [
+        ("m/LICENSE", "Copyright (c) 2020 Some One\n\n" + mit),
+        ("m/src/a.py", code),
+        ("b/COPYING", "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + bsd),
+        ("b/AAA.txt", "Released under the MIT License."),
+        ("b/src/deep/a.py", code),
+        ("c/whole.txt", apache),
+        ("d/a.py", "#!/usr/bin/env python\n" + mark(notice, "#") + code),
+        ("d/b.c", "/*\n Copyright 2021 Some One\n\n" + mit + "*/\n" + code * 40),
+        ("d/c.js", "/* one */\n" + mark(bsd, "//") + code * 40),
+        ("e/gpl.c", "/* A tool.\n\n" + mark(later, " *") + "\n */" + code),
+        ("e/wrapped.txt", "This package lists files and much else, for all who want to read them now. Released under\nthe MIT License. Nothing else of this long paragraph says a word about it, as it is on files and folders."),
+        ("f/COPYING", "GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007\n\n" + code),
+        ("g/none.txt", "the license of this work is not stated, and the software of the public is general"),
+        ("g/\"\"\".py", '"""One line."""\n"""\nAll rights\nreserved.\n"""\n' + code),
+        ("h/null", None), ("h/empty", ""), ("h/blank", "\n" * 30000), ("h/marks", "#\n" * 3000),
+    ]
+    df = spark.createDataFrame(files, "path string, text string")
+    got = {r["path"]: r for r in scan_licenses(df).collect()}
+    assert len(got) == len(files)
+    want = license_statements(files)
+    assert {p: (r["license"], r["unit"], r["cosine"]) for p, r in got.items() if r["how"] == "header"} == want
+    kinds = {p: want.get(p, ())[:2] for p, _ in files}
+    assert kinds["m/LICENSE"] == ("MIT", "file") and kinds["b/COPYING"] == ("BSD-3-Clause", "file") and kinds["c/whole.txt"] == ("Apache-2.0", "file")
+    assert kinds["d/a.py"][0] == "Apache-2.0" and kinds["d/b.c"] == ("MIT", "header") and kinds["d/c.js"] == ("BSD-3-Clause", "header")
+    assert kinds["e/gpl.c"][0] == "GPL-2.0-or-later" and kinds["e/wrapped.txt"] == ("MIT", "sentence") and kinds["f/COPYING"] == ("AGPL-3.0-only", "paragraph")
+    assert not kinds["g/none.txt"] and not kinds["h/marks"]
+    # license files come first, though another path is smaller
+    assert (got["b/src/deep/a.py"]["license"], got["b/src/deep/a.py"]["how"], got["b/src/deep/a.py"]["from_dir"]) == ("BSD-3-Clause", "inherited", "b")
+    assert got["m/src/a.py"]["license"] == "MIT" and got["h/null"]["how"] == "none"
+
+
+def test_license_frequencies_and_root(spark):
+    one = "All rights reserved."
+    files = [("LICENSE", one), ("a/x.py", "code"), ("b/y.py", "all " * 9 + "rights reserved"), ("b/c", "rights"), ("b/y.py", one), ("b/y.py", one)]
+    got = {(r["path"], r["license"], r["how"], r["unit"], r["from_dir"]) for r in scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    mine = "LicenseRef-AllRightsReserved"
+    # a term counts as often as it occurs; rows that share a path do not add up
+    assert got == {("LICENSE", mine, "header", "file", None), ("a/x.py", mine, "inherited", None, ""), ("b/y.py", mine, "header", "file", None), ("b/c", mine, "inherited", None, "b")}
+    assert not license_statements([("y", "all " * 9 + "rights reserved")])
+    alone = spark.createDataFrame([("y", "all " * 9 + "rights reserved")], "path string, text string")
+    assert [r["how"] for r in scan_licenses(alone).collect()] == ["none"]
+
+
+def test_license_texts_query(spark):
+    got = queries.QUERIES["op3_license_texts"](spark, SF).collect()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    assert len(got) == len(docs)
+    want = license_statements([(r["path"], docs[r["doc_id"]]) for r in got])
+    assert want and {r["path"]: (r["license"], r["unit"], r["cosine"]) for r in got if r["how"] == "header"} == want
+
+
 def test_exact_dedup(spark, odd, empty, tmp_path):
     path = str(tmp_path / "docs.parquet")
     odd.repartition(3).write.parquet(path)
