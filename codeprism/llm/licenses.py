@@ -136,11 +136,13 @@ def _comment_lines(lines: Column) -> Column:
 
 
 def _units(text: Column) -> Column:
-    """The whole text, the comments at its start, its paragraphs (lines without letter or digit part them), sentences and lines: structs (unit, content), unit a place in UNITS."""
+    """The whole text, the comments at its start, its paragraphs (lines without letter or digit part them), sentences and lines: structs (unit, content), unit a place in UNITS. Equal contents are kept once, as the widest."""
     lines = F.split(text, "\n", -1)
     header = F.array_join(F.slice(lines, 1, _comment_lines(lines)), "\n")
     paragraphs = F.split(text, r"\n[^\p{L}\p{N}]*\n", -1)
     sentences = F.flatten(F.transform(paragraphs, lambda p: F.split(p, r"(?<=[.!?])[\s#*/;%-]+(?=\p{Lu})", -1)))
+    lines = F.array_except(F.array_except(lines, sentences), paragraphs)
+    sentences = F.array_except(sentences, paragraphs)
     tag = lambda k, column: F.transform(column, lambda c: F.struct(F.lit(k).alias("unit"), c.alias("content")))
     return F.concat(*[tag(k, c) for k, c in enumerate((F.array(text), F.array(header), paragraphs, sentences, lines))])
 
@@ -150,24 +152,26 @@ def _weight(n: int, df: Column) -> Column:
     return F.round(F.lit(1000.0) * (F.lit(1.0) + F.log(F.lit(1.0 + n) / (F.lit(1.0) + df.cast("double"))))).cast("long")
 
 
-def _needed(templates: Mapping[tuple[str, int], Mapping[str, int]], weights: Mapping[str, tuple[int, int]]) -> list[str]:
-    """Terms of which any text within the cosine of any template has at least one, rare ones preferred.
+def _needs(part: Mapping[str, int], df: Mapping[str, int]) -> tuple[list[str], int]:
+    """Terms of which any text within the cosine of a template has at least one, rare ones preferred, and how many of the template's it has at least; part: squared weights.
 
     By Cauchy and Schwarz a text that shares the terms S of a template is within sqrt(norm of S / norm of all) of it:
-    without terms that hold more than 9/25 of the norm it cannot reach 16/25.
+    without terms that hold more than 9/25 of the norm, or with fewer terms than can hold 16/25, it cannot reach 16/25.
     """
     num, den = COSINE_SQUARED
-    found = set()
-    for counts in templates.values():
-        part = {t: (c * weights[t][0]) ** 2 for t, c in counts.items()}
-        left = sum(part.values())
-        limit = left * num * (1 - 1e-9)
-        for t in sorted(part, key=lambda t: (-part[t] / (1 + weights[t][1]), t)):
-            if left * den < limit:
-                break
-            left -= part[t]
-            found.add(t)
-    return sorted(found)
+    limit = sum(part.values()) * num * (1 - 1e-9)
+    left, found = sum(part.values()), []
+    for t in sorted(part, key=lambda t: (-part[t] / (1 + df[t]), t)):
+        if left * den < limit:
+            break
+        left -= part[t]
+        found.append(t)
+    held, least = 0, 0
+    for x in sorted(part.values(), reverse=True):
+        if held * den >= limit:
+            break
+        held, least = held + x, least + 1
+    return found, least
 
 
 def scan_texts(files: DataFrame, templates: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
@@ -186,35 +190,38 @@ def scan_texts(files: DataFrame, templates: Mapping[str, Sequence[str]] | None =
     seen = files.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     seen = materialise(seen.select("term", _weight(n, F.col("df")).alias("w"), "df"), "license-terms")
     # vectors of the templates, bounded by these: a fixed list
-    texts = [(k, i, t) for k, ts in sorted(templates.items()) for i, t in enumerate(ts)]
-    split = spark.createDataFrame(texts, "license string, i int, text string").select("license", "i", F.explode(words(F.col("text"))).alias("term"))
+    texts = [(k, license, t) for k, (license, t) in enumerate((x, t) for x, ts in sorted(templates.items()) for t in ts)]
+    split = spark.createDataFrame(texts, "k int, license string, text string").select("k", F.explode(words(F.col("text"))).alias("term"))
     known = split.select("term").distinct()
     rows = known.join(F.broadcast(known).join(seen, "term"), "term", "left").select("term", F.coalesce("w", _weight(n, F.lit(0))).alias("w"), F.coalesce("df", F.lit(0)).alias("df")).collect()
-    weights = {r["term"]: (r["w"], r["df"]) for r in rows}
-    counts: dict[tuple[str, int], dict[str, int]] = {}
-    for r in split.groupBy("license", "i", "term").count().collect():
-        counts.setdefault((r["license"], r["i"]), {})[r["term"]] = r["count"]
-    parts = [(k, i, t, c * weights[t][0]) for (k, i), ts in sorted(counts.items()) for t, c in sorted(ts.items())]
-    norms = [(k, i, float(sum((c * weights[t][0]) ** 2 for t, c in ts.items()))) for (k, i), ts in sorted(counts.items())]
-    vocabulary = F.broadcast(spark.createDataFrame([(t, w) for t, (w, _) in sorted(weights.items())], "term string, w long"))
-    vectors = F.broadcast(spark.createDataFrame(parts, "license string, i int, term string, v long"))
-    norms = F.broadcast(spark.createDataFrame(norms, "license string, i int, t_norm double"))
-    needed = F.array(*[F.lit(t) for t in _needed(counts, weights)]).cast("array<string>")
-    # units of files that may hold a statement, with their terms
+    weights, df = {r["term"]: r["w"] for r in rows}, {r["term"]: r["df"] for r in rows}
+    vectors: dict[int, dict[str, int]] = {}
+    for r in split.groupBy("k", "term").count().collect():
+        vectors.setdefault(r["k"], {})[r["term"]] = r["count"] * weights[r["term"]]
+    vocabulary = F.broadcast(spark.createDataFrame(sorted(weights.items()), "term string, w long"))
+    parts = F.broadcast(spark.createDataFrame([(k, t, v) for k, ts in sorted(vectors.items()) for t, v in sorted(ts.items())], "k int, term string, v long"))
+    needs = {k: _needs({t: v * v for t, v in ts.items()}, df) for k, ts in sorted(vectors.items())}
+    norms = F.broadcast(spark.createDataFrame([(k, license, float(sum(v * v for v in vectors[k].values()))) for k, license, _ in texts if k in vectors], "k int, license string, t_norm double"))
+    asked = spark.createDataFrame([([(k, some, least, sorted(vectors[k])) for k, (some, least) in needs.items()],)], "asked array<struct<k:int,some:array<string>,least:int,terms:array<string>>>")
+    needed = F.array(*[F.lit(t) for t in sorted({t for some, _ in needs.values() for t in some})]).cast("array<string>")
+    # units of files that may hold a statement, the templates that each may reach, and its terms
     kept = files.where(F.arrays_overlap(words(F.col("text")), needed))
     kept = materialise(kept.withColumn("id", F.monotonically_increasing_id()), "license-files")
     units = kept.select("id", F.posexplode(_units(F.col("text"))).alias("pos", "u")).select("id", "pos", "u.unit", words(F.col("u.content")).alias("ts"))
-    units = units.where(F.arrays_overlap("ts", needed)).select("id", "pos", "unit", F.explode("ts").alias("term"))
+    units = units.where(F.arrays_overlap("ts", needed)).withColumn("us", F.array_distinct("ts")).join(F.broadcast(asked))
+    may = F.filter("asked", lambda a: (F.size("us") >= a["least"]) & F.arrays_overlap(F.col("us"), a["some"]) & (F.size(F.array_intersect(F.col("us"), a["terms"])) >= a["least"]))
+    units = units.select("id", "pos", "unit", "ts", F.transform(may, lambda a: a["k"]).alias("ks")).where(F.size("ks") > 0).select("id", "pos", "unit", "ks", F.explode("ts").alias("term"))
     exact = lambda c: c.cast("decimal(18,0)")
-    key = ["id", "pos", "unit"]
-    tf = materialise(units.groupBy(*key, "term").agg(F.count("*").alias("tf")).join(vocabulary, "term", "left"), "license-units")
+    key = ["id", "pos"]
+    tf = materialise(units.groupBy(*key, "unit", "ks", "term").agg(F.count("*").alias("tf")).join(vocabulary, "term", "left"), "license-units")
     square = lambda w: F.sum(exact(F.col("tf") * w) * exact(F.col("tf") * w))
-    dots = tf.where("w is not null").join(vectors, "term").groupBy(*key, "license", "i").agg(F.sum(exact(F.col("tf") * F.col("w")) * exact(F.col("v"))).cast("double").alias("dot"))
+    dots = tf.where("w is not null").join(parts, "term").where(F.array_contains("ks", F.col("k")))
+    dots = dots.groupBy(*key, "unit", "k").agg(F.sum(exact(F.col("tf") * F.col("w")) * exact(F.col("v"))).cast("double").alias("dot"))
     num, den = COSINE_SQUARED
     within = lambda norm, slack: F.col("dot") * F.col("dot") * den >= norm * F.col("t_norm") * (num * slack)
     # terms of no template weigh 1000 at least: pairs beyond the cosine even so are dropped, before the others are looked up
     least = tf.groupBy(*key).agg(square(F.coalesce("w", F.lit(1000))).cast("double").alias("least"))
-    pairs = materialise(dots.join(norms, ["license", "i"]).join(least, key).where(within(F.col("least"), 1 - 1e-9)).drop("least"), "license-pairs")
+    pairs = materialise(dots.join(norms, "k").join(least, key).where(within(F.col("least"), 1 - 1e-9)).drop("least"), "license-pairs")
     near = tf.join(pairs.select(*key).distinct(), key, "left_semi")
     other = near.where("w is null").select("term").distinct()
     other = bounded(seen.select("term", F.col("w").alias("w_other")).join(other, "term", "left_semi"), "license-others")
