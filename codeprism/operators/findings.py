@@ -58,10 +58,9 @@ def feature_envy(functions: DataFrame, accesses: DataFrame, caps: DataFrame | No
     caps: path, name, cap, the frozen totals that later accesses can't dilute; without it the present total is used.
     """
     counts = receiver_counts(accesses)
-    foreign = counts.where(~F.col("receiver").isin(*OWN))
-    best = foreign.groupBy(*_FUNCTION).agg(F.min(F.struct((-F.col("access")).alias("m"), "receiver")).alias("b"))
-    total = counts.groupBy(*_FUNCTION).agg(F.sum("access").alias("total"))
-    rows = best.join(total, _FUNCTION).select(*_FUNCTION, F.col("b.receiver").alias("receiver"), (-F.col("b.m")).alias("access"), "total")
+    best = F.min(F.when(~F.col("receiver").isin(*OWN), F.struct((-F.col("access")).alias("m"), "receiver")))
+    rows = counts.groupBy(*_FUNCTION).agg(best.alias("b"), F.sum("access").alias("total")).where("b is not null")
+    rows = rows.select(*_FUNCTION, F.col("b.receiver").alias("receiver"), (-F.col("b.m")).alias("access"), "total")
     f = functions.select("path", "language", "owner", F.col("name").alias("function"), "begin_line", F.col("loc").cast("long").alias("loc"))
     rows = rows.join(f, _FUNCTION)
     rows = rows.join(caps.select("path", F.col("name").alias("function"), "cap"), ["path", "function"], "left") if caps is not None else rows.withColumn("cap", F.lit(None).cast("long"))

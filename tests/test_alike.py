@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from codeprism.functions import lexical
-from codeprism.operators import relations
+from codeprism.operators import findings, relations
 from codeprism.plans import code_catalog
 from codeprism.sources import alike, scans
 
@@ -60,3 +60,11 @@ def test_columns_by_value_are_those_of_each_row(spark):
 def test_signatures_take_equal_lists_apart_once(spark):
     plan = code_catalog.signatures(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "aggregate(" not in plan  # walks over parameters stand in the table of distinct lists
+
+
+def test_envy_counts_accesses_once(spark):
+    files = spark.createDataFrame([("A.java", "java", "class A { int f(B o, B p) { o.x(); p.y(); p.z = 1; o.w(); return this.q + o.v; } int g() { return this.q; } }")], "path string, language string, content string")
+    e = findings.feature_envy(scans.scan_code(spark, files, "functions"), scans.scan_code(spark, files, "accesses"))
+    # a function without foreign accesses is none's; the most accesses decide, and all of them are the total
+    assert [tuple(r) for r in e.select("name", "receiver", "access", "total").collect()] == [("f", "o", 3, 6)]
+    assert e._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2  # one pass over the functions, one over the accesses
