@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from codeprism.functions import lexical
-from codeprism.operators import findings, relations
+from codeprism.operators import findings, java, relations
 from codeprism.plans import code_catalog
 from codeprism.sources import alike, java_model, scans
 
@@ -77,3 +77,9 @@ def test_java_models_of_alike_texts():
         assert list(models(text)) == [tuple(java_model.parse(text).values())], text
     # the same parse stands behind texts with other numbers in their names
     assert next(models("interface Q1 { }"))[0] is next(models("interface Q2 { }"))[0] and next(models("interface Q2 { }"))[4][0]["type"] == "Q2"
+
+
+def test_keys_are_short_and_tell_nulls_apart(spark):
+    rows = spark.createDataFrame([(None, ["a"]), ("", ["a"]), ("", []), ("", None), ("x", ["a", "b"]), ("x", ["a,b"])], "s string, l array<string>")
+    keys = [bytes(r[0]) for r in rows.select(java._key("s", "l")).collect()]
+    assert len(set(keys)) == 6 and {len(k) for k in keys} == {16}
